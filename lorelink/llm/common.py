@@ -55,6 +55,15 @@ def to_shared(spark: SparkSession, local: str) -> str:
 
 
 _shipped: set[str] = set()
+_added: set[tuple[str, str]] = set()
+
+
+def add_file(spark: SparkSession, local: str) -> None:
+    """SparkContext.addFile by way of the shared folder, once per application. A file's name must tell its content."""
+    key = (spark.sparkContext.applicationId, os.path.basename(local))
+    if key not in _added:
+        spark.sparkContext.addFile(to_shared(spark, local))
+        _added.add(key)
 
 
 def ship(spark: SparkSession) -> None:

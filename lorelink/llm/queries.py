@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import topk, urlfilter, warc
+from . import simhash, topk, urlfilter, warc
 from .common import settled, shared_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,7 +40,12 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(table(spark, sf_dir, "pages", "page_id", "url"), URL_RULES, keep=["page_id"])
 
 
-QUERIES: dict[str, Query] = {"op2_exact_topk": op2_exact_topk, "op4_warc_revisits": op4_warc_revisits, "op5_url_filter": op5_url_filter}
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), errors=4, width=4)
+
+
+QUERIES: dict[str, Query] = {"op2_exact_topk": op2_exact_topk, "op4_warc_revisits": op4_warc_revisits, "op5_url_filter": op5_url_filter, "op9_simhash_near_dedup": op9_simhash_near_dedup}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_topk": """
