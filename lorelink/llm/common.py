@@ -108,14 +108,15 @@ def spread_sample(df: DataFrame, strata: str, key: str, each: int, seed: int) ->
     """About `each` rows of every value of `strata`, chosen by a hash of `key`: a bounded sample to fit a model on.
 
     One pass counts the values of the stratum (few), another keeps the rows whose hash is below the value's share. The
-    choice depends on ids alone, so reruns, lost executors and other partitionings give the same rows. No row moves.
+    choice depends on ids alone, so reruns, lost executors and other partitionings give the same rows. Should ids repeat,
+    so that more rows than twice the expected number qualify, those with the smallest hashes are taken.
     """
     counts = df.groupBy(strata).agg(F.count("*").alias("n")).collect()
     place = (F.xxhash64(F.lit(seed), F.col(key)).bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)).cast("double")
     keep = F.lit(False)
     for row in counts:
         keep = keep | (F.col(strata).eqNullSafe(F.lit(row[0])) & (place < min(1.0, each / row["n"])))
-    return df.where(keep)
+    return df.where(keep).orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.xxhash64(*df.columns)).limit(max(1, 2 * each * len(counts)))
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

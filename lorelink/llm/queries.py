@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash, topk, urlfilter, warc
-from .common import settled, shared_path, table
+from . import langid, simhash, sketch, topk, urlfilter, warc
+from .common import learning_rows, settled, shared_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,14 @@ URL_RULES = (
 )
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from the rows that aren't held out."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    learn = learning_rows(F.col("doc_id"), 3, 1)
+    net = langid.train(docs.where(learn))
+    return langid.predict(docs.select("doc_id", "text", (~learn).alias("held_out")), net, ["doc_id", "held_out"])
+
+
 def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 best inner products of each embedding whose id is divisible by 50, against every other row."""
     vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding").where(topk.finite(F.col("embedding")))
@@ -45,7 +53,12 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), errors=4, width=4)
 
 
-QUERIES: dict[str, Query] = {"op2_exact_topk": op2_exact_topk, "op4_warc_revisits": op4_warc_revisits, "op5_url_filter": op5_url_filter, "op9_simhash_near_dedup": op9_simhash_near_dedup}
+def op10_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness."""
+    return sketch.edited_fingerprints(table(spark, sf_dir, "documents", "doc_id", "text"), width=5)
+
+
+QUERIES: dict[str, Query] = {"op1_language_id": op1_language_id, "op2_exact_topk": op2_exact_topk, "op4_warc_revisits": op4_warc_revisits, "op5_url_filter": op5_url_filter, "op9_simhash_near_dedup": op9_simhash_near_dedup, "op10_scaled_sketch": op10_scaled_sketch}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_topk": """
