@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, simhash, sketch, topk, urlfilter, warc
+from . import langid, mixing, simhash, sketch, topk, urlfilter, warc
 from .common import learning_rows, settled, shared_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,13 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(table(spark, sf_dir, "pages", "page_id", "url"), URL_RULES, keep=["page_id"])
 
 
+def op7_mix_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of 150 % of all words takes of each document, sources weighing 3, 1, 2 in turn."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
+    sized = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    return mixing.mix(settled(sized, "sizes"), ["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), errors=4, width=4)
@@ -58,7 +65,7 @@ def op10_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.edited_fingerprints(table(spark, sf_dir, "documents", "doc_id", "text"), width=5)
 
 
-QUERIES: dict[str, Query] = {"op1_language_id": op1_language_id, "op2_exact_topk": op2_exact_topk, "op4_warc_revisits": op4_warc_revisits, "op5_url_filter": op5_url_filter, "op9_simhash_near_dedup": op9_simhash_near_dedup, "op10_scaled_sketch": op10_scaled_sketch}
+QUERIES: dict[str, Query] = {"op1_language_id": op1_language_id, "op2_exact_topk": op2_exact_topk, "op4_warc_revisits": op4_warc_revisits, "op5_url_filter": op5_url_filter, "op7_mix_budgets": op7_mix_budgets, "op9_simhash_near_dedup": op9_simhash_near_dedup, "op10_scaled_sketch": op10_scaled_sketch}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_topk": """
