@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, simhash, sketch, topk, urlfilter, warc
+from . import langid, mixing, packing, simhash, sketch, topk, urlfilter, warc
 from .common import learning_rows, settled, shared_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: The tokenizer of op3 and of the pipeline.
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
 #: The rules of op5, as its contract states them.
 URL_RULES = (
     urlfilter.Rule("com", "/en/", "block"),
@@ -37,6 +41,11 @@ def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(weighted, F.col("vec_id") % 50 == 0, 5)
 
 
+def op3_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2,048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), TOKENIZER, 2048)
+
+
 def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives of all pages, equal payloads stored once, written and read back."""
     path = warc.write_archives(table(spark, sf_dir, "pages", "page_id", "url", "html"), shared_path(spark, "warc"))
@@ -65,7 +74,7 @@ def op10_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.edited_fingerprints(table(spark, sf_dir, "documents", "doc_id", "text"), width=5)
 
 
-QUERIES: dict[str, Query] = {"op1_language_id": op1_language_id, "op2_exact_topk": op2_exact_topk, "op4_warc_revisits": op4_warc_revisits, "op5_url_filter": op5_url_filter, "op7_mix_budgets": op7_mix_budgets, "op9_simhash_near_dedup": op9_simhash_near_dedup, "op10_scaled_sketch": op10_scaled_sketch}
+QUERIES: dict[str, Query] = {"op1_language_id": op1_language_id, "op2_exact_topk": op2_exact_topk, "op3_best_two_fit": op3_best_two_fit, "op4_warc_revisits": op4_warc_revisits, "op5_url_filter": op5_url_filter, "op7_mix_budgets": op7_mix_budgets, "op9_simhash_near_dedup": op9_simhash_near_dedup, "op10_scaled_sketch": op10_scaled_sketch}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_topk": """
