@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, simhash, sketch, topk, urlfilter, warc
+from . import langid, mixing, packing, quality, simhash, sketch, topk, urlfilter, warc
 from .common import learning_rows, settled, shared_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +64,14 @@ def op7_mix_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(settled(sized, "sizes"), ["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, learnt from the labels that aren't held out."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    learn = learning_rows(F.col("doc_id"), 5, 0)
+    field = quality.train(docs, table(spark, sf_dir, "labels", "doc_id", "quality").where(learn))
+    return quality.score_quality(docs.withColumn("held_out", ~learn), field, ["doc_id", "held_out"])
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), errors=4, width=4)
@@ -74,7 +82,7 @@ def op10_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.edited_fingerprints(table(spark, sf_dir, "documents", "doc_id", "text"), width=5)
 
 
-QUERIES: dict[str, Query] = {"op1_language_id": op1_language_id, "op2_exact_topk": op2_exact_topk, "op3_best_two_fit": op3_best_two_fit, "op4_warc_revisits": op4_warc_revisits, "op5_url_filter": op5_url_filter, "op7_mix_budgets": op7_mix_budgets, "op9_simhash_near_dedup": op9_simhash_near_dedup, "op10_scaled_sketch": op10_scaled_sketch}
+QUERIES: dict[str, Query] = {"op1_language_id": op1_language_id, "op2_exact_topk": op2_exact_topk, "op3_best_two_fit": op3_best_two_fit, "op4_warc_revisits": op4_warc_revisits, "op5_url_filter": op5_url_filter, "op7_mix_budgets": op7_mix_budgets, "op8_line_quality": op8_line_quality, "op9_simhash_near_dedup": op9_simhash_near_dedup, "op10_scaled_sketch": op10_scaled_sketch}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_topk": """
