@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, quality, simhash, sketch, topk, urlfilter, warc
+from . import langid, mixing, packing, pii, quality, simhash, sketch, topk, urlfilter, warc
 from .common import learning_rows, settled, shared_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,12 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(table(spark, sf_dir, "pages", "page_id", "url"), URL_RULES, keep=["page_id"])
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document, by patterns and by the network."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return pii.span_digest(pii.find_pii(docs, pii.train(docs), ["doc_id"]), ["doc_id"])
+
+
 def op7_mix_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of 150 % of all words takes of each document, sources weighing 3, 1, 2 in turn."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
@@ -82,7 +88,7 @@ def op10_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.edited_fingerprints(table(spark, sf_dir, "documents", "doc_id", "text"), width=5)
 
 
-QUERIES: dict[str, Query] = {"op1_language_id": op1_language_id, "op2_exact_topk": op2_exact_topk, "op3_best_two_fit": op3_best_two_fit, "op4_warc_revisits": op4_warc_revisits, "op5_url_filter": op5_url_filter, "op7_mix_budgets": op7_mix_budgets, "op8_line_quality": op8_line_quality, "op9_simhash_near_dedup": op9_simhash_near_dedup, "op10_scaled_sketch": op10_scaled_sketch}
+QUERIES: dict[str, Query] = {"op1_language_id": op1_language_id, "op2_exact_topk": op2_exact_topk, "op3_best_two_fit": op3_best_two_fit, "op4_warc_revisits": op4_warc_revisits, "op5_url_filter": op5_url_filter, "op6_personal_data": op6_personal_data, "op7_mix_budgets": op7_mix_budgets, "op8_line_quality": op8_line_quality, "op9_simhash_near_dedup": op9_simhash_near_dedup, "op10_scaled_sketch": op10_scaled_sketch}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_topk": """
