@@ -78,8 +78,8 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 1000, archive
     total = base.agg(F.sum("bytes")).first()[0] or 0
     revisits = resolve_revisits(base.select("page_id", "digest", "bytes"), least_bytes)
     files = max(1, math.ceil(total / archive_bytes))
-    dealt = base.join(revisits.hint("shuffle_hash"), ["page_id", "digest"], "left").select(record_text(date).alias("value"), F.pmod(F.xxhash64("page_id", "digest", "url"), F.lit(1 << 30)).alias("_at"))
-    dealt.repartition(files, "_at").select("value").write.option("lineSep", END).option("compression", "gzip").text(path)
+    dealt = base.repartition(files, "page_id", "digest").join(revisits, ["page_id", "digest"], "left")  # payloads move once: the join keeps this partitioning
+    dealt.select(record_text(date).alias("value")).write.option("lineSep", END).option("compression", "gzip").text(path)
     return path
 
 
