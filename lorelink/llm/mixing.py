@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, ship
+from .common import WORD, settled, ship
 
 #: Slices of the hash, among which documents of one source and length are spread.
 SLICES = 256
@@ -137,3 +137,19 @@ def mix(docs: DataFrame, keep: list[str], id_column: str = "doc_id", source: str
     out = numbered.alias("d").join(chosen.alias("c"), F.col("d.source").eqNullSafe(F.col("c.source")) & (F.col("d.size") == F.col("c.size")) & (F.col("d._slice") == F.col("c._slice")))
     taken = F.col("d.size") * (F.col("_whole") + F.when(F.col("_first") + F.col("_place") <= F.col("_once"), 1).otherwise(0))
     return out.select(*[F.col(f"d.{k}").alias(k) for k in keep], F.col("d.source").alias("source"), F.col("d.size").alias("size"), "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
+    """docs, each row as often as the mix takes it, with all its columns. `how`: as in mix().
+
+    Texts move once, by id and size; rows that have both in common share what the mix takes of them.
+    """
+    key = F.concat(F.coalesce(F.col(id_column).cast("string"), F.lit("-")), F.lit(":"), F.col("__size").cast("string"))
+    sized = docs.withColumn("__size", word_count(F.col(text)))
+    slim = settled(sized.select(F.col(id_column).alias("doc_id"), F.col(source).alias("source"), F.col("__size").alias("size"), key.alias("__key")), "sizes")
+    taken = mix(slim, ["__key"], **how).where("taken > 0").groupBy("__key").agg(F.sum(F.col("taken") / F.col("size")).cast("long").alias("__copies"), F.count("*").alias("__n"))
+    rows = sized.withColumn("__key", key).drop("__size").join(taken, "__key")
+    line = Window.partitionBy("__key").orderBy(F.xxhash64(text))
+    share = F.floor(F.col("__copies") / F.col("__rows")) + F.when(F.col("__k") <= F.col("__copies") % F.col("__rows"), 1).otherwise(0)
+    rows = rows.withColumns({"__k": F.row_number().over(line), "__rows": F.count("*").over(Window.partitionBy("__key"))})
+    return rows.withColumn("__again", F.explode(F.array_repeat(F.lit(0), share.cast("int")))).select(*docs.columns)

@@ -219,6 +219,21 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> LineF
     return field
 
 
+def _scores(field: LineField | None, texts: pa.Array) -> np.ndarray:
+    """Scores of whole texts, about 2 MB of them at a time, or one."""
+    n = len(texts)
+    score = np.full(n, 0.5)
+    if field is not None:
+        data, ends = utf8(texts)
+        first = 0
+        while first < n:
+            last = max(first + 1, int(np.searchsorted(ends, ends[first] + (2 << 20), "right")) - 1)
+            base = ends[first]
+            score[first:last] = field.score(*line_features(data[base : ends[last]], ends[first : last + 1] - base))
+            first = last
+    return score
+
+
 def score_quality(docs: DataFrame, field: LineField | None, keep: list[str], text: str = "text", cut: float = 0.3) -> DataFrame:
     """`keep` columns, score (0 to 1, higher where label 1 is likelier) and predicted (1 if score >= cut) of every whole text.
 
@@ -229,17 +244,19 @@ def score_quality(docs: DataFrame, field: LineField | None, keep: list[str], tex
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            score = np.full(n, 0.5)
-            if field is not None:
-                data, ends = utf8(batch.column(at))
-                first = 0
-                while first < n:  # about 2 MB of text at a time, or one text
-                    last = max(first + 1, int(np.searchsorted(ends, ends[first] + (2 << 20), "right")) - 1)
-                    base = ends[first]
-                    score[first:last] = field.score(*line_features(data[base : ends[last]], ends[first : last + 1] - base))
-                    first = last
+            score = _scores(field, batch.column(at))
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(score), pa.array((score >= cut).astype(np.int32))], [*keep, "score", "predicted"])
 
     types = dict(chosen.dtypes)
     return map_arrow(chosen, apply, ", ".join([*(f"`{k}` {types[k]}" for k in keep), "score double", "predicted int"]))
+
+
+def keep_good(docs: DataFrame, field: LineField | None, text: str = "text", cut: float = 0.3) -> DataFrame:
+    """The rows of docs, with all their columns, whose text scores at least cut."""
+    at = docs.columns.index(text)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(field, batch.column(at)) >= cut))
+
+    return map_arrow(docs, apply, docs.schema)

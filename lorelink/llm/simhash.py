@@ -243,3 +243,14 @@ def near_duplicates(docs: DataFrame, errors: int = 4, width: int = 4, id_column:
     class_id = members.groupBy("root").agg(F.min("first").alias("component_id"))
     named = members.join(class_id, "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, errors: int = 4, width: int = 4, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that stand for their component: the one with the least id.
+
+    Rows that repeat an id and its text stay once. Rows with a null id stay, as they can't be told apart.
+    """
+    marks = near_duplicates(docs, errors, width, id_column, text).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    named = docs.where(F.col(id_column).isNotNull()).withColumn("__text", F.xxhash64(text))
+    stay = named.join(marks, F.col(id_column).cast("long") == F.col("__kept"), "left_semi").dropDuplicates([id_column, "__text"]).drop("__text")
+    return stay.unionAll(docs.where(F.col(id_column).isNull()))
