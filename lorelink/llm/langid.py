@@ -128,6 +128,14 @@ def cut(data: np.ndarray, ends: np.ndarray, window: int, reach: int) -> tuple[np
     return rows, owner, size
 
 
+def pieces(ends: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Texts cut at every `most` bytes: the pieces' ends, and the text of each. If windows divide `most`, their windows are the texts'."""
+    count = np.maximum(1, -(-np.diff(ends) // most))
+    text_of = np.repeat(np.arange(len(count)), count)
+    k = np.arange(len(text_of)) - np.repeat(np.cumsum(count) - count, count)
+    return np.append(ends[text_of] + k * most, ends[-1]), text_of
+
+
 def train(docs: DataFrame, s: Settings = Settings()) -> ByteConvNet | None:
     """Learn from doc_id, text, lang of `docs`, of which about s.each rows for each language are read; None without any.
 
@@ -171,13 +179,14 @@ def predict(docs: DataFrame, net: ByteConvNet | None, keep: list[str], text: str
             if net is not None and n:
                 data, ends = _folded(batch.column(at))
                 total = np.zeros((n, len(net.languages)))
+                edges, text_of = pieces(ends, net.s.window * 4096)
                 first = 0
-                while first < n:  # windows of about 4 MB of text at a time, or of one text
-                    last = max(first + 1, int(np.searchsorted(ends, ends[first] + (4 << 20), "right")) - 1)
-                    base = ends[first]
-                    windows, owner, size = cut(data[base : ends[last]], ends[first : last + 1] - base, net.s.window, net.reach)
+                while first < len(text_of):  # windows of about 1 MB of text at a time
+                    last = max(first + 1, int(np.searchsorted(edges, edges[first] + (1 << 20), "right")) - 1)
+                    base = edges[first]
+                    windows, owner, size = cut(data[base : edges[last]], edges[first : last + 1] - base, net.s.window, net.reach)
                     if len(windows):
-                        np.add.at(total, owner + first, net.probabilities(windows) * size[:, None])
+                        np.add.at(total, text_of[owner + first], net.probabilities(windows) * size[:, None])
                     first = last
                 weight = total.sum(axis=1)
                 seen = weight > 0

@@ -91,7 +91,7 @@ def plausible(kind: str, s: str) -> bool:
 
 # --- the network ---
 
-_CLASS = np.full(0x250, 6, np.int64)  # other letters
+_CLASS = np.full(0x250, 6, np.uint8)  # other letters
 _CLASS[:128] = [7 + c for c in range(128)]
 _CLASS[ord("a") : ord("z") + 1], _CLASS[ord("A") : ord("Z") + 1], _CLASS[48:58] = 1, 2, 3
 _CLASS[32], _CLASS[[9, 10, 11, 12, 13]] = 4, 5
@@ -234,7 +234,7 @@ class Tagger:
         which = np.unique((hot // s.stride)[:, None] - np.arange(back))
         starts = which[which >= 0] * s.stride
         place = starts[:, None] + np.arange(s.window)
-        return starts, np.append(x, 0)[np.minimum(place, len(x))]
+        return starts, np.append(x, np.uint8(0))[np.minimum(place, len(x))]
 
     def find(self, texts: list[str]) -> list[list[Span]]:
         """Spans of each text, each stretch of windows decoded as a whole."""

@@ -13,7 +13,7 @@ of fingerprints, so that blocks stay small; the result is the same for any numbe
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -30,30 +30,37 @@ ALL = (1 << 64) - 1
 LEAF = 32
 
 
-def shingle_hashes(text: bytes, width: int = 4) -> np.ndarray:
-    """XXH64 of each shingle of `width` words in lower case (A-Z), of the whole sequence if it is shorter; none without words."""
+def shingle_hashes(text: bytes, width: int = 4, portion: int = 1 << 16) -> Iterator[np.ndarray]:
+    """XXH64 of each shingle of `width` words in lower case (A-Z), in portions; of the whole sequence if it is shorter, none without words."""
     words = b" ".join(text.lower().split())
     if not words:
-        return np.zeros(0, np.uint64)
+        return
     gaps = np.flatnonzero(np.frombuffer(words, np.uint8) == 32)
     n = len(gaps) + 2 - width
-    if n <= 1:
-        return np.array([xxhash.xxh64_intdigest(words, SEED)], np.uint64)
-    starts = [0, *(gaps[: n - 1] + 1).tolist()]
-    ends = [*gaps[width - 1 :].tolist(), len(words)]
     digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(words[a:b], SEED) for a, b in zip(starts, ends, strict=True)), np.uint64, n)
-
-
-def fingerprint(hashes: np.ndarray) -> int:
-    """A bit is 1 if it is set in over half of the hashes."""
-    if not len(hashes):
-        return 0
-    bits = np.unpackbits(np.ascontiguousarray(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    counts = np.zeros(64, np.int64)
-    for i in range(0, len(bits), 250):  # sums of up to 250 fit a byte, which adds faster
-        counts += bits[i : i + 250].sum(axis=0, dtype=np.uint8)
-    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    if n <= 1:
+        yield np.array([digest(words, SEED)], np.uint64)
+        return
+    for lo in range(0, n, portion):
+        hi = min(n, lo + portion)
+        starts = (gaps[max(0, lo - 1) : hi - 1] + 1).tolist()
+        ends = gaps[lo + width - 1 : hi + width - 1].tolist()
+        if lo == 0:
+            starts.insert(0, 0)
+        if hi == n:
+            ends.append(len(words))
+        yield np.fromiter((digest(words[a:b], SEED) for a, b in zip(starts, ends, strict=True)), np.uint64, hi - lo)
+
+
+def fingerprint(hashes: Iterable[np.ndarray]) -> int:
+    """A bit is 1 if it is set in over half of the hashes, which come in portions."""
+    counts, total = np.zeros(64, np.int64), 0
+    for part in hashes:
+        total += len(part)
+        bits = np.unpackbits(np.ascontiguousarray(part, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        for i in range(0, len(bits), 250):  # sums of up to 250 fit a byte, which adds faster
+            counts += bits[i : i + 250].sum(axis=0, dtype=np.uint8)
+    return int(np.packbits(counts * 2 > total, bitorder="little").view("<u8")[0]) if total else 0
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = 4) -> DataFrame:

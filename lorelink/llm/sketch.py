@@ -39,7 +39,7 @@ def sketch(text: Column, width: int = 5, fraction_bits: int = FRACTION_BITS) ->
         return F.when(F.size(h) >= width, F.transform(F.sequence(F.lit(1), F.greatest(F.size(h) - width + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(h, i, width)))).when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
 
     def kept(all_: Column) -> Column:
-        return let(F.filter(all_, lambda x: (x >= 0) & (x < top)), lambda low: F.when((F.size(low) > 0) | (F.size(all_) == 0), F.array_sort(F.array_distinct(low))).otherwise(F.array(F.array_min(all_))))
+        return let(F.filter(all_, lambda x: (x >= 0) & (x <= top - 1)), lambda low: F.when((F.size(low) > 0) | (F.size(all_) == 0), F.array_sort(F.array_distinct(low))).otherwise(F.array(F.array_min(all_))))
 
     return let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: let(shingles(h), kept))
 
@@ -47,7 +47,7 @@ def sketch(text: Column, width: int = 5, fraction_bits: int = FRACTION_BITS) ->
 def merged(a: Column, b: Column, fraction_bits: int = FRACTION_BITS) -> Column:
     """The sketch of two texts taken together (shingles across their border aside)."""
     top = 1 << (64 - fraction_bits)
-    return let(F.array_sort(F.array_union(a, b)), lambda u: let(F.filter(u, lambda x: (x >= 0) & (x < top)), lambda low: F.when((F.size(low) > 0) | (F.size(u) == 0), low).otherwise(F.array(F.array_min(u)))))
+    return let(F.array_sort(F.array_union(a, b)), lambda u: let(F.filter(u, lambda x: (x >= 0) & (x <= top - 1)), lambda low: F.when((F.size(low) > 0) | (F.size(u) == 0), low).otherwise(F.array(F.array_min(u)))))
 
 
 def resemblance(a: Column, b: Column) -> Column:
