@@ -36,8 +36,11 @@ _BASE = KINDS + 6
 PER_LINE = _BASE * (1 + len(_STEPS)) + 3
 FEATURES = 3 * PER_LINE + 3
 
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_ODD = 0x9E3779B97F4A7C15
+_TWIN = KINDS + 2  # whether the text has the line twice; 1 in all its steps too
+_TWIN_COLUMNS = [_TWIN + k * _BASE for k in range(1 + len(_STEPS))]
+#: About so many bytes of lines are looked at together.
+PORTION = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -51,21 +54,25 @@ class Settings:
 
 
 def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit polynomial hash of each range of bytes, which doesn't depend on where the range stands."""
-    n = len(data)
-    with np.errstate(over="ignore"):
-        up = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, _ODD, np.uint64))])
-        sums = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1])])
-        back = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, _BACK, np.uint64))])
-        return (sums[ends] - sums[starts]) * back[starts]
-
-
-def line_features(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features of every line of some texts, the lines' lengths in bytes, and each text's first line (one more than texts).
+    """A 64-bit polynomial hash of each range of bytes (which don't overlap, and are in order)."""
+    size = ends - starts
+    out = np.zeros(len(starts), np.uint64)
+    full = np.flatnonzero(size)
+    if len(full):
+        first = np.cumsum(size[full]) - size[full]
+        within = np.arange(int(size.sum())) - np.repeat(first, size[full])
+        values = data[within + np.repeat(starts[full], size[full])].astype(np.uint64) + np.uint64(1)
+        with np.errstate(over="ignore"):
+            powers = np.cumprod(np.full(int(size.max()), _ODD, np.uint64))
+            out[full] = np.add.reduceat(values * powers[within], first)
+    return out
+
+
+def split_lines(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every line of some texts, and each text's first line (one more than texts).
 
     A text has one line more than line feeds, so an empty text has one, which is empty.
     """
-    texts = len(ends) - 1
     feeds = np.flatnonzero(data == 10)
     per_text = np.searchsorted(feeds, ends[1:]) - np.searchsorted(feeds, ends[:-1]) + 1
     first = np.concatenate([[0], np.cumsum(per_text)])
@@ -76,48 +83,95 @@ def line_features(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nd
     lo, hi = np.empty(lines, np.int64), np.empty(lines, np.int64)
     lo[is_first], lo[~is_first] = ends[:-1], feeds + 1
     hi[is_last], hi[~is_last] = ends[1:], feeds
-    size = hi - lo
+    return lo, hi, first
+
+
+def _own_features(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """PER_LINE features of lines of `data` by themselves (not whether they are twins), and their hashes."""
+    lines, size = len(lo), hi - lo
     kind = _KIND[data]
     counts = np.empty((lines, KINDS))
     for k in range(KINDS):
-        sums = np.concatenate([[0], np.cumsum(kind == k, dtype=np.int64)])
+        sums = np.concatenate([[0], np.cumsum(kind == k, dtype=np.int32)])
         counts[:, k] = sums[hi] - sums[lo]
-    # words: runs of bytes that aren't white space, which no line or text shares with another
+    # words: runs of bytes that aren't white space, which lines don't share
     inside = kind != 0
     border = np.zeros(len(data) + 1, bool)
-    border[ends] = True
-    before = np.concatenate([[False], inside[:-1]]) if len(data) else inside
-    starts = np.flatnonzero(inside & (~before | border[:-1]))
-    after = np.concatenate([inside[1:], [False]]) if len(data) else inside
-    stops = np.flatnonzero(inside & (~after | border[1:])) + 1
+    border[lo] = border[hi] = True
+    starts = np.flatnonzero(inside & (~np.concatenate([[False], inside[:-1]]) | border[:-1])) if len(data) else np.zeros(0, np.int64)
+    stops = np.flatnonzero(inside & (~np.concatenate([inside[1:], [False]]) | border[1:])) + 1 if len(data) else starts
     word_line = np.searchsorted(lo, starts, "right") - 1
     words = np.bincount(word_line, minlength=lines).astype(float)
     h = _hashes(data, starts, stops)
-    same = np.zeros(len(h))
+    same = np.zeros(len(h), bool)
     for back in (1, 2, 3):
-        if len(h) > back:
-            same[back:] = np.maximum(same[back:], (h[back:] == h[:-back]) & (np.searchsorted(ends, starts[back:], "right") == np.searchsorted(ends, starts[:-back], "right")))
+        same[back:] |= (h[back:] == h[:-back]) & (word_line[back:] == word_line[:-back])
     repeats = np.bincount(word_line, same, minlength=lines)
-    text_of = np.repeat(np.arange(texts), per_text)
-    lh = _hashes(data, lo, hi)
-    order = np.lexsort((lh, text_of))
-    twin = np.zeros(lines, bool)
-    if lines > 1:
-        equal = (lh[order][1:] == lh[order][:-1]) & (text_of[order][1:] == text_of[order][:-1])
-        twin[order[1:][equal]] = True
-        twin[order[:-1][equal]] = True
     ratio = counts / np.maximum(size, 1)[:, None]
     letters = counts[:, 1] + counts[:, 2] + counts[:, 4]
-    base = np.column_stack([ratio, counts[:, 2] / np.maximum(counts[:, 1] + counts[:, 2], 1), repeats / np.maximum(words, 1), twin & (size > 0), np.minimum(1, size / np.maximum(words, 1) / 20), counts[:, 7:9].sum(1) / np.maximum(words, 1), letters / np.maximum(size - counts[:, 0], 1)])
-    own = np.column_stack([base, *[base > s for s in _STEPS], np.log1p(size) / 10, size == 0, words <= 3])
-    out = np.zeros((lines, FEATURES), np.float32)
+    base = np.column_stack([ratio, counts[:, 2] / np.maximum(counts[:, 1] + counts[:, 2], 1), repeats / np.maximum(words, 1), np.zeros(lines), np.minimum(1, size / np.maximum(words, 1) / 20), counts[:, 7:9].sum(1) / np.maximum(words, 1), letters / np.maximum(size - counts[:, 0], 1)]).astype(np.float32)
+    return np.column_stack([base, *[base > s for s in _STEPS], np.log1p(size) / 10, size == 0, words <= 3]).astype(np.float32), _hashes(data, lo, hi)
+
+
+def _portions(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """_own_features of all lines, about PORTION bytes of them at a time, or one line."""
+    at = 0
+    while at < len(lo):
+        to = max(at + 1, int(np.searchsorted(hi, lo[at] + PORTION, "right")))
+        yield slice(at, to), *_own_features(data[lo[at] : hi[to - 1]], lo[at:to] - lo[at], hi[at:to] - lo[at])
+        at = to
+
+
+def _twins(hashes: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Whether a text has the line, if it isn't empty, more than once."""
+    text_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    order = np.lexsort((hashes, text_of))
+    equal = (hashes[order][1:] == hashes[order][:-1]) & (text_of[order][1:] == text_of[order][:-1])
+    twin = np.zeros(len(hashes), bool)
+    twin[order[1:][equal]] = True
+    twin[order[:-1][equal]] = True
+    return twin & (size > 0)
+
+
+def _neighbours(first: np.ndarray, lines: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which lines are a text's first, and last."""
+    is_first, is_last = np.zeros(lines, bool), np.zeros(lines, bool)
+    is_first[first[:-1]] = True
+    is_last[first[1:] - 1] = True
+    return is_first, is_last
+
+
+def line_features(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of every line of some texts, the lines' lengths in bytes, and each text's first line (one more than texts)."""
+    lo, hi, first = split_lines(data, ends)
+    own, hashes = np.empty((len(lo), PER_LINE), np.float32), np.empty(len(lo), np.uint64)
+    for part, f, h in _portions(data, lo, hi):
+        own[part], hashes[part] = f, h
+    own[:, _TWIN_COLUMNS] = _twins(hashes, hi - lo, first)[:, None]
+    is_first, is_last = _neighbours(first, len(lo))
+    out = np.zeros((len(lo), FEATURES), np.float32)
     out[:, :PER_LINE] = own
     out[1:, PER_LINE : 2 * PER_LINE] = own[:-1]
     out[:-1, 2 * PER_LINE : 3 * PER_LINE] = own[1:]
     out[is_first, PER_LINE : 2 * PER_LINE] = 0
     out[is_last, 2 * PER_LINE : 3 * PER_LINE] = 0
     out[:, -3], out[:, -2], out[:, -1] = 1, is_first, is_last
-    return out, size, first
+    return out, hi - lo, first
+
+
+def emission_scores(data: np.ndarray, ends: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """line_features(...) @ w without the matrix of all lines: a few numbers a line are kept, so very long texts fit."""
+    lo, hi, first = split_lines(data, ends)
+    parts = w[: 3 * PER_LINE].reshape(3, PER_LINE).T.astype(np.float32)
+    own, hashes = np.empty((len(lo), 3)), np.empty(len(lo), np.uint64)
+    for part, f, h in _portions(data, lo, hi):
+        own[part], hashes[part] = f @ parts, h
+    own += _twins(hashes, hi - lo, first)[:, None] * parts[_TWIN_COLUMNS].sum(0)
+    is_first, is_last = _neighbours(first, len(lo))
+    z = own[:, 0] + w[-3] + is_first * w[-2] + is_last * w[-1]
+    z[1:] += np.where(is_first[1:], 0, own[:-1, 1])
+    z[:-1] += np.where(is_last[:-1], 0, own[1:, 2])
+    return z, hi - lo, first
 
 
 class LineField:
@@ -127,12 +181,12 @@ class LineField:
         self.w, self.t = np.zeros(FEATURES), np.zeros((2, 2))
         self.slope, self.shift = 1.0, 0.0
 
-    def marginals(self, features: np.ndarray, first: np.ndarray, parts: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
-        """P(good) of each line; with `parts` also the expected transitions, summed over all texts.
+    def marginals(self, z: np.ndarray, first: np.ndarray, parts: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+        """P(good) of each line by its emission score; with `parts` also the expected transitions, summed over all texts.
 
         All texts step together, the longest first, so those that have ended drop off the end of the arrays.
         """
-        z = np.clip(features @ self.w.astype(np.float32), -30, 30).astype(np.float64)
+        z = np.clip(z, -30, 30)
         e = np.stack([np.exp(-np.maximum(z, 0)), np.exp(np.minimum(z, 0))], axis=1)  # bad, good; the larger one is 1
         a = np.exp(self.t - self.t.max())
         n = np.diff(first)
@@ -158,14 +212,14 @@ class LineField:
         pairs = alpha[row - 1][:, :, None] * a * (e[row] * beta[row])[:, None, :]
         return p[:, 1], (pairs / pairs.sum((1, 2), keepdims=True)).sum(0)
 
-    def raw(self, features: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
+    def raw(self, z: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Length-weighted mean of P(good) of each text."""
-        p, _ = self.marginals(features, first)
+        p, _ = self.marginals(z, first)
         weight = size + 1.0
         return np.add.reduceat(p * weight, first[:-1]) / np.add.reduceat(weight, first[:-1])
 
-    def score(self, features: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-(self.slope * self.raw(features, size, first) + self.shift)))
+    def score(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-(self.slope * self.raw(*emission_scores(data, ends, self.w)) + self.shift)))
 
     def fit(self, features: np.ndarray, size: np.ndarray, first: np.ndarray, y: np.ndarray, weight: np.ndarray, s: Settings) -> None:
         """Adam on the conditional likelihood of lines, then the logistic function by Newton's method with documents' weights."""
@@ -181,14 +235,14 @@ class LineField:
             x, label = features[rows], np.repeat(y[pick], n)
             share = np.repeat(1 / n, n)  # each text counts once, however many lines it has
             self.w, self.t = theta[:FEATURES], theta[FEATURES:].reshape(2, 2)
-            p, pairs = self.marginals(x, at, parts=True)
+            p, pairs = self.marginals((x @ self.w.astype(np.float32)).astype(float), at, parts=True)
             seen = np.zeros((2, 2))
             seen[0, 0], seen[1, 1] = ((n - 1)[y[pick] == k].sum() for k in (0, 1))
             g = np.concatenate([x.T @ ((p - label) * share) / len(pick), ((pairs - seen) / max(1, at[-1])).ravel()]) + 1e-4 * theta
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             theta = theta - 0.05 * (1 - step / (s.steps + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         self.w, self.t = theta[:FEATURES], np.clip(theta[FEATURES:].reshape(2, 2), -3, 3)
-        raw = self.raw(features, size, first)
+        raw = self.raw((features @ self.w.astype(np.float32)).astype(float), size, first)
         x, b = np.column_stack([raw, np.ones(len(raw))]), np.zeros(2)
         for _ in range(50):
             q = 1 / (1 + np.exp(-(x @ b)))
@@ -229,7 +283,7 @@ def _scores(field: LineField | None, texts: pa.Array) -> np.ndarray:
         while first < n:
             last = max(first + 1, int(np.searchsorted(ends, ends[first] + (2 << 20), "right")) - 1)
             base = ends[first]
-            score[first:last] = field.score(*line_features(data[base : ends[last]], ends[first : last + 1] - base))
+            score[first:last] = field.score(data[base : ends[last]], ends[first : last + 1] - base)
             first = last
     return score
 
