@@ -193,9 +193,13 @@ def words(text: Column | str) -> Column:
     return let(F.split(col(text), rf"[^{W}]+", -1), lambda w: F.when((F.size(w) > 0) & (F.element_at(w, -1) == ""), F.slice(w, 1, F.size(w) - 1)).otherwise(w))
 
 
-def register(spark, names: Iterable[str] = ("normalize", "tokenize", "ngrams")) -> None:
+def register(spark, names: Iterable[str] = ("normalize", "tokenize")) -> None:
     """Make SQL functions of the central ones, so that plans in SQL can use them: lorelink_normalize(text), lorelink_tokenize(text)."""
-    table = {"normalize": ("STRING", f"CASE WHEN length(trim(lower(translate(replace(t, '-', ' '), '{_SOURCE + _MARKS}', '{_TARGET}')))) = 0 THEN t ELSE trim(lower(translate(replace(t, '-', ' '), '{_SOURCE + _MARKS}', '{_TARGET}'))) END"), "tokenize": ("ARRAY<STRING>", "regexp_extract_all(t, r\"" + TOKEN + "\", 0)")}
+    def quoted(x: str) -> str:
+        return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    plain = f"btrim(lower(translate(replace(t, '-', ' '), {quoted(_SOURCE + _MARKS)}, {quoted(_TARGET)})), ' \\t\\n\\r')"
+    table = {"normalize": ("STRING", f"if(length({plain}) = 0, t, {plain})"), "tokenize": ("ARRAY<STRING>", f"regexp_extract_all(t, {quoted(TOKEN)}, 0)")}
     for name in names:
         if name in table:
             spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION lorelink_{name}(t STRING) RETURNS {table[name][0]} RETURN {table[name][1]}")

@@ -18,7 +18,7 @@ def parse_filter(text: str) -> tuple[list[tuple[str, str, float]], bool]:
 
 
 def condition(conditions: list[tuple[str, str, float]]) -> Column:
-    """All conditions together; a key that isn't a column fails when the plan is made."""
+    """All conditions together."""
     out = F.lit(True)
     for key, op, n in conditions:
         out = out & (F.col(key) >= n if op == ">=" else F.col(key) > n)
@@ -33,10 +33,15 @@ def unique(links: DataFrame, order: list[str] | None = None) -> DataFrame:
 
 
 def filtered(links: DataFrame, text: str | None) -> DataFrame:
-    """The links that a filter keeps: thresholds, then uniqueness, so a link below a threshold leaves no trace in its context."""
+    """The links that a filter keeps: thresholds, then uniqueness, so a link below a threshold leaves no trace in its context.
+
+    A key that isn't a column raises KeyError when the plan is made.
+    """
     if not text:
         return links
     conditions, once = parse_filter(text)
+    if unknown := [k for k, _, _ in conditions if k not in links.columns]:  # Spark would look it up below a projection that dropped it
+        raise KeyError(f"links have no {', '.join(unknown)} here")
     links = links.where(condition(conditions)) if conditions else links
     return unique(links) if once else links
 

@@ -171,7 +171,7 @@ ORACLE_SQL: dict[str, str] = {
     "pageview_trends": f"WITH {_VIEWS} SELECT title, day, round(CASE WHEN views_week > 0 THEN views_day / views_week ELSE 0 END, 9) AS trend_day, round(CASE WHEN views_4week > 0 THEN views_week / views_4week ELSE 0 END, 9) AS trend_week, round(CASE WHEN views_year > 0 THEN views_4week / views_year ELSE 0 END, 9) AS trend_4week FROM w",
     "context_edges": f"{_GRAPH} SELECT context, src, dst, t FROM graph",
     "context_degree": f"{_GRAPH} SELECT context, node, degree, round(CASE WHEN n > 1 THEN degree / (n - 1) ELSE 1 END, 9) AS degree_centrality FROM nodes",
-    "context_pagerank": f"{_GRAPH}, {_round(1)}, {_round(2)}, {_round(3)} SELECT context, node, round(r, 9) AS pagerank, round(r * n, 9) AS pagerank_normalized FROM r3",
+    "context_pagerank": f"{_GRAPH}, {_round(1)}, {_round(2)}, {_round(3)} SELECT context, node, round(r + 1e-12, 9) AS pagerank, round(r * n + 1e-12, 9) AS pagerank_normalized FROM r3",
     "feedback_join": f"WITH {_HISTORY} SELECT context, id, CASE WHEN feedback = 'positive' THEN 'positive' WHEN feedback = 'negative' OR num % 3 = 0 THEN 'negative' ELSE 'unknown' END AS feedback FROM hist",
     "evaluate_counts": f"""WITH {_HISTORY}, s AS (SELECT context, request_id, feedback FROM hist UNION ALL SELECT '*', request_id, feedback FROM hist)
         SELECT context, count(DISTINCT request_id) AS requests, count(*) AS links, count(*) FILTER (feedback IS NULL) AS missing, count(*) FILTER (feedback = 'positive') AS positive, count(*) FILTER (feedback = 'negative') AS negative FROM s GROUP BY ALL""",

@@ -232,9 +232,9 @@ def context_degree(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def context_pagerank(spark: SparkSession, sf: str) -> DataFrame:
-    """Three rounds, as SQL can spell these out."""
+    """Three rounds, as SQL can spell these out; a little is added, so that exact halves round alike."""
     x = context.pagerank(_graph(spark, sf), rounds=3, settle=settled)
-    return x.select("context", "node", F.round("pagerank", 9).alias("pagerank"), F.round("pagerank_normalized", 9).alias("pagerank_normalized"))
+    return x.select("context", "node", F.round(F.col("pagerank") + 1e-12, 9).alias("pagerank"), F.round(F.col("pagerank_normalized") + 1e-12, 9).alias("pagerank_normalized"))
 
 
 # --- learning ---
