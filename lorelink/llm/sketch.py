@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import SPACE
 
 #: A hash is kept if it is below 1 / 2**FRACTION_BITS of the 64-bit range.
-FRACTION_BITS = 3
+FRACTION_BITS = 2
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
