@@ -38,3 +38,33 @@ def test_chunk_numbers(spark, source, tmp_path):
 def test_context_degrees(spark, source, tmp_path):
     got = drained(spark, streams.context_degrees(source), tmp_path)
     assert sorted((r.context, r.request_id, r.title, r.degree) for r in got.collect()) == [("c", "a", "T", 1), ("c", "a", "U", 0), ("c", "b", "T", 2), ("c", "b", "V", 1), ("d", "x", "T", 1)]
+
+
+def timed(spark, tmp_path, name, rows, columns):
+    (tmp_path / name).mkdir()
+    df = pd.DataFrame(rows, columns=columns)
+    df["ts"] = pd.to_datetime(df["ts"]).astype("datetime64[us]")
+    spark.createDataFrame(df).write.mode("overwrite").parquet(str(tmp_path / name))
+    return spark.readStream.schema(spark.read.parquet(str(tmp_path / name)).schema).parquet(str(tmp_path / name))
+
+
+def test_windows_and_sessions(spark, tmp_path):
+    rows = [("2024-01-01 00:05", 1, "a"), ("2024-01-01 00:20", 1, "a"), ("2024-01-01 01:30", 1, "b"), ("2024-01-01 09:00", 2, "a"), ("2024-01-02 09:00", 2, "a")]
+    events = timed(spark, tmp_path, "e", rows, ["ts", "user_id", "event_type"])
+    got = drained(spark, streams.window_counts(events, length="1 hour", slide="30 minutes"), tmp_path)
+    assert {(str(r.start)[11:16], r.event_type, r.n) for r in got.collect()} >= {("00:00", "a", 2), ("01:00", "b", 1), ("01:30", "b", 1), ("09:00", "a", 1)}
+    (tmp_path / "second").mkdir()
+    got = drained(spark, streams.session_counts(events), tmp_path / "second")
+    assert sorted((r.user_id, str(r.start)[11:16], str(r.end)[11:16], r.n) for r in got.collect()) == [(1, "00:05", "00:50", 2), (1, "01:30", "02:00", 1), (2, "09:00", "09:30", 1)]
+
+
+def test_late_feedback(spark, tmp_path):
+    links = timed(spark, tmp_path, "l", [("2024-01-01 00:00", "c", "1"), ("2024-01-01 00:00", "c", "2"), ("2024-01-03 00:00", "c", "9")], ["ts", "context", "id"])
+    given = timed(spark, tmp_path, "f", [("2024-01-01 00:30", "c", "1", "good"), ("2024-01-01 05:00", "c", "2", "bad"), ("2024-01-03 00:00", "c", "8", "bad")], ["ts", "context", "id", "type"])
+    got = drained(spark, streams.late_feedback(links, given), tmp_path)
+    assert sorted((r.id, r.feedback) for r in got.collect() if r.id != "9") == [("1", "good"), ("2", None)]
+
+
+def test_history(spark, source, tmp_path):
+    streams.keep_history(source, str(tmp_path / "history"), str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "history")).count() == 5
