@@ -62,8 +62,9 @@ def containment(a: Column, b: Column) -> Column:
 
 
 def as_text(hashes: Column) -> Column:
-    """16 hex digits for each hash of a sketch, in order."""
-    return F.array_join(F.transform(hashes, lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "")
+    """The hashes of a sketch, 8 bytes each, in order, in base64."""
+    digits = F.array_join(F.transform(hashes, lambda x: F.lpad(F.hex(x), 16, "0")), "")
+    return F.translate(F.base64(F.unhex(digits)), "\r\n", "")
 
 
 def _bucket(ids: DataFrame, column: str, rows_per_bucket: int, most: int) -> tuple[Column, int]:
