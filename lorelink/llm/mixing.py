@@ -57,7 +57,9 @@ def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, window: int =
     """How many documents of each size to take once so that their sizes sum to budget, or to the largest sum found below it.
 
     A share of all but `window` of the budget comes first, spread evenly over the documents in order of size; the longest
-    that leave `window` follow, if that share fell short; the knapsack fits the rest.
+    that leave `window` follow, if that share fell short; the knapsack fits the whole rest, which is at most 4 * window or
+    `window` plus the shortest size that is left. If the budget isn't met so and some size is above `window`, that size
+    is tried as the window, and the larger sum counts.
     """
     sizes, counts = sizes.astype(np.int64), counts.astype(np.int64)
     total = int((sizes * counts).sum())
@@ -77,7 +79,10 @@ def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, window: int =
             continue
         took[k] -= n
         rest += n * int(sizes[k])
-    took += knapsack(sizes, counts - took, min(rest, 4 * window))
+    took += knapsack(sizes, counts - took, rest)
+    if window < sizes[0] and (took * sizes).sum() < budget:  # the share's few long texts may leave more than need be
+        again = fit_budget(sizes, counts, budget, int(sizes[0]))
+        took = max(took, again, key=lambda t: int((t * sizes).sum()))
     out = np.empty_like(took)
     out[order] = took
     return out

@@ -32,6 +32,25 @@ def test_budget_is_met(counts, share):
     assert 0 <= budget - (took * sizes).sum() <= sizes.max()
 
 
+def test_few_very_long_texts():
+    fit = lambda sizes, counts, budget: int((mixing.fit_budget(np.array(sizes), np.array(counts), budget) * sizes).sum())
+    assert fit([90_000], [3], 100_000) == 90_000
+    assert fit([70_000, 300_000], [1, 2], 350_000) == 300_000
+    assert fit([200_000, 3_000_000], [1, 1], 3_100_000) == 3_000_000
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.dictionaries(st.integers(17, 300), st.integers(1, 3), min_size=1, max_size=6), st.floats(0, 1))
+def test_no_text_that_fits_is_left(counts, share):
+    """Sizes above 4 * window: whatever is still there is longer than what is left of the budget."""
+    sizes, n = np.array(list(counts)), np.array(list(counts.values()))
+    budget = int((sizes * n).sum() * share)
+    took = mixing.fit_budget(sizes, n, budget, window=4)
+    rest = budget - int((took * sizes).sum())
+    assert (took >= 0).all() and (took <= n).all() and rest >= 0
+    assert not (sizes[took < n] <= rest).any()
+
+
 def goals(size):
     names = sorted((s for s in size if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in size)
     weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
