@@ -29,10 +29,10 @@ def col(x: Column | str) -> Column:
 # --- normal forms ---
 
 
-def _accent_table() -> tuple[str, str, str]:
-    """Characters that decompose to one base character, these, and combining marks: by rule, for all of Unicode."""
-    source, target, marks = [], [], []
-    for point in range(0x80, min(sys.maxunicode, 0xFFFF) + 1):
+def _accent_table() -> tuple[str, str, str, str]:
+    """Characters up to U+FFFF that decompose to one base character, these, combining marks, and those that decompose otherwise."""
+    source, target, marks, others = [], [], [], []
+    for point in range(0x80, 0x10000):
         c = chr(point)
         if unicodedata.combining(c):
             marks.append(c)
@@ -41,10 +41,25 @@ def _accent_table() -> tuple[str, str, str]:
         if len(base) == 1 and base[0] != c and not 0xD800 <= point <= 0xDFFF:
             source.append(c)
             target.append(base[0])
-    return "".join(source), "".join(target), "".join(marks)
+        elif base != [c] and not 0xD800 <= point <= 0xDFFF:
+            others.append(c)
+    return "".join(source), "".join(target), "".join(marks), "".join(others)
 
 
-_SOURCE, _TARGET, _MARKS = _accent_table()
+def _ranges(chars: str) -> str:
+    """The characters as the inside of a pattern's class."""
+    points, out = sorted(map(ord, chars)), []
+    for p in points:
+        if out and p == out[-1][1] + 1:
+            out[-1][1] = p
+        else:
+            out.append([p, p])
+    return "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in out)
+
+
+_SOURCE, _TARGET, _MARKS, _OTHERS = _accent_table()
+#: A character that translate() doesn't bring to its full form.
+_NEEDS_NFKD = rf"[{_ranges(_OTHERS)}\x{{10000}}-\x{{10ffff}}]"
 
 
 @F.pandas_udf(StringType())
@@ -55,10 +70,14 @@ def _strip_nfkd(texts: pd.Series) -> pd.Series:
 def remove_accents(text: Column | str, exact: bool = False) -> Column:
     """Without accents, as NFKD decomposition leaves the text once combining marks are dropped.
 
-    The plain form is one translate() and covers every character that decomposes to one base character. Some (ligatures,
-    fractions) decompose to several; `exact` handles these too, by an Arrow function in Python.
+    The plain form is one translate() and covers every character up to U+FFFF that decomposes to one base character. Some
+    (Hangul, ligatures, fractions) decompose to several; `exact` handles these and all others too, by an Arrow function in
+    Python that gets only the texts with such a character.
     """
-    return _strip_nfkd(col(text)) if exact else F.translate(col(text), _SOURCE + _MARKS, _TARGET)
+    plain = F.translate(col(text), _SOURCE + _MARKS, _TARGET)
+    if not exact:
+        return plain
+    return F.coalesce(_strip_nfkd(F.when(F.rlike(col(text), F.lit(_NEEDS_NFKD)), col(text))), plain)
 
 
 def normalize(text: Column | str, dash: bool = True, accents: bool = True, lower: bool = True, exact: bool = False) -> Column:

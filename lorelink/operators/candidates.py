@@ -26,7 +26,7 @@ def text_ngrams(requests: DataFrame, longest: int) -> DataFrame:
     return requests.select("request_id", "lang", "sentence_no", F.explode(ngrams("text", longest)).alias("ngram"))
 
 
-def candidates(requests: DataFrame, kb: KB, dash: bool = True, accents: bool = True, lower: bool = False, max_ngram: int | None = None, head: bool = True, least_sense: float = -1.0, only_best: bool = False, exact: bool = False) -> DataFrame:
+def candidates(requests: DataFrame, kb: KB, dash: bool = True, accents: bool = True, lower: bool = False, max_ngram: int | None = None, head: bool = True, least_sense: float = -1.0, only_best: bool = False, exact: bool = True) -> DataFrame:
     """Links: a row for each n-gram of a request, label that it may be, and sense of that label.
 
     requests: request_id, lang, text and perhaps sentence_no. An n-gram finds labels by the full normal form and keeps
@@ -83,9 +83,9 @@ def largest_matches(links: DataFrame, requests: DataFrame, dash: bool = True, ac
     if "sentence_no" not in requests.columns:
         requests = requests.withColumn("sentence_no", F.lit(0))
     key = ["request_id", "lang", "sentence_no"]
-    entry = F.struct((-F.length("label")).alias("a"), (-F.col("priorProbability")).alias("b"), F.col("label").alias("label"), F.col("id").alias("id"), normalize("label", dash, accents, lower).alias("norm"))
+    entry = F.struct((-F.length("label")).alias("a"), (-F.col("priorProbability")).alias("b"), F.col("label").alias("label"), F.col("id").alias("id"), normalize("label", dash, accents, lower, exact=True).alias("norm"))
     labels = links.groupBy(*key).agg(F.array_sort(F.collect_set(entry)).alias("_labels"))
-    texts = requests.select(*key, normalize("text", dash, accents, lower).alias("_text"))
+    texts = requests.select(*key, normalize("text", dash, accents, lower, exact=True).alias("_text"))
     start = F.struct(F.col("_text").alias("left"), F.array().cast("array<struct<label:string,id:string>>").alias("kept"))
 
     def step(acc, x):

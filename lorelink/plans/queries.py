@@ -41,7 +41,7 @@ def ngrams_docs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def normalize_docs(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "documents").select("doc_id", F.md5(text.normalize("text")).alias("all_steps"), F.md5(text.normalize("text", lower=False)).alias("default_steps"), F.md5(text.normalize("text", accents=False)).alias("without_accents_step"))
+    return read(spark, sf, "documents").select("doc_id", F.md5(text.normalize("text", exact=True)).alias("all_steps"), F.md5(text.normalize("text", lower=False, exact=True)).alias("default_steps"), F.md5(text.normalize("text", accents=False)).alias("without_accents_step"))
 
 
 def clean_tweets(spark: SparkSession, sf: str) -> DataFrame:

@@ -37,7 +37,7 @@ def star(spark: SparkSession, sf_dir: str) -> KB:
     linked = F.col("l_returnflag") != "N"
     order = F.col("l_orderkey")
     label = named.groupBy("p_name").agg(F.sum(linked.cast("long")).alias("link_occ"), F.countDistinct(F.when(linked, order)).alias("link_doc"), F.count("*").alias("text_occ"), F.countDistinct(order).alias("text_doc"))
-    label = label.select(F.lit(LANG).alias("lang"), F.col("p_name").alias("label"), normalize("p_name").alias("norm_label"), "link_occ", "link_doc", "text_occ", "text_doc")
+    label = label.select(F.lit(LANG).alias("lang"), F.col("p_name").alias("label"), normalize("p_name", exact=True).alias("norm_label"), "link_occ", "link_doc", "text_occ", "text_doc")
     sense = named.where(linked).groupBy("p_name", "l_partkey").agg(F.count("*").alias("occ"), F.countDistinct("l_orderkey").alias("doc"))
     rank = F.row_number().over(Window.partitionBy("p_name").orderBy(F.desc("doc"), "l_partkey")) - 1
     even = F.col("l_partkey") % 2 == 0
@@ -75,7 +75,7 @@ def web(spark: SparkSession, sf_dir: str) -> KB:
     tokens = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(rf"[{W}]+"), F.lit(0))).alias("label"))
     per_doc = tokens.groupBy("label", "doc_id").agg(F.count("*").alias("n"))
     seen = per_doc.groupBy("label").agg(F.sum("n").alias("text_occ"), F.count("*").alias("text_doc"))
-    label = linked.join(seen, "label", "left").select(F.lit(LANG).alias("lang"), "label", normalize("label").alias("norm_label"), "link_occ", "link_doc", F.coalesce("text_occ", F.lit(0)).alias("text_occ"), F.coalesce("text_doc", F.lit(0)).alias("text_doc"))
+    label = linked.join(seen, "label", "left").select(F.lit(LANG).alias("lang"), "label", normalize("label", exact=True).alias("norm_label"), "link_occ", "link_doc", F.coalesce("text_occ", F.lit(0)).alias("text_occ"), F.coalesce("text_doc", F.lit(0)).alias("text_doc"))
     sense = anchors.groupBy("label", "target").agg(F.count("*").alias("occ"), F.countDistinct("page_id").alias("doc"))
     rank = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("doc"), "target")) - 1
     sense = sense.select(F.lit(LANG).alias("lang"), "label", rank.cast("int").alias("sense_rank"), F.col("target").alias("sense_id"), "occ", "doc", F.lit("F").alias("from_title"), F.lit("F").alias("from_redirect"))

@@ -66,3 +66,16 @@ def test_batch_files(spark, tmp_path):
     (tmp_path / "news.txt").write_text("one\ntwo\n")
     got = dumps.batch_requests(spark, str(tmp_path / "*.txt"), "en")
     assert rows(got, "context", "text") == [("news", "one"), ("news", "two")]
+
+
+def test_link_over_a_dump_with_characters_of_several_parts(spark, folder):
+    from lorelink.plans import Options, link
+
+    names = ("\ud55c\uad6d", "\ufb01n", "3\u00bd", "\U0001d400lpha")
+    (folder / "label.csv").write_text("".join(f"'{n},5,4,10,8,v{{s{{2,3,2,T,F}}}}\n" for n in names))
+    kb = dumps.load_dumps(spark, str(folder), "xx")
+    assert kb.label.count() == len(names)
+    requests = spark.createDataFrame([(str(i), "xx", f"see {n} here") for i, n in enumerate(names)], "request_id string, lang string, text string")
+    for more in ({}, {"largestMatching": ""}):
+        found = link(requests, kb, Options.of(more, lang="xx"))
+        assert {(r.request_id, r.label) for r in found.collect()} == {(str(i), n) for i, n in enumerate(names)}
