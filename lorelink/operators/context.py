@@ -46,9 +46,12 @@ def degrees(edges: DataFrame) -> DataFrame:
     return per_node.withColumn("degree_centrality", F.when(nodes > 1, F.col("degree") / (nodes - 1)).otherwise(F.lit(1.0)))
 
 
-def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, settle=None, every: int = 5) -> DataFrame:
+def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, settle=None, every: int = 5, tolerance: float | None = None) -> DataFrame:
     """context, node, pagerank, pagerank_normalized (times the nodes), after `rounds` rounds from an even start.
 
+    With a tolerance, rounds go on until the ranks of no context change by more than it in a round, all its nodes together;
+    should `rounds` rounds not be enough for that, this raises RuntimeError.
+
     Each context is ranked by itself; all of them in one plan. Edges are undirected, so no node is a dead end. Every few
     rounds the ranks are cut from their lineage by `settle`, which writes a DataFrame and reads it (checkpoint by default).
     """
@@ -58,11 +61,22 @@ def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, settle=N
     nodes = degree.withColumn("n", F.count("*").over(Window.partitionBy("context")))
     out = settle(both.join(nodes, ["context", "node"]))
     ranks = settle(nodes.select("context", "node", "n", (1.0 / F.col("n")).alias("rank")))
+    before = ranks
     for k in range(1, rounds + 1):
         sent = out.select("context", "node", F.col("other"), "degree").join(ranks, ["context", "node"]).groupBy("context", F.col("other").alias("node")).agg(F.sum(F.col("rank") / F.col("degree")).alias("got"), F.first("n").alias("n"))
         ranks = sent.select("context", "node", "n", ((1 - damping) / F.col("n") + damping * F.col("got")).alias("rank"))
-        if k % every == 0 and k < rounds:
+        if tolerance is not None and (k % every == 0 or k == rounds):
+            ranks = settle(ranks)
+            change = F.sum(F.abs(F.col("rank") - F.col("was")))
+            moved = ranks.join(before.select("context", "node", F.col("rank").alias("was")), ["context", "node"]).groupBy("context").agg(change.alias("c")).agg(F.max("c")).first()[0]
+            if moved is None or moved <= tolerance:
+                break
+        elif k % every == 0 and k < rounds:
             ranks = settle(ranks)
+        before = ranks
+    else:
+        if tolerance is not None:
+            raise RuntimeError(f"ranks didn't settle within {rounds} rounds")
     return ranks.select("context", "node", F.col("rank").alias("pagerank"), (F.col("rank") * F.col("n")).alias("pagerank_normalized"))
 
 

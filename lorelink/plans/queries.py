@@ -237,6 +237,14 @@ def context_pagerank(spark: SparkSession, sf: str) -> DataFrame:
     return x.select("context", "node", F.round(F.col("pagerank") + 1e-12, 9).alias("pagerank"), F.round(F.col("pagerank_normalized") + 1e-12, 9).alias("pagerank_normalized"))
 
 
+def context_pagerank_converged(spark: SparkSession, sf: str) -> DataFrame:
+    """Ranks run until they stand, over edges of the last 100 chunks. No SQL can spell this out."""
+    kb, found = _best(spark, sf)
+    chunks = context.numbered(order_requests(spark, sf))
+    edges = settled(context.alive(context.graph_edges(found, chunks, least=0.01), chunks))
+    return context.pagerank(edges, rounds=1000, settle=settled, tolerance=1e-6)
+
+
 # --- learning ---
 
 
@@ -312,6 +320,6 @@ QUERIES: dict[str, Query] = {
         tokenize_docs, ngrams_docs, normalize_docs, clean_tweets, quoted_urls, kb_labels, kb_senses, kb_web_labels, kb_norm_index, title_ngrams, title_ngrams_head,
         page_label_shares, missing_titles, translations, link_candidates, link_candidates_web, link_best, largest_match, filter_threshold, filter_unique, links_json,
         article_inlinks, link_relatedness, article_parts, anchor_features, article_features, multi_outlinks, multi_inlinks, multi_tier_one, pageview_windows,
-        pageview_trends, context_edges, context_degree, context_pagerank, feedback_join, evaluate_counts, evaluate_metrics, score_model, stream_unique, stream_window_counts,
+        pageview_trends, context_edges, context_degree, context_pagerank, context_pagerank_converged, feedback_join, evaluate_counts, evaluate_metrics, score_model, stream_unique, stream_window_counts,
     )
 }

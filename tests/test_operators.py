@@ -212,3 +212,38 @@ def test_plugins_and_integrity(asked, kb):
 def test_relatedness_in_articles(kb):
     got = articles.relatedness_pairs(kb, "outlink").where("page_id = '1' AND target_id = '2'").first().relatedness
     assert 0 < got < 1
+
+
+def test_pagerank_runs_until_it_stands(spark):
+    from lorelink.operators import context
+
+    star = [("a", "hub", f"n{i}", 1) for i in range(5)] + [("a", "n0", "m", 1), ("a", "m", "end", 1), ("b", "x", "y", 1), ("b", "y", "z", 1)]
+    edges = spark.createDataFrame(star, "context string, src string, dst string, t int")
+    got = {(r.context, r.node): r.pagerank for r in context.pagerank(edges, rounds=1000, settle=lambda df: df.localCheckpoint(), tolerance=1e-6).collect()}
+    for c in ("a", "b"):
+        near = {}
+        for k, s, d, _ in star:
+            if k == c:
+                near.setdefault(s, []).append(d)
+                near.setdefault(d, []).append(s)
+        rank = dict.fromkeys(near, 1 / len(near))
+        for _ in range(1000):
+            rank = {n: 0.15 / len(near) + 0.85 * sum(rank[o] / len(near[o]) for o in near[n]) for n in near}
+        assert all(abs(got[c, n] - rank[n]) < 1e-5 for n in near)
+
+
+def test_registered_pagerank_keeps_edges_and_settles(monkeypatch):
+    """The registered query asks for the whole graph and for settled ranks."""
+    from lorelink.operators import context
+    from lorelink.plans import queries
+
+    asked = {}
+    monkeypatch.setattr(queries, "_best", lambda *_: (None, None))
+    monkeypatch.setattr(queries, "order_requests", lambda *_: None)
+    monkeypatch.setattr(queries, "settled", lambda df: df)
+    monkeypatch.setattr(context, "numbered", lambda _: None)
+    monkeypatch.setattr(context, "graph_edges", lambda *_, **__: None)
+    monkeypatch.setattr(context, "alive", lambda edges, chunks, span=100: asked.update(span=span))
+    monkeypatch.setattr(context, "pagerank", lambda edges, **more: asked.update(more))
+    queries.context_pagerank_converged(None, "")
+    assert asked["span"] == 100 and asked["tolerance"] and asked["rounds"] == 1000
