@@ -2,9 +2,9 @@
 
 Texts become 64-bit fingerprints. Of the distinct fingerprints, those that differ in at most `errors` bits are linked:
 the bits are cut into errors + 1 pieces or more, two near fingerprints agree in at least one choice of pieces, so each
-fingerprint is dealt to one block for every choice. Within a block a binary trie of the sorted fingerprints is joined
-with itself: pairs of nodes go down together, add up the bits in which they differ, and are dropped beyond the budget.
-A block gives a forest (each fingerprint and its root), never all pairs. Components of the forests' edges are found by
+fingerprint is dealt to one block for every choice. Within each block a binary trie of the sorted fingerprints is joined
+with itself: pairs of nodes go down together, add up the bits in which they differ, and are dropped beyond the budget; the
+tries of all blocks that a task has at hand go down at the same time. A block gives a forest (each fingerprint and its root), never all pairs. Components of the forests' edges are found by
 alternating stars on tables in the shared folder; nothing is collected.
 
 Copies share a fingerprint and are one row in all of this, however many they are. The number of pieces follows the number
@@ -25,9 +25,8 @@ from pyspark.sql import functions as F
 from .common import map_arrow, settled, shuffle_partitions, utf8
 
 SEED = 42
-ALL = (1 << 64) - 1
-#: Up to so many fingerprints are compared pairwise at a trie's leaf.
-LEAF = 32
+#: Parts into which the members of a component are dealt.
+SLICES = 32
 
 
 def shingle_hashes(text: bytes, width: int = 4, portion: int = 1 << 16) -> Iterator[np.ndarray]:
@@ -96,60 +95,64 @@ def _join_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         a, b = a[open_], b[open_]
 
 
-def trie_labels(values: np.ndarray, errors: int, limit: int = 1 << 20) -> np.ndarray:
-    """Class of each of the sorted distinct fingerprints, which links of at most `errors` differing bits make.
+def pieces_beyond(count: int, errors: int, most: int = 2048) -> int:
+    """How many pieces more than errors + 1 leave blocks of `count` fingerprints a mean size of at most `most`; 3 at most."""
+    more = 0
+    while more < 3 and count >> (64 * (more + 1) // (errors + 1 + more)) > most:
+        more += 1
+    return more
+
+
+def _middle(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: np.uint64) -> np.ndarray:
+    """The first place in each range whose value has the bit; the range's values agree in all bits above it."""
+    lo, hi = lo.copy(), hi.copy()
+    while len(at := np.flatnonzero(lo < hi)):
+        m = (lo[at] + hi[at]) >> 1
+        one = (values[m] & bit) != 0
+        hi[at[one]] = m[one]
+        lo[at[~one]] = m[~one] + 1
+    return lo
+
 
-    Nodes are ranges of `values`. Pairs of nodes are kept on a stack in portions of at most `limit`, so memory is bounded.
-    A pair whose fingerprints are all in one class already is dropped.
+def trie_labels(values: np.ndarray, errors: int, starts: np.ndarray | None = None, limit: int = 1 << 20, visited: list[int] | None = None) -> np.ndarray:
+    """Class of each of the fingerprints, which links of at most `errors` differing bits within a block make.
+
+    Blocks begin at `starts` (one block, if not given); each has sorted distinct values. A trie's nodes are ranges of
+    `values`; a node of one fingerprint is a leaf, where two meet their remaining bits are added at once. Pairs of nodes
+    are kept on a stack in portions of at most `limit`, so memory is bounded. `visited` gets the number of pairs of each
+    portion.
     """
     labels = np.arange(len(values))
-    zero = np.zeros(1, np.int64)
-    stack = [(0, zero, zero + len(values), zero, zero + len(values), zero)]
+    lo = np.zeros(1, np.int64) if starts is None else starts.astype(np.int64)
+    hi = np.append(lo[1:], len(values))
+    stack = [(0, lo, hi, lo, hi, np.zeros(len(lo), np.int64))]
     while stack:
         depth, alo, ahi, blo, bhi, err = stack.pop()
-        small = ((ahi - alo) * (bhi - blo) <= LEAF * LEAF) if depth < 64 else np.ones(len(alo), bool)
-        if small.any():
-            _leaves(values, labels, errors, *(x[small] for x in (alo, ahi, blo, bhi)))
-        alo, ahi, blo, bhi, err = (x[~small] for x in (alo, ahi, blo, bhi, err))
+        if visited is not None:
+            visited.append(len(alo))
+        leaf = (ahi - alo == 1) & (bhi - blo == 1)
+        if leaf.any():
+            i, j = alo[leaf], blo[leaf]
+            near = (labels[i] != labels[j]) & (np.bitwise_count(values[i] ^ values[j]) <= errors)
+            _join_labels(labels, i[near], j[near])
+            alo, ahi, blo, bhi, err = (x[~leaf] for x in (alo, ahi, blo, bhi, err))
         if not len(alo):
             continue
         bit = np.uint64(1 << (63 - depth))
-
-        def middle(lo: np.ndarray, hi: np.ndarray, bit: np.uint64 = bit) -> np.ndarray:
-            return np.clip(np.searchsorted(values, (values[lo] & ~(bit | (bit - np.uint64(1)))) | bit), lo, hi)
-
-        am, bm, same = middle(alo, ahi), middle(blo, bhi), (alo == blo) & (ahi == bhi)
+        same = alo == blo
+        am = _middle(values, alo, ahi, bit)
+        bm = np.where(same, am, 0)
+        bm[~same] = _middle(values, blo[~same], bhi[~same], bit)
         parts = [(alo, am, blo, bm, err), (am, ahi, bm, bhi, err), (alo, am, bm, bhi, err + 1), tuple(x[~same] for x in (am, ahi, blo, bm, err + 1))]
         nodes = [np.concatenate([p[i] for p in parts]) for i in range(5)]
         kept = (nodes[0] < nodes[1]) & (nodes[2] < nodes[3]) & (nodes[4] <= errors)
+        kept &= (nodes[0] != nodes[2]) | (nodes[1] - nodes[0] > 1)  # a fingerprint with itself
         nodes = [x[kept] for x in nodes]
         for i in range(0, len(nodes[0]), limit):
             stack.append((depth + 1, *(x[i : i + limit] for x in nodes)))
     return labels
 
 
-def _leaves(values: np.ndarray, labels: np.ndarray, errors: int, alo: np.ndarray, ahi: np.ndarray, blo: np.ndarray, bhi: np.ndarray, limit: int = 1 << 21) -> None:
-    """Compare the fingerprints of each pair of small nodes one by one."""
-    size = (ahi - alo) * (bhi - blo)
-    total = np.cumsum(size)
-    first = 0
-    while first < len(size):
-        last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + limit, "right")))
-        n = size[first:last]
-        pair = np.repeat(np.arange(first, last), n)
-        k = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)
-        wide = bhi[pair] - blo[pair]
-        i, j = alo[pair] + k // wide, blo[pair] + k % wide
-        near = (labels[i] != labels[j]) & (np.bitwise_count(values[i] ^ values[j]) <= errors)
-        _join_labels(labels, i[near], j[near])
-        first = last
-
-
-def _small_blocks(starts: np.ndarray, sizes: np.ndarray, values: np.ndarray, labels: np.ndarray, errors: int) -> None:
-    """Blocks that are leaves altogether, all at once."""
-    _leaves(values, labels, errors, starts, starts + sizes, starts, starts + sizes)
-
-
 def block_links(fps: DataFrame, errors: int, more: int = 0) -> DataFrame:
     """fp, root: forests over the distinct fingerprints of `fps` (column fp), a forest for each block."""
     masks = [m - (1 << 64) if m >> 63 else m for m in choices(errors, more)]
@@ -159,16 +162,9 @@ def block_links(fps: DataFrame, errors: int, more: int = 0) -> DataFrame:
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for fp, change in _whole_blocks(batches):
             starts = np.flatnonzero(change)
-            sizes = np.diff(np.append(starts, len(fp)))
             values = fp.view(np.uint64).copy()
-            order = np.lexsort((values, np.repeat(np.arange(len(starts)), sizes)))
-            values = values[order]
-            labels = np.arange(len(values))
-            leaf = sizes <= LEAF
-            few = leaf & (sizes > 1)
-            _small_blocks(starts[few], sizes[few], values, labels, errors)
-            for at, n in zip(starts[~leaf].tolist(), sizes[~leaf].tolist(), strict=True):
-                labels[at : at + n] = at + trie_labels(values[at : at + n], errors)
+            values = values[np.lexsort((values, np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(fp))))))]
+            labels = trie_labels(values, errors, starts)
             linked = np.flatnonzero(labels != np.arange(len(labels)))
             if len(linked):
                 yield pa.RecordBatch.from_arrays([pa.array(values[linked].view(np.int64)), pa.array(values[labels[linked]].view(np.int64))], ["fp", "root"])
@@ -242,22 +238,11 @@ def near_duplicates(docs: DataFrame, errors: int = 4, width: int = 4, id_column:
     """
     fps = settled(fingerprints(docs, id_column, text, width), "fingerprints")
     first = settled(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    count, more = first.count(), 0
-    while more < 3 and count >> (64 * (more + 1) // (errors + 1 + more)) > 2048:  # mean size of a block
-        more += 1
-    roots = components(block_links(first.select("fp"), errors, more))
+    roots = components(block_links(first.select("fp"), errors, pieces_beyond(first.count(), errors)))
     members = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     class_id = members.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = members.join(class_id, "root").select("fp", "component_id")
+    # a component may have very many fingerprints: its members are dealt into slices, to each of which its id is sent
+    sliced = members.withColumn("_slice", F.pmod(F.xxhash64("fp"), F.lit(SLICES)))
+    named = sliced.join(class_id.withColumn("_slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SLICES - 1).cast("long")))), ["root", "_slice"]).select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
-
-def one_of_each(docs: DataFrame, errors: int = 4, width: int = 4, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that stand for their component: the one with the least id.
-
-    Rows that repeat an id and its text stay once. Rows with a null id stay, as they can't be told apart.
-    """
-    marks = near_duplicates(docs, errors, width, id_column, text).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.where(F.col(id_column).isNotNull()).withColumn("__text", F.xxhash64(text))
-    stay = named.join(marks, F.col(id_column).cast("long") == F.col("__kept"), "left_semi").dropDuplicates([id_column, "__text"]).drop("__text")
-    return stay.unionAll(docs.where(F.col(id_column).isNull()))

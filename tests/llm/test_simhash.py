@@ -58,6 +58,23 @@ def test_trie_against_all_pairs():
     assert got.tolist() == [want[i] for i in range(len(values))]
 
 
+def test_tries_of_many_blocks():
+    """Small blocks go down tries too; far pairs are dropped on the way, not at the leaves."""
+    rng = random.Random(5)
+    parts = [near_values(rng, 2, k, k) for k in range(1, 12)] + [np.array([7], np.uint64)]
+    starts = np.cumsum([0, *map(len, parts[:-1])])
+    visited = []
+    got = simhash.trie_labels(np.concatenate(parts), 4, starts, visited=visited)
+    for at, part in zip(starts, parts, strict=True):
+        want = classes(dict(enumerate(part.tolist())))
+        assert (got[at : at + len(part)] - at).tolist() == [want[i] for i in range(len(part))]
+    assert len(visited) > 8 and visited[0] == len(parts)
+    values = near_values(rng, 0, 0, 4000)
+    visited.clear()
+    simhash.trie_labels(values, 1, visited=visited)
+    assert sum(visited) < 4000 * 4000 // 8  # of 8 million pairs
+
+
 def test_links_and_components(spark):
     values = near_values(random.Random(3), 10, 40, 300)
     fps = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long")
@@ -105,15 +122,11 @@ def test_against_brute_force(spark):
     assert len(got) == len(rows)
     for r in got:
         assert (r.fingerprint, r.component_id) == (f"{fps[r.doc_id]:016x}", want[r.doc_id])
-    kept = simhash.one_of_each(df)
-    assert kept.columns == df.columns
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
 
 
 def test_edges(spark):
     empty = spark.createDataFrame([], SCHEMA)
-    assert simhash.near_duplicates(empty).count() == 0 and simhash.one_of_each(empty).count() == 0
+    assert simhash.near_duplicates(empty).count() == 0
     rows = [(None, "a b c", "", "", ""), (None, "d e f", "", "", ""), (3, "a b c", "", "", "")]
     df = spark.createDataFrame(rows, SCHEMA)
     assert {(r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect()} == {(None, 3), (None, None), (3, 3)}
-    assert simhash.one_of_each(df).count() == 3
