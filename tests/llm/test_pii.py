@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -66,11 +67,56 @@ def test_decoding_is_the_best_of_all():
         assert tuple(best[a:b]) == max(itertools.product(range(pii.TAGS), repeat=b - a), key=score)
 
 
-def test_windows_without_digits_change_nothing():
-    tagger = pii.Tagger(pii.Settings())
-    text = "words " * 100 + "mail x1@y.zz here" + " words" * 100
-    starts, windows = tagger.windows(pii.classes(text))
-    assert len(starts) == len(windows) < 8
+@pytest.fixture(scope="module")
+def tables(sf):
+    import pyarrow.parquet as pq
+
+    return pq.read_table(f"{sf}/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+
+
+@pytest.fixture(scope="module")
+def learnt(spark, sf):
+    """As op6 learns, on the smallest tables."""
+    return pii.train(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
+
+
+def planted(texts, n, seed, odd=True):
+    """Texts with a made-up span each, and the span."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(n):
+        text = texts[int(rng.integers(len(texts)))]["text"] or ""
+        words = re.sub(r"[0-9@+]", "", text[:600]).split(" ")
+        k = int(rng.integers(0, len(words) + 1))
+        left = " ".join(words[:k]) + " "
+        what, kind = pii.made_up(rng, odd)
+        out.append((left + what + " " + " ".join(words[k:]), (kind, len(left), len(left) + len(what))))
+    return out
+
+
+def test_windows_left_out_change_nothing(learnt, tables):
+    """find() gives what evaluating all windows and decoding whole texts gives, spans that only the network sees among them."""
+    rng = np.random.default_rng(5)
+    texts = [t for t, _ in planted(tables, 200, 77)] + [(r["text"] or "")[:3000] for r in tables[:100]]
+    texts += ["word " * 60 + a + " word" * int(rng.integers(1, 90)) + b for a, _ in planted(tables, 20, 3) for b in ("", "9", "@")] + ["", "7", "no digits at all"]
+    fast, full = learnt.find(texts), learnt.find(texts, everywhere=True)
+    assert fast == full and sum(map(len, fast)) > 150
+    assert all(learnt.find([t]) == [x] for t, x in zip(texts[:40], fast, strict=False))
+
+
+def test_recall_beyond_the_patterns(learnt, tables):
+    """Of spans in forms that no pattern matches, put into texts by another seed, at least 9 in 10 are found as they are."""
+    rows = [(t, x) for t, x in planted(tables, 600, 991) if x not in pii.base_spans(t)]
+    got = pii.all_spans([t for t, _ in rows], learnt)
+    hit = [any((k, a, b) == x for k, a, b, _ in g) for g, (_, x) in zip(got, rows, strict=True)]
+    by_kind = {k: np.mean([h for h, (_, x) in zip(hit, rows, strict=True) if x[0] == k]) for k in pii.KINDS}
+    assert len(rows) > 400 and np.mean(hit) >= 0.9, by_kind
+
+
+def test_harmless_numbers_stay(learnt, tables):
+    rng = np.random.default_rng(12)
+    texts = ["the number " + pii.harmless(rng) + " stands in a clean text" for _ in range(400)]
+    assert sum(not base for g in pii.all_spans(texts, learnt) for *_, base in g) <= 8
 
 
 def test_whole_table(spark):
