@@ -104,9 +104,19 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def held_out_rows(doc_id: Column, modulus: int, held_out: int) -> Column:
+    """Whether crc32 of the id as text, modulo modulus, is held_out; false for null."""
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus)) == held_out, F.lit(False))
+
+
 def learning_rows(doc_id: Column, modulus: int, held_out: int) -> Column:
-    """Rows that may be learnt from: crc32 of the id as text, modulo modulus, isn't held_out."""
-    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus)) != held_out
+    """Rows that may be learnt from: those with an id that isn't held out."""
+    return doc_id.isNotNull() & ~held_out_rows(doc_id, modulus, held_out)
+
+
+def others(keep: list[str], *made: str) -> list[str]:
+    """The columns of keep but those that the operator makes itself: where names clash, what it makes stands."""
+    return [k for k in keep if k not in made]
 
 
 def spread_sample(df: DataFrame, strata: str, key: str, each: int, seed: int) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, spread_sample, utf8
+from .common import map_arrow, others, spread_sample, utf8
 
 UNKNOWN = "und"
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -167,8 +167,9 @@ def predict(docs: DataFrame, net: ByteConvNet | None, keep: list[str], text: str
     """`keep` columns, lang_pred and score (the mean probability of lang_pred) of every whole text.
 
     Texts that are null or have no letter are `und` with score 0, and so are all texts if there is no model. Rows stay
-    as they are; no row moves.
+    as they are; no row moves. Where a column of `keep` has the name of one that is made, the made one stands.
     """
+    keep = others(keep, "lang_pred", "score")
     chosen = docs.select(*keep, F.when(F.col(text).rlike(r"\p{L}"), F.col(text)).alias("_text"))
     at = len(keep)
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, settled, ship
+from .common import WORD, others, settled, ship
 
 #: Slices of the hash, among which documents of one source and length are spread.
 SLICES = 256
@@ -112,9 +112,10 @@ def mix(docs: DataFrame, keep: list[str], id_column: str = "doc_id", source: str
     """`keep` columns, source, size, source_size, target and taken: the words that the mix takes of each document.
 
     taken is a multiple of size, at most `most` times it; a document of size 0 is never taken. Sources count as they are, an
-    empty one and null too. Which documents are taken depends on the seed, ids and lengths alone; of rows with one id,
+    empty one and null too; where a column of `keep` has the name of one that is made, the made one stands. Which documents are taken depends on the seed, ids and lengths alone; of rows with one id,
     source and length it doesn't matter which one is taken.
     """
+    keep = others(keep, "source", "size", "source_size", "target", "taken")
     hashed = F.xxhash64(F.lit(seed), F.col(id_column))
     rows = docs.select(*keep, F.col(source).alias("source"), F.col(size).cast("long").alias("size"), F.pmod(hashed, F.lit(SLICES)).cast("int").alias("_slice"), hashed.alias("_hash"), F.col(id_column).alias("_id"))
     slices = rows.groupBy("source", "size", "_slice").agg(F.count("*").alias("_n"))

@@ -4,7 +4,8 @@ Only the numbers of pieces by length reach the driver, at most as many as a sequ
 greedily, the longest piece that fits first; then, if a gap is left, the bin's smallest piece gives way to two that fit
 the expanded gap more tightly. Equal bins are made together, as a pattern with a multiplicity, so the work follows the
 number of lengths, not of documents. A pattern's places are ranges of ranks within a length; a piece finds its place
-by its rank. Ranks are taken in slices of a hash, so no length is ever together in one task.
+by its rank. Ranks are taken in slices of a hash, as many as the most frequent length needs, so no length is ever together
+in one task. A piece that fills a sequence alone needs no rank and isn't moved.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 from .common import map_arrow, settled
 from .tokens import CachedTokenizer
 
-SLICES = 256
+#: About so many pieces of one length are ranked together.
+SLICE_ROWS = 1 << 16
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 _tokenizers: dict[int, CachedTokenizer] = {}
@@ -143,10 +145,12 @@ def place_pieces(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     """
     spark = pieces.sparkSession
     names = pieces.columns
-    sliced = pieces.withColumn("_slice", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SLICES)).cast("int"))
-    counts = sliced.groupBy("length", "_slice").agg(F.count("*").alias("_n"))
-    totals = {int(r["length"]): int(r["n"]) for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
+    totals = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     assert all(1 <= n <= capacity for n in totals), "a piece is longer than a sequence"
+    totals.pop(capacity, None)
+    slices = -(-max(totals.values(), default=1) // SLICE_ROWS)
+    sliced = pieces.where(F.col("length") < capacity).withColumn("_slice", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(slices)).cast("int"))
+    counts = sliced.groupBy("length", "_slice").agg(F.count("*").alias("_n"))
     ranges: list[tuple[int, int, int, int]] = []  # length, first rank, first sequence, offset
     ranks = dict.fromkeys(totals, 0)
     sequence = 0
@@ -180,7 +184,9 @@ def place_pieces(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:where], pa.array(seq), pa.array(offset)], [*names, "sequence_id", "offset"])
 
     types = dict(pieces.dtypes)
-    return map_arrow(ranked, locate, ", ".join([*(f"`{c}` {types[c]}" for c in names), "sequence_id long", "offset long"]))
+    placed = map_arrow(ranked, locate, ", ".join([*(f"`{c}` {types[c]}" for c in names), "sequence_id long", "offset long"]))
+    alone = pieces.where(F.col("length") == capacity).select(*names, (F.monotonically_increasing_id() + sequence).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return placed.unionAll(alone)
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, separator: int = 0, with_ids: bool = False) -> DataFrame:

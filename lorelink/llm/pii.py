@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import map_arrow, spread_sample, utf8
+from .common import map_arrow, others, spread_sample, utf8
 
 KINDS = ("email", "ip", "card", "phone")
 SPANS = "array<struct<kind:string,start:long,end:long,base:boolean>>"
@@ -505,7 +505,11 @@ def _portions(column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[list[int]
 
 
 def find_pii(docs: DataFrame, tagger: Tagger | None, keep: list[str], text: str = "text") -> DataFrame:
-    """`keep` columns and spans (kind, start, end in code points, base) of every whole text; null texts have none. No row moves."""
+    """`keep` columns and spans (kind, start, end in code points, base) of every whole text; null texts have none. No row moves.
+
+    Where a column of `keep` has the name of one that is made, the made one stands.
+    """
+    keep = others(keep, "spans")
     chosen = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
     at = len(keep)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))

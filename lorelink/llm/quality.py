@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, spread_sample, utf8
+from .common import map_arrow, others, spread_sample, utf8
 
 _KIND = np.full(256, 9, np.uint8)
 _KIND[[32, 9, 11, 12, 13, 10]] = 0
@@ -46,7 +46,8 @@ PORTION = 1 << 20
 @dataclass(frozen=True)
 class Settings:
     each: int = 1500  # labelled documents to learn from, for each label
-    longest: int = 50_000  # longer documents (in characters) aren't learnt from
+    longest: int = 10_000  # longer documents (in characters) aren't learnt from
+    lines: int = 150_000  # lines to learn from, at most
     steps: int = 500
     batch: int = 48
     chunk: int = 120  # lines of a training sequence at most
@@ -255,13 +256,17 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> LineF
     """Fit to docs (doc_id, text) with labels (doc_id, quality 0 or 1); None without labelled documents.
 
     About s.each labels of each kind are drawn by a hash of doc_id, and the documents they name are read: at most
-    4 * s.each texts of up to s.longest characters come to the driver. Rows with a null id, text or label teach nothing.
+    4 * s.each texts of up to s.longest characters come to the driver, of which as many are learnt from as s.lines lines
+    hold (a fixed number of features for each line). Rows with a null id, text or label teach nothing; an id that has both
+    labels counts as bad.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("quality"))
     shares = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
-    chosen = spread_sample(known, "quality", "doc_id", s.each, s.seed).dropDuplicates(["doc_id"])
+    chosen = spread_sample(known, "quality", "doc_id", s.each, s.seed).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     found = docs.where(F.char_length("text") <= s.longest).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = found.orderBy("doc_id").limit(4 * s.each).collect()
+    rows = found.orderBy(F.xxhash64(F.lit(s.seed), "doc_id"), "doc_id", "text").limit(4 * s.each).collect()
+    lines = np.cumsum([r.text.count("\n") + 1 for r in rows])
+    rows = rows[: max(1, int(np.searchsorted(lines, s.lines, "right")))]
     if not rows:
         return None
     y = np.array([r.quality for r in rows])
@@ -292,7 +297,9 @@ def score_quality(docs: DataFrame, field: LineField | None, keep: list[str], tex
     """`keep` columns, score (0 to 1, higher where label 1 is likelier) and predicted (1 if score >= cut) of every whole text.
 
     Null and empty texts are one empty line. Without a model every score is 0.5. Rows stay as they are; no row moves.
+    Where a column of `keep` has the name of one that is made, the made one stands.
     """
+    keep = others(keep, "score", "predicted")
     chosen = docs.select(*keep, F.col(text).alias("_text"))
     at = len(keep)
 

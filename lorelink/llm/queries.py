@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import langid, mixing, packing, pii, quality, simhash, sketch, topk, urlfilter, warc
-from .common import learning_rows, settled, shared_path, table
+from .common import held_out_rows, learning_rows, settled, shared_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,9 +29,8 @@ URL_RULES = (
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learnt from the rows that aren't held out."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
-    learn = learning_rows(F.col("doc_id"), 3, 1)
-    net = langid.train(docs.where(learn))
-    return langid.predict(docs.select("doc_id", "text", (~learn).alias("held_out")), net, ["doc_id", "held_out"])
+    net = langid.train(docs.where(learning_rows(F.col("doc_id"), 3, 1)))
+    return langid.predict(docs.select("doc_id", "text", held_out_rows(F.col("doc_id"), 3, 1).alias("held_out")), net, ["doc_id", "held_out"])
 
 
 def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,9 +72,8 @@ def op7_mix_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality of every document, learnt from the labels that aren't held out."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    learn = learning_rows(F.col("doc_id"), 5, 0)
-    field = quality.train(docs, table(spark, sf_dir, "labels", "doc_id", "quality").where(learn))
-    return quality.score_quality(docs.withColumn("held_out", ~learn), field, ["doc_id", "held_out"])
+    field = quality.train(docs, table(spark, sf_dir, "labels", "doc_id", "quality").where(learning_rows(F.col("doc_id"), 5, 0)))
+    return quality.score_quality(docs.withColumn("held_out", held_out_rows(F.col("doc_id"), 5, 0)), field, ["doc_id", "held_out"])
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

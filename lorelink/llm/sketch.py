@@ -2,8 +2,9 @@
 
 The sketch grows with the text, so sketches of very unequal texts compare without bias: the share of one's hashes that
 the other has estimates containment, hashes in common over all hashes estimate resemblance, and the sketch of a union of
-texts is the union of their sketches. A text without a hash below the threshold keeps its smallest one, so that short
-texts have a fingerprint too; only texts without words have none.
+texts is the union of their sketches. A text of few shingles keeps all of them and is marked as whole: two whole sketches
+compare exactly; in all other cases only the hashes below the threshold count, on both sides, as those above it aren't
+known of the larger text.
 
 All of it is DataFrame functions: words, their hashes, shingle hashes of five of them, filter, sort. A value that is used
 several times is bound as a lambda's variable, so it is evaluated once.
@@ -20,6 +21,8 @@ from .common import SPACE
 
 #: A hash is kept if it is below 1 / 2**FRACTION_BITS of the 64-bit range.
 FRACTION_BITS = 2
+#: A text of up to so many distinct shingles keeps all their hashes. Of more, one is below the threshold but for one text in 10,000.
+WHOLE = 32
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -27,38 +30,56 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _below(hashes: Column, fraction_bits: int) -> Column:
+    return F.filter(hashes, lambda x: (x >= 0) & (x <= (1 << (64 - fraction_bits)) - 1))
+
+
+def _sketch(whole: Column, hashes: Column) -> Column:
+    return F.named_struct(F.lit("whole"), whole, F.lit("hashes"), F.array_sort(hashes))
+
+
 def sketch(text: Column, width: int = 5, fraction_bits: int = FRACTION_BITS) -> Column:
-    """Sorted distinct hashes (longs) that the text's shingles leave; words in lower case, cut at ASCII white space.
+    """whole, hashes (sorted, distinct longs) that the text's shingles leave; words in lower case, cut at ASCII white space.
 
-    Fewer words than `width` are one shingle. Null and empty texts have an empty sketch.
+    Fewer words than `width` are one shingle. Null and empty texts have a whole sketch without hashes. fraction_bits: 2 or more.
     """
-    top = 1 << (64 - fraction_bits)
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SPACE, -1), lambda w: w != "")
 
     def shingles(h: Column) -> Column:
         return F.when(F.size(h) >= width, F.transform(F.sequence(F.lit(1), F.greatest(F.size(h) - width + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(h, i, width)))).when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
 
     def kept(all_: Column) -> Column:
-        return let(F.filter(all_, lambda x: (x >= 0) & (x <= top - 1)), lambda low: F.when((F.size(low) > 0) | (F.size(all_) == 0), F.array_sort(F.array_distinct(low))).otherwise(F.array(F.array_min(all_))))
+        few = lambda low: let(F.array_distinct(all_), lambda d: F.when(F.size(d) <= WHOLE, _sketch(F.lit(True), d)).otherwise(_sketch(F.lit(False), low)))
+        return let(F.array_distinct(_below(all_, fraction_bits)), lambda low: F.when(F.size(low) > WHOLE, _sketch(F.lit(False), low)).otherwise(few(low)))
 
     return let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: let(shingles(h), kept))
 
 
 def merged(a: Column, b: Column, fraction_bits: int = FRACTION_BITS) -> Column:
     """The sketch of two texts taken together (shingles across their border aside)."""
-    top = 1 << (64 - fraction_bits)
-    return let(F.array_sort(F.array_union(a, b)), lambda u: let(F.filter(u, lambda x: (x >= 0) & (x <= top - 1)), lambda low: F.when((F.size(low) > 0) | (F.size(u) == 0), low).otherwise(F.array(F.array_min(u)))))
+    whole = lambda u: a["whole"] & b["whole"] & (F.size(u) <= WHOLE)
+    return let(F.array_union(a["hashes"], b["hashes"]), lambda u: F.when(whole(u), _sketch(F.lit(True), u)).otherwise(_sketch(F.lit(False), _below(u, fraction_bits))))
+
+
+def _comparable(a: Column, b: Column, fraction_bits: int, body: Callable[[Column, Column], Column]) -> Column:
+    """body of the hashes that both texts' sketches know of."""
+    both = a["whole"] & b["whole"]
+    side = lambda x: F.when(both, x["hashes"]).otherwise(_below(x["hashes"], fraction_bits))
+    return let(F.named_struct(F.lit("a"), side(a), F.lit("b"), side(b)), lambda s: body(s["a"], s["b"]))
+
+
+def resemblance(a: Column, b: Column, fraction_bits: int = FRACTION_BITS) -> Column:
+    """Hashes in common over all hashes, 0 to 1. Without any to compare, 1 for equal sketches, 0 for others."""
 
+    def ratio(x: Column, y: Column) -> Column:
+        return let(F.size(F.array_intersect(x, y)), lambda c: F.when(F.size(x) + F.size(y) == 0, (a["hashes"] == b["hashes"]).cast("double")).otherwise(c / (F.size(x) + F.size(y) - c)))
 
-def resemblance(a: Column, b: Column) -> Column:
-    """Hashes in common over all hashes, 0 to 1; 1 for two empty sketches."""
-    common = F.size(F.array_intersect(a, b))
-    return let(common, lambda c: F.when(F.size(a) + F.size(b) == 0, F.lit(1.0)).otherwise(c / (F.size(a) + F.size(b) - c)))
+    return _comparable(a, b, fraction_bits, ratio)
 
 
-def containment(a: Column, b: Column) -> Column:
-    """The share of a's hashes that b has; 1 if a has none."""
-    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+def containment(a: Column, b: Column, fraction_bits: int = FRACTION_BITS) -> Column:
+    """The share of a's hashes that b has; 1 if a has none to compare (no words, or few shingles, none below the threshold, and b is longer)."""
+    return _comparable(a, b, fraction_bits, lambda x, y: F.when(F.size(x) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(x, y)) / F.size(x)))
 
 
 def as_text(hashes: Column) -> Column:
@@ -88,12 +109,13 @@ def _bucket(ids: DataFrame, column: str, rows_per_bucket: int, most: int) -> tup
     return F.when(id_.isNull(), F.lit(-1).cast("long")).otherwise(let(place, inside)), buckets
 
 
-def with_next(docs: DataFrame, columns: list[str], id_column: str = "doc_id", rows_per_bucket: int = 2000, most: int = 100_000) -> DataFrame:
+def with_next(docs: DataFrame, columns: list[str], id_column: str = "doc_id", made: dict[str, Column] | None = None, rows_per_bucket: int = 200, most: int = 1_000_000) -> DataFrame:
     """docs with next_<column> of the row that follows in descending order of ids, the first following the last.
 
     Rows are shuffled once, by ranges of ids; the first row of each range is also sent to the range before. There are at
-    most about `most` ranges, whatever the size, and the table of their first ids is what is broadcast. Null ids come last;
-    rows with equal ids stand in the order of a hash of the columns.
+    most about `most` ranges, whatever the size, and the table of their first ids (two numbers each) is what is broadcast.
+    Columns that `made` has are made of a row once it is in its place, so they aren't shuffled; each has its next_, too.
+    Null ids come last; rows with equal ids stand in the order of a hash of the columns.
     """
     bucket, _ = _bucket(docs.select(id_column), id_column, rows_per_bucket, most)
     heads = docs.select(F.col(id_column).alias("_head"), bucket.alias("_b")).groupBy("_b").agg(F.max("_head").alias("_head"))
@@ -102,9 +124,9 @@ def with_next(docs: DataFrame, columns: list[str], id_column: str = "doc_id", ro
     heads = heads.select("_head", F.coalesce("_before", "_last").alias("_to"))
     both = docs.withColumn("_own", bucket).join(F.broadcast(heads), docs[id_column].eqNullSafe(heads["_head"]), "left")
     places = F.when(F.col("_to").isNull(), F.array(F.struct(F.col("_own").alias("_b"), F.lit(0).alias("_guest")))).otherwise(F.array(F.struct(F.col("_own").alias("_b"), F.lit(0).alias("_guest")), F.struct(F.col("_to").alias("_b"), F.lit(1).alias("_guest"))))
-    both = both.select(*docs.columns, F.inline(places))
+    both = both.select(*docs.columns, F.inline(places)).repartition("_b").withColumns(made or {})
     line = Window.partitionBy("_b").orderBy("_guest", F.desc_nulls_last(id_column), F.xxhash64(*columns))
-    following = both.withColumns({f"next_{c}": F.lead(c).over(line) for c in columns})
+    following = both.withColumns({f"next_{c}": F.lead(c).over(line) for c in [*columns, *(made or {})]})
     return following.where("_guest = 0").drop("_b", "_guest")
 
 
@@ -117,10 +139,9 @@ def edited_fingerprints(docs: DataFrame, width: int = 5) -> DataFrame:
     share of the text's hashes that the other has), one row for each row of docs.
     """
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    base = base.withColumn("hashes", sketch(F.col("text"), width))
-    both = with_next(base, ["text", "hashes"])
+    both = with_next(base, ["text"], made={"sketch": sketch(F.col("text"), width)})
     n = F.char_length("text")
     both = both.withColumns({"n_chars": n.cast("long"), "edited": F.concat(F.substring(F.col("text"), F.lit(1), n - F.floor(n / 3).cast("int")), F.substring(F.col("next_text"), F.lit(1), F.floor(n / 3).cast("int")))})
-    both = both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "hashes", "next_hashes", sketch(F.col("edited"), width).alias("edited_hashes"))
-    h, e, x = F.col("hashes"), F.col("edited_hashes"), F.col("next_hashes")
-    return both.select("doc_id", "n_chars", "edited_sha256", as_text(h).alias("fingerprint"), as_text(e).alias("edited_fingerprint"), resemblance(h, e).alias("near_edited"), resemblance(h, x).alias("near_next"), containment(h, e).alias("contained_edited"), containment(h, x).alias("contained_next"))
+    both = both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "sketch", "next_sketch", sketch(F.col("edited"), width).alias("edited_sketch"))
+    h, e, x = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
+    return both.select("doc_id", "n_chars", "edited_sha256", as_text(h["hashes"]).alias("fingerprint"), as_text(e["hashes"]).alias("edited_fingerprint"), resemblance(h, e).alias("near_edited"), resemblance(h, x).alias("near_next"), containment(h, e).alias("contained_edited"), containment(h, x).alias("contained_next"))

@@ -19,6 +19,8 @@ _FILE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 #: Characters whose class, case or composition the two regular expression engines might see differently, and the start of special tokens.
 _OTHER = re.compile("[^\\x00-\\u024f]|[\\x1c-\\x1f\\x85\\xa0²³¹¼-¾İ]|<\\|")
+#: Longer words aren't kept, so the cache has a bound in bytes, too.
+LONGEST = 64
 _NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 
 
@@ -47,14 +49,16 @@ class CachedTokenizer:
             ids = array("I", [t.id for t in self.tokenizer.model.tokenize(spelt)]).tobytes()
             if len(self.words) >= self.most:
                 self.words.clear()
-            self.words[word] = ids
+            if len(word) <= LONGEST:
+                self.words[word] = ids
         return ids
 
     def _chunk(self, chunk: str) -> bytes:
         ids = b"".join(map(self._word, _WORDS.findall(chunk)))
         if len(self.chunks) >= self.most:
             self.chunks.clear()
-        self.chunks[chunk] = ids
+        if len(chunk) <= LONGEST:
+            self.chunks[chunk] = ids
         return ids
 
     def encode(self, text: str) -> bytes:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import map_arrow, settled, shuffle_partitions
 
 #: Fixed values of the WARC 1.1 format.
 VERSION = "WARC/1.1"
@@ -33,12 +33,14 @@ def resolve_revisits(headers: DataFrame, least_bytes: int = 1000) -> DataFrame:
     """page_id, digest, refers_to of each record whose payload another record has, that one having the largest id.
 
     headers: page_id, digest, bytes. Only payloads of at least least_bytes count. Rows that repeat a page_id with the
-    same payload are one record; null ids are never resolved. Counting is combined before the shuffle, and the join back
-    to a digest that very many records share can be split by Spark, as only one row stands on its other side.
+    same payload are one record; null ids are never resolved. Counting is combined before the shuffle. The originals are a
+    table of their own and the result is dealt anew, so both sides of the join are plain shuffles, which Spark can split
+    where very many records share a digest.
     """
     large = headers.where((F.col("bytes") >= least_bytes) & F.col("page_id").isNotNull())
     originals = large.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("_least")).where("_least < refers_to").drop("_least")
-    return large.join(originals, "digest").where("page_id < refers_to").select("page_id", "digest", "refers_to").distinct()
+    joined = large.join(settled(originals, "warc-originals"), "digest").where("page_id < refers_to").select("page_id", "digest", "refers_to")
+    return joined.repartition("page_id", "digest").distinct()
 
 
 def _line(name: str, value: Column) -> Column:
@@ -67,9 +69,11 @@ def record_text(date: str) -> Column:
     return F.concat(*header)
 
 
-def write_archives(pages: DataFrame, path: str, least_bytes: int = 1000, archive_bytes: int = 32 << 20, date: str = "2024-01-01T00:00:00Z") -> str:
+def write_archives(pages: DataFrame, path: str, least_bytes: int = 1000, archive_bytes: int = 512 << 20, date: str = "2024-01-01T00:00:00Z") -> str:
     """Write a record for each row of page_id, url, html as gzipped archives of about archive_bytes (before gzip) below path.
 
+    Few pages make smaller archives, up to one for each shuffle partition, of 32 MB at least, so that all tasks have some.
+
     A null html is an empty payload, a null url leaves out its header. Control characters and blanks in a url, which
     would break the header, are left out of it. Returns path.
     """
@@ -77,7 +81,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 1000, archive
     base = base.withColumns({"digest": F.sha1(F.encode("payload", "utf-8")), "bytes": F.octet_length("payload").cast("long")})
     total = base.agg(F.sum("bytes")).first()[0] or 0
     revisits = resolve_revisits(base.select("page_id", "digest", "bytes"), least_bytes)
-    files = max(1, math.ceil(total / archive_bytes))
+    files = max(1, math.ceil(total / archive_bytes), min(shuffle_partitions(pages.sparkSession), math.ceil(total / (32 << 20))))
     dealt = base.repartition(files, "page_id", "digest").join(revisits, ["page_id", "digest"], "left")  # payloads move once: the join keeps this partitioning
     dealt.select(record_text(date).alias("value")).write.option("lineSep", END).option("compression", "gzip").text(path)
     return path
@@ -180,10 +184,11 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
 def resolved(records: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to: revisits get the length of the payload they refer to.
 
-    The join is on the response's id and digest; a revisit that refers to no such response raises an error.
+    The join is on the response's id and digest; a revisit that refers to no such response raises an error. Responses are
+    a table of their own, so that Spark can split the join where very many revisits refer to one.
     """
     responses = records.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest", F.col("payload_bytes").alias("_bytes")).where("refers_to IS NOT NULL").dropDuplicates(["refers_to", "payload_digest"])
-    joined = records.join(responses, ["refers_to", "payload_digest"], "left")
+    joined = records.join(settled(responses, "warc-responses"), ["refers_to", "payload_digest"], "left")
     size = F.coalesce("payload_bytes", "_bytes")
     checked = F.when(size.isNull(), F.raise_error(F.concat(F.lit("no response for the revisit of "), F.col("page_id").cast("string"))).cast("long")).otherwise(size)
     return joined.select("page_id", checked.alias("payload_bytes"), "payload_digest", "record_type", "refers_to")

@@ -70,7 +70,43 @@ def test_edges(spark):
 
 
 def test_ids_round_trip(spark):
-    docs = [(i, "some words of document number %d, and more" % i) for i in range(50)]
-    rows = packing.pack(spark.createDataFrame(docs, "doc_id long, text string"), PATH, 100, with_ids=True).collect()
-    for r in rows:
-        assert list(r.ids) == [*PLAIN.encode(docs[r.doc_id][1], add_special_tokens=False).ids, 0]
+    docs = [(i, "some words of document number %d, and more " % i * (i % 4)) for i in range(50)]
+    rows = packing.pack(spark.createDataFrame(docs, "doc_id long, text string"), PATH, 16, with_ids=True).collect()
+    text = {}
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.piece)):
+        assert len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32
+        text.setdefault(r.doc_id, []).extend(r.ids)
+    assert text == {i: [*PLAIN.encode(t, add_special_tokens=False).ids, 0] for i, t in docs}
+
+
+def plain_best_two_fit(lengths, capacity):
+    """Bins made one at a time, as the method is told: the longest that fits, then two in place of the smallest."""
+    left, bins = sorted(lengths, reverse=True), []
+    while left:
+        bin_, rest = [], []
+        for n in left:
+            (bin_ if sum(bin_) + n <= capacity else rest).append(n)
+        gap = capacity - sum(bin_)
+        if gap and len(bin_) > 1:
+            pairs = [(a + b, a, b) for i, a in enumerate(rest) for b in rest[i + 1 :] if bin_[-1] < a + b <= gap + bin_[-1]]
+            if pairs:
+                _, a, b = max(pairs)
+                rest.append(bin_.pop())
+                bin_ += [a, b]
+                rest.remove(a)
+                rest.remove(b)
+        bins.append(sorted(bin_, reverse=True))
+        left = sorted(rest, reverse=True)
+    return bins
+
+
+def test_against_plain_best_two_fit():
+    """As many bins, each as full, as packing document by document gives, up to ties between equally tight pairs."""
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        lengths = rng.integers(1, 30, int(rng.integers(1, 60))).tolist()
+        got = [b for b, times in packing.best_two_fit(dict(Counter(lengths)), 40) for _ in range(times)]
+        want = plain_best_two_fit(lengths, 40)
+        assert sorted(n for b in got for n in b) == sorted(lengths)
+        assert sum(b[0] for b in got[:1]) == sum(b[0] for b in want[:1]) and sum(got[0]) == sum(want[0])
+        assert abs(len(got) - len(want)) <= 1

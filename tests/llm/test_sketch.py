@@ -33,10 +33,32 @@ def test_every_hash_below_the_threshold(spark):
     few = {r.doc_id: r.h for r in some}
     text = dict(rows)
     for r in all_:
-        top = 1 << (64 - sketch.FRACTION_BITS)
-        below = [h for h in r.h if 0 <= h < top]
-        assert few[r.doc_id] == below if below else len(few[r.doc_id]) == bool(shingles(text[r.doc_id]))
-        assert few[r.doc_id] == sorted(set(few[r.doc_id]))
+        n = len(shingles(text[r.doc_id]))
+        below = [h for h in r.h.hashes if 0 <= h < 1 << (64 - sketch.FRACTION_BITS)]
+        h = few[r.doc_id]
+        assert h.hashes == sorted(set(h.hashes)) and h.whole == r.h.whole == (n <= sketch.WHOLE)
+        assert len(h.hashes) == n if h.whole else h.hashes == below
+
+
+def test_containment_of_short_texts(spark):
+    """Whole in a long text: 1, whatever hashes a short text has; and the mean over all texts that share a part is that part."""
+    rng = random.Random(2)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    long_ = [word() for _ in range(2000)]
+    rows = []
+    for k in (6, 30, 60, 400):
+        for _ in range(100):
+            at = rng.randrange(2000 - k)
+            rows.append((k, 1.0, " ".join(long_[at : at + k])))
+            rows.append((k, 0.5, " ".join(long_[at : at + k // 2 + 2] + [word() for _ in range(k // 2 - 2)])) if k > 50 else (k, 1.0, " ".join(long_[at : at + k])))
+    df = spark.createDataFrame(rows, "k int, part double, text string").withColumn("long", F.lit(" ".join(long_)))
+    a, b = sketch.sketch(F.col("text")), sketch.sketch(F.col("long"))
+    got = df.select("k", "part", sketch.containment(a, b).alias("c"), sketch.resemblance(a, b).alias("r")).collect()
+    assert all(r.c == 1.0 for r in got if r.part == 1.0)
+    for k in (60, 400):
+        some = [r.c for r in got if r.k == k and r.part == 0.5]
+        assert abs(sum(some) / len(some) - 0.5) < 0.05
+    assert all(abs(r.r - r.k * r.part / 2000) < 0.05 for r in got)
 
 
 def test_against_brute_force(spark):
@@ -81,6 +103,6 @@ def test_edges(spark):
 def test_sketches_merge(spark):
     df = spark.createDataFrame([(" ".join(f"w{i}" for i in range(400)), " ".join(f"v{i}" for i in range(5)))], "a string, b string")
     a, b = sketch.sketch(F.col("a")), sketch.sketch(F.col("b"))
-    r = df.select(a.alias("a"), b.alias("b"), sketch.merged(a, b).alias("m"), sketch.containment(a, sketch.merged(a, b)).alias("c")).first()
+    r = df.select(a.alias("x"), b.alias("y"), sketch.merged(a, b).alias("m"), sketch.containment(a, sketch.merged(a, b)).alias("c")).first()
     top = 1 << (64 - sketch.FRACTION_BITS)
-    assert r.m == sorted({h for h in (*r.a, *r.b) if 0 <= h < top}) and r.c == 1.0
+    assert r.m.hashes == sorted({h for h in (*r.x.hashes, *r.y.hashes) if 0 <= h < top}) and not r.m.whole and r.c == 1.0
