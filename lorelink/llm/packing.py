@@ -164,27 +164,19 @@ def place_pieces(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     by_length: dict[int, list[tuple[int, int, int]]] = {}
     for n, *r in ranges:
         by_length.setdefault(n, []).append(tuple(r))
-    shared = spark.sparkContext.broadcast({n: np.array(sorted(r), np.int64) for n, r in by_length.items()})  # a few places for each pattern, whose number follows capacity
+    places = [(n, [*zip(*sorted(r), strict=True)]) for n, r in by_length.items()]
+    table = spark.createDataFrame([(n, *map(list, cols)) for n, cols in places], "length long, _ranks array<long>, _sequences array<long>, _offsets array<long>")
 
     first = counts.withColumn("_first", F.coalesce(F.sum("_n").over(Window.partitionBy("length").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     number = F.row_number().over(Window.partitionBy("length", "_slice").orderBy("doc_id", "piece", *[c for c in ("start", "ids_crc32") if c in names]))
     ranked = sliced.withColumn("_k", number - 1).join(first.select("length", "_slice", "_first"), ["length", "_slice"])
     ranked = ranked.select(*names, (F.col("_first") + F.col("_k")).alias("_rank"))
-    at, where = names.index("length"), len(names)
-
-    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            length, rank = batch.column(at).to_numpy(), batch.column(where).to_numpy()
-            seq, offset = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)
-            for n in np.unique(length):
-                rows = np.flatnonzero(length == n)
-                table = shared.value[int(n)]
-                k = np.searchsorted(table[:, 0], rank[rows], "right") - 1
-                seq[rows], offset[rows] = table[k, 1] + rank[rows] - table[k, 0], table[k, 2]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:where], pa.array(seq), pa.array(offset)], [*names, "sequence_id", "offset"])
-
-    types = dict(pieces.dtypes)
-    placed = map_arrow(ranked, locate, ", ".join([*(f"`{c}` {types[c]}" for c in names), "sequence_id long", "offset long"]))
+    # a few places for each pattern, whose number follows capacity: a table with a row for each length
+    found = ranked.join(F.broadcast(table.withColumnRenamed("length", "_length")), F.col("length") == F.col("_length"))
+    k = F.size(F.filter("_ranks", lambda r: r <= F.col("_rank")))
+    found = found.withColumn("_place", k)
+    sequence_id = F.element_at("_sequences", F.col("_place")) + F.col("_rank") - F.element_at("_ranks", F.col("_place"))
+    placed = found.select(*names, sequence_id.alias("sequence_id"), F.element_at("_offsets", F.col("_place")).alias("offset"))
     alone = pieces.where(F.col("length") == capacity).select(*names, (F.monotonically_increasing_id() + sequence).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return placed.unionAll(alone)
 
