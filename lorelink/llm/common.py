@@ -95,11 +95,31 @@ def release_memory() -> None:
         libc.malloc_trim(0)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """mapInArrow, with this package's code at hand. Workers, which are used again, give back the memory that a task needed."""
+#: What workers keep from one task to the next, by name.
+_kept: dict[str, dict] = {}
+
+
+def kept_by_worker(name: str) -> dict:
+    """A cache that lasts as long as the worker's tasks name it."""
+    return _kept.setdefault(name, {})
+
+
+def forget_all_but(name: str | None) -> None:
+    for k, cache in _kept.items():
+        if k != name:
+            cache.clear()
+
+
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType, cache: str | None = None) -> DataFrame:
+    """mapInArrow, with this package's code at hand.
+
+    Workers, which are used again, give back the memory that a task needed, and what other operators' tasks kept; `cache`
+    is the name of what this one's keep.
+    """
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_all_but(cache)
         try:
             yield from fn(batches)
         finally:

@@ -19,22 +19,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, settled
+from .common import kept_by_worker, map_arrow, settled
 from .tokens import CachedTokenizer
 
 #: About so many pieces of one length are ranked together.
 SLICE_ROWS = 1 << 16
+CACHE = "tokenizer"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
-_tokenizers: dict[int, CachedTokenizer] = {}
-
-
 def _tokenizer(shared) -> CachedTokenizer:
     """The worker's tokenizer for a broadcast description; its cache lasts from one task to the next."""
-    if shared.value[0] not in _tokenizers:
-        _tokenizers.clear()
-        _tokenizers[shared.value[0]] = CachedTokenizer(shared.value[1])
-    return _tokenizers[shared.value[0]]
+    known = kept_by_worker(CACHE)
+    if shared.value[0] not in known:
+        known.clear()
+        known[shared.value[0]] = CachedTokenizer(shared.value[1])
+    return known[shared.value[0]]
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, separator: int = 0, with_ids: bool = False) -> DataFrame:
@@ -75,7 +74,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, separator:
             if columns[0]:
                 yield flush()
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), tokenise, PIECES + ", ids array<int>" * with_ids)
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), tokenise, PIECES + ", ids array<int>" * with_ids, cache=CACHE)
 
 
 def best_two_fit(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:

@@ -257,26 +257,34 @@ class Tagger:
             at = slice(b * s.stride, b * s.stride + len(x))
             line[at], near[at], inside[at] = x, self.reached(x), True
         wanted = inside if everywhere else near
-        b = np.flatnonzero(wanted.reshape(-1, s.stride).any(1))
-        if not len(b):
+        place = np.flatnonzero(wanted)
+        if not len(place):
             return [[] for _ in texts]
-        total = self._averaged(line, b, head)
         # sequences: stretches of wanted places, with the place before and after as one that is outside
-        place = np.flatnonzero(wanted)
         cut = np.flatnonzero(np.diff(place) > 1) + 1
         lo, hi = place[np.append(0, cut)], place[np.append(cut - 1, len(place) - 1)] + 1
         lo, hi = lo - inside[lo - 1] * (lo > 0), hi + inside[np.minimum(hi, len(inside) - 1)]
-        n = hi - lo
+        trans = (self.p["t"] + self.forbidden).astype(np.float64)
+        out: list[list[Span]] = [[] for _ in texts]
+        groups = np.cumsum(hi - lo) // 100_000  # so many places or one stretch at a time
+        for group in np.split(np.arange(len(lo)), np.flatnonzero(np.diff(groups)) + 1):
+            for a, z, kind in self._decoded(line, near, head, lo[group], hi[group], trans):
+                k = int(np.searchsorted(head, a // s.stride, "right")) - 1
+                out[k].append((kind, int(a - head[k] * s.stride), int(z - head[k] * s.stride)))
+        return out
+
+    def _decoded(self, line: np.ndarray, near: np.ndarray, head: np.ndarray, lo: np.ndarray, hi: np.ndarray, trans: np.ndarray) -> Iterator[tuple[int, int, str]]:
+        """Start, end and kind of the spans in stretches of the line."""
+        s, n = self.s, hi - lo
         first = np.concatenate([[0], np.cumsum(n)])
         place = np.repeat(lo - first[:-1], n) + np.arange(first[-1])
         flat = np.full((len(place), TAGS), -1e4)
         flat[:, 0] = 0
         live = near[place]
-        flat[live] = total[np.searchsorted(b, place[live] // s.stride), place[live] % s.stride]
-        trans = (self.p["t"] + self.forbidden).astype(np.float64)
+        b = np.unique(place[live] // s.stride)
+        flat[live] = self._averaged(line, b, head)[np.searchsorted(b, place[live] // s.stride), place[live] % s.stride]
         post, _, _ = posteriors(flat, first, trans)
         best = viterbi(flat, first, trans)
-        out: list[list[Span]] = [[] for _ in texts]
         last = np.zeros(len(place) + 1, bool)
         last[first[1:]] = True
         for i in np.flatnonzero(best % 2 == 1).tolist():
@@ -284,10 +292,7 @@ class Tagger:
             while not last[end] and best[end] == best[i] + 1:
                 end += 1
             if post[np.arange(i, end), best[i:end]].mean() >= s.least:
-                k = int(np.searchsorted(head, place[i] // s.stride, "right")) - 1
-                a = int(place[i] - head[k] * s.stride)
-                out[k].append((KINDS[int(best[i]) // 2], a, a + end - i))
-        return out
+                yield int(place[i]), int(place[i]) + end - i, KINDS[int(best[i]) // 2]
 
     def _averaged(self, line: np.ndarray, b: np.ndarray, head: np.ndarray) -> np.ndarray:
         """Emission scores of the places of blocks b, weighted means over all windows of their text that cover them."""
