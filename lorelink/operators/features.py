@@ -120,7 +120,9 @@ def linked_overlap(links: DataFrame, edges: DataFrame, prefix: str) -> DataFrame
 
     Links are matched by request and neighbour; edges are cut to articles that occur at all before that.
     """
-    near = links.select("request_id", "lang", "label", "id").join(edges.select("lang", F.col("page_id").alias("id"), F.col("target_id").alias("other_id")), ["lang", "id"])
+    occurring = links.select(F.col("id").alias("target_id")).distinct()
+    near = edges.join(occurring, "target_id", "left_semi").select("lang", F.col("page_id").alias("id"), F.col("target_id").alias("other_id"))
+    near = links.select("request_id", "lang", "label", "id").join(near, ["lang", "id"])
     degree = edges.groupBy("lang", F.col("page_id").alias("id")).agg(F.count("*").alias("_degree"))
     pairs = near.join(_others(links), ["request_id", "other_id"]).where("label <> other_label").join(degree, ["lang", "id"])
     return _overlap(pairs, ["request_id", "label", "id"], prefix, F.max("_degree"))

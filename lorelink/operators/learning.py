@@ -149,7 +149,7 @@ def create(name: str, known: dict[str, Any], args: dict[str, str] | None = None)
     made = known[name]()
     for key, value in (args or {}).items():
         value = coerced(value) if isinstance(value, str) else value
-        wanted = {"n_estimators": "numTrees", "max_depth": "maxDepth", "random_state": "seed", "C": "regParam"}.get(key, key)
+        wanted = {"n_estimators": "numTrees", "max_depth": "maxDepth", "random_state": "seed"}.get(key, key)
         if made.hasParam(wanted):
             made.set(made.getParam(wanted), made.getParam(wanted).typeConverter(value))
         else:
@@ -196,6 +196,9 @@ def learn(name: str, history: DataFrame, features: list[str], context: str = "",
     rows = training_set(history, context, target)
     rows = rows.withColumns({f: F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features})
     told = counters(rows).first().asDict()
+    args = dict(args or {})
+    if "C" in args:  # the inverse of the penalty, against a sum of losses where regParam is against their mean
+        args["regParam"] = str(1 / (float(args.pop("C")) * max(1, told["links"])))
     estimator = create(classifier, CLASSIFIERS, args)
     if classifier == "RandomForestClassifier":
         balance = told["balance"] or 0.0
@@ -234,5 +237,5 @@ def leave_one_out(contexts: list[str], seed: int = 0, rounds: int = 50) -> list[
 
 
 def append_history(links: DataFrame, path: str) -> None:
-    """Add links to the history table, a folder for each context."""
+    """Add links to the history table."""
     links.write.mode("append").parquet(path)

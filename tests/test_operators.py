@@ -247,3 +247,12 @@ def test_registered_pagerank_keeps_edges_and_settles(monkeypatch):
     monkeypatch.setattr(context, "pagerank", lambda edges, **more: asked.update(more))
     queries.context_pagerank_converged(None, "")
     assert asked["span"] == 100 and asked["tolerance"] and asked["rounds"] == 1000
+
+
+def test_inverse_penalty(spark):
+    """C counts against the sum of losses: a large one leaves the weights nearly free, a small one holds them near zero."""
+    rows = [(str(i), "c", str(i), float(i % 10), "positive" if i % 10 > 4 + i % 3 else "negative") for i in range(200)]
+    history = spark.createDataFrame(rows, "request_id string, context string, id string, f double, feedback string")
+    weight = {c: abs(learning.learn("m", history, ["f"], classifier="LogisticRegression", args={"C": c}).pipeline.stages[-1].coefficients[0]) for c in ("1000", "0.0001")}
+    assert weight["1000"] > 5 * weight["0.0001"]
+    assert learning.learn("m", history, ["f"], classifier="LogisticRegression", args={"C": "2"}).pipeline.stages[-1].getRegParam() == 1 / 400
