@@ -80,7 +80,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 1000, archive
     base = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))
     base = base.withColumns({"digest": F.sha1(F.encode("payload", "utf-8")), "bytes": F.octet_length("payload").cast("long")})
     total = base.agg(F.sum("bytes")).first()[0] or 0
-    revisits = resolve_revisits(base.select("page_id", "digest", "bytes"), least_bytes)
+    revisits = settled(resolve_revisits(base.select("page_id", "digest", "bytes"), least_bytes), "warc-revisits")
     files = max(1, math.ceil(total / archive_bytes), min(shuffle_partitions(pages.sparkSession), math.ceil(total / (32 << 20))))
     dealt = base.repartition(files, "page_id", "digest").join(revisits, ["page_id", "digest"], "left")  # payloads move once: the join keeps this partitioning
     dealt.select(record_text(date).alias("value")).write.option("lineSep", END).option("compression", "gzip").text(path)
