@@ -101,11 +101,11 @@ def _count(label: str, text: str) -> str:
 ORACLE_SQL: dict[str, str] = {
     "tokenize_docs": rf"SELECT doc_id, CAST(len(t) AS BIGINT) AS tokens, md5(array_to_string(t, chr(10))) AS digest FROM (SELECT doc_id, regexp_extract_all(text, '{_TOKEN}') AS t FROM documents)",
     "ngrams_docs": rf"""
-        WITH v AS (SELECT conv_id, turn, unnest([text, replace(text, '-', ' '), replace(text, '.', ' '), replace(text, '.', '')]) AS x, conv_id * 1000 + turn AS r FROM conversations),
-        t AS (SELECT conv_id, turn, regexp_extract_all(x, '{_TOKEN}') AS t FROM v),
-        g AS (SELECT conv_id, turn, unnest(t) AS g, 1 AS n FROM t UNION SELECT conv_id, turn, t[i] || ' ' || t[i + 1], 2 FROM (SELECT conv_id, turn, t, unnest(range(1, len(t))) AS i FROM t)),
-        c AS (SELECT conv_id, turn, count(DISTINCT g) AS ngrams, count(DISTINCT g) FILTER (n = 1) AS unigrams FROM g GROUP BY ALL)
-        SELECT conv_id, turn, coalesce(ngrams, 0) AS ngrams, coalesce(unigrams, 0) AS unigrams FROM conversations LEFT JOIN c USING (conv_id, turn)""",
+        WITH v AS (SELECT doc_id, unnest([text, replace(text, '-', ' '), replace(text, '.', ' '), replace(text, '.', '')]) AS x FROM documents),
+        t AS (SELECT doc_id, regexp_extract_all(x, '{_TOKEN}') AS t FROM v),
+        g AS (SELECT doc_id, unnest(t) AS g, 1 AS n FROM t UNION SELECT doc_id, t[i] || ' ' || t[i + 1], 2 FROM (SELECT doc_id, t, unnest(range(1, len(t))) AS i FROM t)),
+        c AS (SELECT doc_id, count(DISTINCT g) AS ngrams, count(DISTINCT g) FILTER (n = 1) AS unigrams FROM g GROUP BY ALL)
+        SELECT doc_id, coalesce(ngrams, 0) AS ngrams, coalesce(unigrams, 0) AS unigrams FROM documents LEFT JOIN c USING (doc_id)""",
     "normalize_docs": r"""
         WITH x AS (SELECT doc_id, text, trim(lower(strip_accents(replace(text, '-', ' '))), E' \t\n\r') AS a, trim(strip_accents(replace(text, '-', ' ')), E' \t\n\r') AS b, trim(lower(replace(text, '-', ' ')), E' \t\n\r') AS c FROM documents)
         SELECT doc_id, md5(CASE WHEN a = '' THEN text ELSE a END) AS all_steps, md5(CASE WHEN b = '' THEN text ELSE b END) AS default_steps, md5(CASE WHEN c = '' THEN text ELSE c END) AS without_accents_step FROM x""",
@@ -178,5 +178,5 @@ ORACLE_SQL: dict[str, str] = {
     "evaluate_metrics": f"""WITH {_HISTORY}, {_METRICS} SELECT CASE k WHEN '*' THEN 'micro' ELSE 'context' END AS scope, k AS context, metric, round(value, 9) AS value FROM tall
         UNION ALL SELECT 'macro', '*', metric, round(avg(value), 9) FROM tall WHERE k <> '*' GROUP BY ALL""",
     "stream_unique": "SELECT DISTINCT CAST(user_id AS VARCHAR) AS context, event_type AS title FROM events",
-    "stream_window_counts": "WITH h AS (SELECT date_trunc('hour', ts) AS h, event_type, count(*) AS n FROM events GROUP BY ALL) SELECT strftime(h, '%Y-%m-%d %H:%M') AS start, event_type, n FROM h WHERE h + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)",
+    "stream_window_counts": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
 }

@@ -35,9 +35,9 @@ def tokenize_docs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ngrams_docs(spark: SparkSession, sf: str) -> DataFrame:
-    """How many distinct 1- and 2-grams each message has, over its four variants."""
+    """How many distinct 1- and 2-grams each document has, over its four variants."""
     g = text.ngrams("text", 2)
-    return read(spark, sf, "conversations").select("conv_id", "turn", F.size(g).cast("long").alias("ngrams"), F.size(F.filter(g, lambda x: ~F.contains(x, F.lit(" ")))).cast("long").alias("unigrams"))
+    return read(spark, sf, "documents").select("doc_id", F.size(g).cast("long").alias("ngrams"), F.size(F.filter(g, lambda x: ~F.contains(x, F.lit(" ")))).cast("long").alias("unigrams"))
 
 
 def normalize_docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -176,7 +176,7 @@ def article_features(spark: SparkSession, sf: str) -> DataFrame:
     return x.select("label", "id", *[F.col(c).cast("long").alias(c.lower()) for c in features.ARTICLE if c not in ("INLINKS", "OUTLINKS", "COMMONNESS")])
 
 
-def _best(spark: SparkSession, sf: str):
+def best_links(spark: SparkSession, sf: str):
     kb = star(spark, sf)
     return kb, candidates.candidates(order_requests(spark, sf), kb, only_best=True)
 
@@ -186,60 +186,60 @@ def _rounded(df: DataFrame, prefix: str) -> DataFrame:
 
 
 def multi_outlinks(spark: SparkSession, sf: str) -> DataFrame:
-    kb, found = _best(spark, sf)
+    kb, found = best_links(spark, sf)
     return _rounded(features.linked_overlap(found, kb.outlink, "ME_OUT"), "ME_OUT")
 
 
 def multi_inlinks(spark: SparkSession, sf: str) -> DataFrame:
-    kb, found = _best(spark, sf)
+    kb, found = best_links(spark, sf)
     return _rounded(features.linked_overlap(found, kb.inlink, "ME_IN"), "ME_IN")
 
 
 def multi_tier_one(spark: SparkSession, sf: str) -> DataFrame:
-    kb, found = _best(spark, sf)
+    kb, found = best_links(spark, sf)
     return _rounded(features.tier_one_overlap(found, kb), "ME_T1")
 
 
 # --- page views and contexts ---
 
 
-def _views(spark: SparkSession, sf: str) -> DataFrame:
+def daily_views(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "events").groupBy(F.lit("en").alias("lang"), F.col("event_type").alias("title"), F.to_date("ts").alias("day")).agg(F.count("*").alias("views"))
 
 
 def pageview_windows(spark: SparkSession, sf: str) -> DataFrame:
-    x = pageviews.trailing_views(_views(spark, sf))
+    x = pageviews.trailing_views(daily_views(spark, sf))
     return x.select("title", "day", *[F.col(f"WIKISTATS{k}").alias(f"views_{k.lower()}") for k in pageviews.SPANS])
 
 
 def pageview_trends(spark: SparkSession, sf: str) -> DataFrame:
-    x = pageviews.with_trends(pageviews.trailing_views(_views(spark, sf)))
+    x = pageviews.with_trends(pageviews.trailing_views(daily_views(spark, sf)))
     return x.select("title", "day", F.round("WIKISTATSTRENDDAY", 9).alias("trend_day"), F.round("WIKISTATSTRENDWEEK", 9).alias("trend_week"), F.round("WIKISTATSTREND4WEEK", 9).alias("trend_4week"))
 
 
-def _graph(spark: SparkSession, sf: str) -> DataFrame:
-    kb, found = _best(spark, sf)
+def context_graph(spark: SparkSession, sf: str) -> DataFrame:
+    kb, found = best_links(spark, sf)
     chunks = context.numbered(order_requests(spark, sf))
     return context.alive(context.graph_edges(found, chunks, least=0.01), chunks, span=5)
 
 
 def context_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return _graph(spark, sf)
+    return context_graph(spark, sf)
 
 
 def context_degree(spark: SparkSession, sf: str) -> DataFrame:
-    return context.degrees(_graph(spark, sf)).select("context", "node", "degree", F.round("degree_centrality", 9).alias("degree_centrality"))
+    return context.degrees(context_graph(spark, sf)).select("context", "node", "degree", F.round("degree_centrality", 9).alias("degree_centrality"))
 
 
 def context_pagerank(spark: SparkSession, sf: str) -> DataFrame:
     """Three rounds, as SQL can spell these out; a little is added, so that exact halves round alike."""
-    x = context.pagerank(_graph(spark, sf), rounds=3, settle=settled)
+    x = context.pagerank(context_graph(spark, sf), rounds=3, settle=settled)
     return x.select("context", "node", F.round(F.col("pagerank") + 1e-12, 9).alias("pagerank"), F.round(F.col("pagerank_normalized") + 1e-12, 9).alias("pagerank_normalized"))
 
 
 def context_pagerank_converged(spark: SparkSession, sf: str) -> DataFrame:
     """Ranks run until they stand, over edges of the last 100 chunks. No SQL can spell this out."""
-    kb, found = _best(spark, sf)
+    kb, found = best_links(spark, sf)
     chunks = context.numbered(order_requests(spark, sf))
     edges = settled(context.alive(context.graph_edges(found, chunks, least=0.01), chunks))
     return context.pagerank(edges, rounds=1000, settle=settled, tolerance=1e-6)
@@ -248,7 +248,7 @@ def context_pagerank_converged(spark: SparkSession, sf: str) -> DataFrame:
 # --- learning ---
 
 
-def _history(spark: SparkSession, sf: str) -> DataFrame:
+def history(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as links: the source is the context, the label the feedback, the share of letters e a score."""
     docs = read(spark, sf, "documents").select("doc_id", "source", "lang", "n_chars", (F.length(F.regexp_replace("text", "[^e]", "")) / F.greatest(F.length("text"), F.lit(1))).alias("share_e"))
     labels = read(spark, sf, "labels").select(F.col("doc_id").alias("l"), "quality")
@@ -258,43 +258,47 @@ def _history(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def feedback_join(spark: SparkSession, sf: str) -> DataFrame:
-    history = _history(spark, sf)
-    given = history.where("feedback IS NOT NULL").select("context", F.col("feedback").alias("type"), "id").unionAll(history.where("id % 3 = 0").select("context", F.lit("negative"), "id"))
-    return learning.with_feedback(history.drop("feedback"), given, ["positive", "negative"], "unknown").select("context", "id", "feedback")
+    links = history(spark, sf)
+    given = links.where("feedback IS NOT NULL").select("context", F.col("feedback").alias("type"), "id").unionAll(links.where("id % 3 = 0").select("context", F.lit("negative"), "id"))
+    return learning.with_feedback(links.drop("feedback"), given, ["positive", "negative"], "unknown").select("context", "id", "feedback")
 
 
 def evaluate_counts(spark: SparkSession, sf: str) -> DataFrame:
-    x = learning.context_counts(_history(spark, sf))
+    x = learning.context_counts(history(spark, sf))
     return x.select(F.coalesce("context", F.lit("*")).alias("context"), "requests", "links", "missing", F.coalesce(F.col("by_type")["positive"], F.lit(0)).alias("positive"), F.coalesce(F.col("by_type")["negative"], F.lit(0)).alias("negative"))
 
 
 def evaluate_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """Micro, macro and per context."""
-    x = learning.evaluate(_history(spark, sf), threshold=0.1)
+    x = learning.evaluate(history(spark, sf), threshold=0.1)
     return x.select("scope", F.coalesce("context", F.lit("*")).alias("context"), "metric", F.round("value", 9).alias("value"))
 
 
 def score_model(spark: SparkSession, sf: str) -> DataFrame:
     """A model learnt from the feedback, applied to all links."""
-    history = _history(spark, sf)
-    model = learning.learn("quality", history, ["senseProbability", "size"], classifier="LogisticRegression", preprocessor="StandardScaler")
-    return learning.score(history, model).select("context", "id", F.round("learningProbability", 6).alias("score"))
+    links = history(spark, sf)
+    model = learning.learn("quality", links, ["senseProbability", "size"], classifier="LogisticRegression", preprocessor="StandardScaler")
+    return learning.score(links, model).select("context", "id", F.round("learningProbability", 6).alias("score"))
 
 
 # --- streams, run to the end of what is there ---
 
 
-def _drained(spark: SparkSession, stream: DataFrame, mode: str, name: str) -> DataFrame:
+def _stream_folder(spark: SparkSession) -> str:
     import tempfile
     import uuid
 
-    table = f"{name}_{uuid.uuid4().hex[:12]}"
     base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not base and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    folder = f"{base or tempfile.mkdtemp(prefix='lorelink-')}/stream-{uuid.uuid4().hex}"
-    stream.writeStream.format("parquet").option("path", f"{folder}/{table}").option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/{table}")
+    return f"{base or tempfile.mkdtemp(prefix='lorelink-')}/stream-{uuid.uuid4().hex}"
+
+
+def drained(spark: SparkSession, stream: DataFrame, mode: str, name: str) -> DataFrame:
+    """What a stream gives until its input ends, as a table."""
+    folder = _stream_folder(spark)
+    stream.writeStream.format("parquet").option("path", f"{folder}/{name}").option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/{name}")
 
 
 def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
@@ -305,13 +309,21 @@ def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
 def stream_unique(spark: SparkSession, sf: str) -> DataFrame:
     """Which kinds of event each user has had, each once."""
     x = _event_stream(spark, sf).select(F.col("user_id").cast("string").alias("context"), F.col("event_type").alias("title"))
-    return _drained(spark, streams.unique_links(x), "append", "unique")
+    return drained(spark, streams.unique_links(x), "append", "unique")
 
 
 def stream_window_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """Events of each hour and kind, all but those hours that the watermark (an hour behind the last event) hasn't passed."""
-    x = _drained(spark, streams.window_counts(_event_stream(spark, sf)), "append", "windows")
-    return x.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n")
+    """Events of each hour and kind, those of hours that are still open among them: each batch writes the counts it changed, the last one counts."""
+    folder = f"{_stream_folder(spark)}/windows"
+
+    def keep(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch}")
+
+    counted = streams.window_counts(_event_stream(spark, sf))
+    keep(spark.createDataFrame([], counted.schema), -1)  # so that there is a table if no batch comes
+    counted.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/state").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    last = spark.read.parquet(f"{folder}/rows").groupBy("start", "event_type").agg(F.max_by("n", "batch").alias("n"))
+    return last.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n")
 
 
 QUERIES: dict[str, Query] = {

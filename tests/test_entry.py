@@ -3,7 +3,10 @@ import os
 import pytest
 
 import __spark_entry__
-from lorelink.plans import oracle, queries
+from lorelink.plans import more_queries, oracle, queries
+
+QUERIES = {**queries.QUERIES, **more_queries.QUERIES}
+SQL = {**oracle.ORACLE_SQL, **more_queries.ORACLE_SQL}
 
 
 def test_contract(spark):
@@ -12,16 +15,16 @@ def test_contract(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-@pytest.mark.parametrize("name", sorted(oracle.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_oracle(spark, sf, name):
     import duckdb
 
     con = duckdb.connect()
     for f in os.listdir(sf):
         con.sql(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{sf}/{f}'")
-    df = queries.QUERIES[name](spark, sf)
+    df = QUERIES[name](spark, sf)
     columns = sorted(df.columns)
-    want = con.sql(oracle.ORACLE_SQL[name])
+    want = con.sql(SQL[name])
     assert sorted(want.columns) == columns
 
     def plain(v):
