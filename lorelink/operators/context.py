@@ -39,11 +39,15 @@ def doubled(edges: DataFrame) -> DataFrame:
     return edges.select("context", F.inline(F.array(F.struct(F.col("src").alias("node"), F.col("dst").alias("other")), F.struct(F.col("dst").alias("node"), F.col("src").alias("other")))))
 
 
+def sized(nodes: DataFrame) -> DataFrame:
+    """nodes with n, the nodes of their context; counts are combined before they move, so that no context is in one task."""
+    return nodes.join(nodes.groupBy("context").agg(F.count("*").alias("n")), "context")
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """context, node, degree, degree_centrality (degree over the other nodes; 1 for a single node)."""
-    per_node = doubled(edges).groupBy("context", "node").agg(F.count("*").alias("degree"))
-    nodes = F.count("*").over(Window.partitionBy("context"))
-    return per_node.withColumn("degree_centrality", F.when(nodes > 1, F.col("degree") / (nodes - 1)).otherwise(F.lit(1.0)))
+    nodes = sized(doubled(edges).groupBy("context", "node").agg(F.count("*").alias("degree")))
+    return nodes.withColumn("degree_centrality", F.when(F.col("n") > 1, F.col("degree") / (F.col("n") - 1)).otherwise(F.lit(1.0))).drop("n")
 
 
 def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, settle=None, every: int = 5, tolerance: float | None = None) -> DataFrame:
@@ -56,9 +60,8 @@ def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, settle=N
     rounds the ranks are cut from their lineage by `settle`, which writes a DataFrame and reads it (checkpoint by default).
     """
     settle = settle or (lambda df: df.checkpoint())
-    both = doubled(edges)
-    degree = both.groupBy("context", "node").agg(F.count("*").alias("degree"))
-    nodes = degree.withColumn("n", F.count("*").over(Window.partitionBy("context")))
+    both = doubled(settle(edges))
+    nodes = sized(both.groupBy("context", "node").agg(F.count("*").alias("degree")))
     out = settle(both.join(nodes, ["context", "node"]))
     ranks = settle(nodes.select("context", "node", "n", (1.0 / F.col("n")).alias("rank")))
     before = ranks
@@ -82,7 +85,7 @@ def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, settle=N
 
 def head_pagerank(edges: DataFrame, titles: DataFrame) -> DataFrame:
     """What the service has always given as rank: the start weight, 1 for titles and 0 for other nodes, and that times the nodes."""
-    nodes = doubled(edges).select("context", "node").distinct().withColumn("n", F.count("*").over(Window.partitionBy("context")))
+    nodes = sized(doubled(edges).select("context", "node").distinct())
     known = titles.select("context", F.col("title").alias("node"), F.lit(1).alias("is_title")).distinct()
     weight = F.coalesce("is_title", F.lit(0)).cast("double")
     return nodes.join(known, ["context", "node"], "left").select("context", "node", weight.alias("pagerank"), (weight * F.col("n")).alias("pagerank_normalized"))
@@ -98,6 +101,7 @@ def with_context_features(links: DataFrame, requests: DataFrame, label: str = "c
     """links with CONTEXT_<LABEL>_DEGREE, _DEGREE_CENTRALITY, _PAGERANK and _PAGERANK_NORMALIZED of their title; 0 outside the graph."""
     chunks = numbered(requests)
     edges = alive(graph_edges(links, chunks), chunks, span)
+    edges = settle(edges) if settle else edges
     prefix = f"CONTEXT_{label.upper()}"
     ranks = head_pagerank(edges, links.join(chunks, "request_id").select("context", "title")) if head else pagerank(edges, rounds, settle=settle)
     both = degrees(edges).join(ranks, ["context", "node"], "left").withColumnRenamed("node", "title")

@@ -53,7 +53,7 @@ made AS (SELECT context, '[Chunk' || chunk || ']' AS a, '[Chunk' || (chunk - 1)
          UNION ALL SELECT context, '[' || chunk || '-' || label || ']', title, chunk FROM best JOIN chunks USING (l_orderkey) WHERE sp >= 0.01
          UNION ALL SELECT context, '[' || chunk || '-' || label || ']', '[Chunk' || chunk || ']', chunk FROM best JOIN chunks USING (l_orderkey) WHERE sp >= 0.01),
 e0 AS (SELECT context, least(a, b) AS src, greatest(a, b) AS dst, CAST(max(chunk) AS INT) AS t FROM made GROUP BY ALL),
-graph AS (SELECT e0.* FROM e0 JOIN (SELECT context, max(chunk) AS last FROM chunks GROUP BY ALL) USING (context) WHERE t >= last - 5),
+graph AS (SELECT e0.* FROM e0 JOIN (SELECT context, max(chunk) AS last FROM chunks GROUP BY ALL) USING (context) WHERE t >= last - 100),
 twice AS (SELECT context, src AS node, dst AS other FROM graph UNION ALL SELECT context, dst, src FROM graph),
 deg AS (SELECT context, node, count(*) AS degree FROM twice GROUP BY ALL),
 nodes AS (SELECT *, count(*) OVER (PARTITION BY context) AS n FROM deg),

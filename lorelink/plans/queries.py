@@ -5,6 +5,8 @@ The knowledge base is made of the tables (sources.tables.star): labels are part
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,11 +21,19 @@ from .link import Options, collect_json, link
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new place in the folder that driver and executors share; only a local session without one gets a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{base or tempfile.mkdtemp(prefix='lorelink-')}/{name}-{uuid.uuid4().hex}"
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """df cut from its lineage: in the checkpoint folder where there is one, else as it is."""
-    spark = df.sparkSession
-    place = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    return df.checkpoint() if place or spark.sparkContext.getCheckpointDir() else df
+    """df written as a table and read again: cut from its lineage, and whole though executors are lost."""
+    path = shared_folder(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 # --- text functions ---
@@ -220,7 +230,7 @@ def pageview_trends(spark: SparkSession, sf: str) -> DataFrame:
 def context_graph(spark: SparkSession, sf: str) -> DataFrame:
     kb, found = best_links(spark, sf)
     chunks = context.numbered(order_requests(spark, sf))
-    return context.alive(context.graph_edges(found, chunks, least=0.01), chunks, span=5)
+    return settled(context.alive(context.graph_edges(found, chunks, least=0.01), chunks))
 
 
 def context_edges(spark: SparkSession, sf: str) -> DataFrame:
@@ -238,11 +248,8 @@ def context_pagerank(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def context_pagerank_converged(spark: SparkSession, sf: str) -> DataFrame:
-    """Ranks run until they stand, over edges of the last 100 chunks. No SQL can spell this out."""
-    kb, found = best_links(spark, sf)
-    chunks = context.numbered(order_requests(spark, sf))
-    edges = settled(context.alive(context.graph_edges(found, chunks, least=0.01), chunks))
-    return context.pagerank(edges, rounds=1000, settle=settled, tolerance=1e-6)
+    """Ranks run until they stand. No SQL can spell this out."""
+    return context.pagerank(context_graph(spark, sf), rounds=1000, settle=settled, tolerance=1e-6)
 
 
 # --- learning ---
@@ -284,19 +291,9 @@ def score_model(spark: SparkSession, sf: str) -> DataFrame:
 # --- streams, run to the end of what is there ---
 
 
-def _stream_folder(spark: SparkSession) -> str:
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return f"{base or tempfile.mkdtemp(prefix='lorelink-')}/stream-{uuid.uuid4().hex}"
-
-
 def drained(spark: SparkSession, stream: DataFrame, mode: str, name: str) -> DataFrame:
     """What a stream gives until its input ends, as a table."""
-    folder = _stream_folder(spark)
+    folder = shared_folder(spark, "stream")
     stream.writeStream.format("parquet").option("path", f"{folder}/{name}").option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/{name}")
 
@@ -314,7 +311,7 @@ def stream_unique(spark: SparkSession, sf: str) -> DataFrame:
 
 def stream_window_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Events of each hour and kind, those of hours that are still open among them: each batch writes the counts it changed, the last one counts."""
-    folder = f"{_stream_folder(spark)}/windows"
+    folder = shared_folder(spark, "windows")
 
     def keep(changed: DataFrame, batch: int) -> None:
         changed.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch}")

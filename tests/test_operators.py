@@ -219,7 +219,7 @@ def test_pagerank_runs_until_it_stands(spark):
 
     star = [("a", "hub", f"n{i}", 1) for i in range(5)] + [("a", "n0", "m", 1), ("a", "m", "end", 1), ("b", "x", "y", 1), ("b", "y", "z", 1)]
     edges = spark.createDataFrame(star, "context string, src string, dst string, t int")
-    got = {(r.context, r.node): r.pagerank for r in context.pagerank(edges, rounds=1000, settle=lambda df: df.localCheckpoint(), tolerance=1e-6).collect()}
+    got = {(r.context, r.node): r.pagerank for r in context.pagerank(edges, rounds=1000, settle=lambda df: df.checkpoint(), tolerance=1e-6).collect()}
     for c in ("a", "b"):
         near = {}
         for k, s, d, _ in star:
@@ -238,7 +238,7 @@ def test_registered_pagerank_keeps_edges_and_settles(monkeypatch):
     from lorelink.plans import queries
 
     asked = {}
-    monkeypatch.setattr(queries, "_best", lambda *_: (None, None))
+    monkeypatch.setattr(queries, "best_links", lambda *_: (None, None))
     monkeypatch.setattr(queries, "order_requests", lambda *_: None)
     monkeypatch.setattr(queries, "settled", lambda df: df)
     monkeypatch.setattr(context, "numbered", lambda _: None)
