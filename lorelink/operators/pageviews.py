@@ -28,8 +28,10 @@ def trailing_views(views: DataFrame) -> DataFrame:
 
 def views_before(views: DataFrame, asked: DataFrame) -> DataFrame:
     """asked (lang, title, day) with the sums before its day, whether that day has views or not."""
-    near = asked.select("lang", "title", "day").distinct().join(views.withColumnRenamed("day", "_day"), ["lang", "title"], "left")
+    past = views.select(F.col("lang").alias("_lang"), F.col("title").alias("_title"), F.col("day").alias("_day"), "views")
     ago = F.datediff("day", "_day")
+    same = (F.col("lang") == F.col("_lang")) & (F.col("title") == F.col("_title")) & ago.between(1, max(SPANS.values()))
+    near = asked.select("lang", "title", "day").distinct().join(past, same, "left")
     return near.groupBy("lang", "title", "day").agg(*[F.coalesce(F.sum(F.when((ago >= 1) & (ago <= d), F.col("views"))), F.lit(0)).alias(f"WIKISTATS{k}") for k, d in SPANS.items()])
 
 
