@@ -27,6 +27,8 @@ from .common import map_arrow, settled, shuffle_partitions, utf8
 SEED = 42
 #: Parts into which the members of a component are dealt.
 SLICES = 32
+#: Rows that Spark may send to the driver for a broadcast; it goes by the size of files, which tells little of their rows'.
+BROADCAST = 100_000
 
 
 def shingle_hashes(text: bytes, width: int = 4, portion: int = 1 << 16) -> Iterator[np.ndarray]:
@@ -199,6 +201,23 @@ def _whole_blocks(batches: Iterator[pa.RecordBatch], least: int = 50_000) -> Ite
         yield joined()[:2]
 
 
+def met(df: DataFrame, rows: int) -> DataFrame:
+    """df for a join, by shuffle if one of its sides has more than BROADCAST rows: `rows` is the greater count."""
+    return df.hint("merge") if rows > BROADCAST else df
+
+
+def class_ids(members: DataFrame, rows: int) -> DataFrame:
+    """fp, component_id (the least `first` of those with the same root) of each of `rows` members (fp, first, root).
+
+    A component may have very many members: they are dealt into slices, and its id is sent to those that it has, so never to more
+    than there are members.
+    """
+    sliced = members.withColumn("_slice", F.pmod(F.xxhash64("fp"), F.lit(SLICES)))
+    least = sliced.groupBy("root", "_slice").agg(F.min("first").alias("first"))
+    least = least.groupBy("root").agg(F.min("first").alias("component_id"), F.collect_list("_slice").alias("_slices"))
+    return sliced.join(met(least.select("root", "component_id", F.explode("_slices").alias("_slice")), rows), ["root", "_slice"]).select("fp", "component_id")
+
+
 def components(edges: DataFrame, a: str = "fp", b: str = "root", rounds: int = 50) -> DataFrame:
     """node, root: the least node that each node of `edges` reaches. Large and small stars alternate until nothing changes.
 
@@ -216,9 +235,9 @@ def components(edges: DataFrame, a: str = "fp", b: str = "root", rounds: int = 5
             break
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("_m")).select("u", F.least("u", "_m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(met(least, before[0]), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        small = large.join(met(least, before[0]), "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionAll(least.select("u", F.col("m").alias("v"))).distinct()
         now = settled(small, "edges")
         after = state(now)
@@ -238,11 +257,7 @@ def near_duplicates(docs: DataFrame, errors: int = 4, width: int = 4, id_column:
     """
     fps = settled(fingerprints(docs, id_column, text, width), "fingerprints")
     first = settled(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    roots = components(block_links(first.select("fp"), errors, pieces_beyond(first.count(), errors)))
-    members = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    class_id = members.groupBy("root").agg(F.min("first").alias("component_id"))
-    # a component may have very many fingerprints: its members are dealt into slices, to each of which its id is sent
-    sliced = members.withColumn("_slice", F.pmod(F.xxhash64("fp"), F.lit(SLICES)))
-    named = sliced.join(class_id.withColumn("_slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SLICES - 1).cast("long")))), ["root", "_slice"]).select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
+    count = first.count()
+    roots = components(block_links(first.select("fp"), errors, pieces_beyond(count, errors)))
+    members = first.join(met(roots.withColumnRenamed("node", "fp"), count), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    return fps.join(met(class_ids(members, count), fps.count()), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

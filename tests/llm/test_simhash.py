@@ -130,3 +130,19 @@ def test_edges(spark):
     rows = [(None, "a b c", "", "", ""), (None, "d e f", "", "", ""), (3, "a b c", "", "", "")]
     df = spark.createDataFrame(rows, SCHEMA)
     assert {(r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect()} == {(None, 3), (None, None), (3, 3)}
+
+
+def test_no_broadcast_of_many_rows(spark, monkeypatch):
+    """Class ids go to the slices that a component has, by shuffle: sent to all slices they filled the driver at 440,000 fingerprints."""
+    monkeypatch.setattr(simhash, "BROADCAST", 50, raising=False)
+    values = near_values(random.Random(8), 20, 3, 300)
+    fps = spark.createDataFrame([(i, int(v)) for i, v in enumerate(values.view(np.int64))], "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *_: fps)
+    df = simhash.near_duplicates(fps)
+    assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
+    plan = df._jdf.queryExecution()
+    assert plan.toRdd().count() == len(values)
+    final = plan.executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "BroadcastExchange" not in final and "Generate" in final
+    want = classes(dict(enumerate(values.tolist())))
+    assert {r.doc_id: r.component_id for r in df.collect()} == want
