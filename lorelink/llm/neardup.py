@@ -372,13 +372,13 @@ def one_of_each(docs: DataFrame, share: float = 0.8, width: int = 5, id_column:
 
     blocks = map_arrow(sorted_(dealt(rows)), several, "tok long, n int, unit long, pos int")
     # what a block's sets need there is little, as most shingles of a prefix are in one set alone
-    blocks = settled(settled(blocks, "shingle-blocks").join(units.select("unit", "mark"), "unit").select("tok", "n", "unit", "pos", "mark"), "marked-blocks")
+    blocks = settled(blocks.join(units.select("unit", "mark"), "unit").select("tok", "n", "unit", "pos", "mark"), "marked-blocks")
 
     def checked(pairs: DataFrame) -> DataFrame:
         pairs = settled(pairs, "likely-pairs")
         ends = pairs.select(F.explode(F.array("a", "b")).alias("unit")).distinct()
         sets = whole_sets(docs, units.join(ends, "unit").select("unit", "best.id", "best.th"), id_column, text, width)
-        return settled(confirmed(pairs, settled(sets, "whole-sets"), share), "near-pairs")
+        return confirmed(pairs, settled(sets, "whole-sets"), share)  # components() writes them
 
     likely = possible(forests(sorted_(blocks), share).unionAll(fingerprint_pairs(units)).distinct(), units, share)
     rank = F.row_number().over(Window.partitionBy("b").orderBy("d", "a"))

@@ -105,3 +105,12 @@ def test_pipeline_stage(spark):
 def test_edges(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert neardup.one_of_each(empty).count() == 0
+
+
+def test_tables_written(spark, monkeypatch):
+    """Tables that are read once aren't written: each file that a task writes costs processes that the executor starts."""
+    names, settled = [], neardup.settled
+    monkeypatch.setattr(neardup, "settled", lambda df, what: names.append(what) or settled(df, what))
+    df = spark.createDataFrame([(i, f"one two three four five six {i // 2}", "", "") for i in range(20)], SCHEMA)
+    assert neardup.one_of_each(df).count() == 10
+    assert {n: names.count(n) for n in names} == {"shingle-prefixes": 1, "shingle-sets": 1, "marked-blocks": 1, "distinct-fingerprints": 1, "likely-pairs": 2, "needed-sets": 2, "whole-sets": 2}
