@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, pii, pq, quality, simhash, sketch, spelling, topk, urlfilter, warc
+from . import langid, mixing, nndescent, packing, pii, pq, quality, simhash, sketch, spelling, topk, urlfilter, warc
 from .common import held_out_rows, learning_rows, settled, shared_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,6 +86,11 @@ def op10_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.edited_fingerprints(table(spark, sf_dir, "documents", "doc_id", "text"), width=5)
 
 
+def op11_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest found of each embedding whose id is divisible by 50, by greedy search in a neighbour graph."""
+    return nndescent.nearest(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 50 == 0, 5)
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every frequent word's near words and the word that it is a variant of."""
     return spelling.variant_groups(table(spark, sf_dir, "documents", "doc_id", "text"), least=5, occurrences=3, drop=97)
@@ -96,7 +101,7 @@ def op13_annular_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pq.compress(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
 
 
-QUERIES: dict[str, Query] = {"op1_language_id": op1_language_id, "op2_exact_topk": op2_exact_topk, "op3_best_two_fit": op3_best_two_fit, "op4_warc_revisits": op4_warc_revisits, "op5_url_filter": op5_url_filter, "op6_personal_data": op6_personal_data, "op7_mix_budgets": op7_mix_budgets, "op8_line_quality": op8_line_quality, "op9_simhash_near_dedup": op9_simhash_near_dedup, "op10_scaled_sketch": op10_scaled_sketch, "op12_spelling_variants": op12_spelling_variants, "op13_annular_codes": op13_annular_codes}
+QUERIES: dict[str, Query] = {"op1_language_id": op1_language_id, "op2_exact_topk": op2_exact_topk, "op3_best_two_fit": op3_best_two_fit, "op4_warc_revisits": op4_warc_revisits, "op5_url_filter": op5_url_filter, "op6_personal_data": op6_personal_data, "op7_mix_budgets": op7_mix_budgets, "op8_line_quality": op8_line_quality, "op9_simhash_near_dedup": op9_simhash_near_dedup, "op10_scaled_sketch": op10_scaled_sketch, "op11_nn_descent": op11_nn_descent, "op12_spelling_variants": op12_spelling_variants, "op13_annular_codes": op13_annular_codes}
 
 
 def _codes_sql(rounds: int = 4, parts: int = 4, entries: int = 256) -> str:
