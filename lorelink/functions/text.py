@@ -6,11 +6,9 @@ import sys
 import unicodedata
 from collections.abc import Callable, Iterable
 
-import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 #: A letter, digit or underscore of any script. Java's and RE2's \w know ASCII only, so classes are spelt out.
 W = r"\p{L}\p{N}_"
@@ -29,21 +27,26 @@ def col(x: Column | str) -> Column:
 # --- normal forms ---
 
 
-def _accent_table() -> tuple[str, str, str, str]:
-    """Characters up to U+FFFF that decompose to one base character, these, combining marks, and those that decompose otherwise."""
-    source, target, marks, others = [], [], [], []
-    for point in range(0x80, 0x10000):
+#: Korean syllables are made of these by arithmetic: the first one, and the first of the leading, middle and closing letters.
+HANGUL, LEADS, MIDDLES, CLOSINGS = 0xAC00, 0x1100, 0x1161, 0x11A7
+
+
+def _accent_table() -> tuple[str, str, str, dict[str, str]]:
+    """Characters that decompose to one base character, these, characters of which nothing is left, and those of which several
+    characters are left; Korean syllables aside. Beyond U+2FFFF nothing decomposes.
+    """
+    source, target, marks, several = [], [], [], {}
+    for point in (*range(0x80, HANGUL), *range(HANGUL + 11172, 0xD800), *range(0xE000, 0x30000)):
         c = chr(point)
-        if unicodedata.combining(c):
+        base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if not base:
             marks.append(c)
-            continue
-        base = [x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)]
-        if len(base) == 1 and base[0] != c and not 0xD800 <= point <= 0xDFFF:
+        elif base != c and len(base) == 1:
             source.append(c)
-            target.append(base[0])
-        elif base != [c] and not 0xD800 <= point <= 0xDFFF:
-            others.append(c)
-    return "".join(source), "".join(target), "".join(marks), "".join(others)
+            target.append(base)
+        elif base != c:
+            several[c] = base
+    return "".join(source), "".join(target), "".join(marks), several
 
 
 def _ranges(chars: str) -> str:
@@ -57,37 +60,55 @@ def _ranges(chars: str) -> str:
     return "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in out)
 
 
-_SOURCE, _TARGET, _MARKS, _OTHERS = _accent_table()
-#: A character that translate() doesn't bring to its full form.
-_NEEDS_NFKD = rf"[{_ranges(_OTHERS)}\x{{10000}}-\x{{10ffff}}]"
+_SOURCE, _TARGET, _MARKS, _SEVERAL = _accent_table()
+_KEYS = "".join(_SEVERAL)
+_SYLLABLES = chr(HANGUL), chr(HANGUL + 11171)
+#: A character of which several are left.
+_EXPANDS = rf"[{_ranges(_KEYS)}{_SYLLABLES[0]}-{_SYLLABLES[1]}]"
 
 
-@F.pandas_udf(StringType())
-def _strip_nfkd(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda s: None if s is None else "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)))
+def _letters(first: int, count: int) -> str:
+    return "".join(chr(first + k) for k in range(count))
+
+
+def _expanded(c: Column) -> Column:
+    """All that is left of a character."""
+    place = F.ascii(c) - HANGUL
+    letter = lambda first, count, at: F.substr(F.lit(_letters(first, count)), at + 1, F.lit(1))
+    closing = place % 28
+    syllable = F.concat(letter(LEADS, 19, F.floor(place / 588).cast("int")), letter(MIDDLES, 21, F.floor(place % 588 / 28).cast("int")), F.when(closing > 0, letter(CLOSINGS, 28, closing)).otherwise(F.lit("")))
+    other = F.get(F.array(*[F.lit(x) for x in _SEVERAL.values()]), F.instr(F.lit(_KEYS), c) - 1)
+    return F.when(c.between(*_SYLLABLES), syllable).otherwise(F.coalesce(other, c))
 
 
 def remove_accents(text: Column | str, exact: bool = False) -> Column:
     """Without accents, as NFKD decomposition leaves the text once combining marks are dropped.
 
-    The plain form is one translate() and covers every character up to U+FFFF that decomposes to one base character. Some
-    (Hangul, ligatures, fractions) decompose to several; `exact` handles these and all others too, by an Arrow function in
-    Python that gets only the texts with such a character.
+    The plain form is one translate(), which covers every character that decomposes to one base character. Some (Korean
+    syllables, ligatures, fractions) decompose to several; `exact` handles these too, where a text has any.
     """
-    plain = F.translate(col(text), _SOURCE + _MARKS, _TARGET)
-    if not exact:
-        return plain
-    return F.coalesce(_strip_nfkd(F.when(F.rlike(col(text), F.lit(_NEEDS_NFKD)), col(text))), plain)
+    raw = col(text)
+    if exact:
+        single = F.filter(F.split(raw, ""), lambda c: c != "")
+        raw = F.when(F.rlike(raw, F.lit(_EXPANDS)), F.array_join(F.transform(single, _expanded), "")).otherwise(raw)
+    return F.translate(raw, _SOURCE + _MARKS, _TARGET)
+
+
+def folded(text: Column | str, dash: bool = True, accents: bool = True, lower: bool = True, exact: bool = False) -> Column:
+    """Dashes as blanks, no accents, lower case, as asked for: what normalize() does to each character by itself."""
+    x = F.replace(col(text), F.lit("-"), F.lit(" ")) if dash else col(text)
+    x = remove_accents(x, exact) if accents else x
+    return F.lower(x) if lower else x
+
+
+#: What is trimmed off the ends of a normal form.
+BLANKS = " \t\n\r\f\v"
 
 
 def normalize(text: Column | str, dash: bool = True, accents: bool = True, lower: bool = True, exact: bool = False) -> Column:
     """Dashes as blanks, no accents, lower case, no blanks at the ends, as asked for; the text itself if nothing would be left."""
-    raw = col(text)
-    x = F.replace(raw, F.lit("-"), F.lit(" ")) if dash else raw
-    x = remove_accents(x, exact) if accents else x
-    x = F.lower(x) if lower else x
-    x = F.btrim(x, F.lit(" \t\n\r\f\v"))
-    return F.when(F.length(x) == 0, raw).otherwise(x)
+    x = F.btrim(folded(text, dash, accents, lower, exact), F.lit(BLANKS))
+    return F.when(F.length(x) == 0, col(text)).otherwise(x)
 
 
 # --- tokens and n-grams ---
@@ -118,6 +139,30 @@ def ngrams(text: Column | str, longest: int, all_variants: bool = True) -> Colum
     return F.array_distinct(grams)
 
 
+def normal_ngrams(text: Column | str, longest: int, exact: bool = True) -> Column:
+    """Distinct n-grams of 1 to `longest` tokens of the text's variants with their normal forms, as structs ngram, norm.
+
+    Tokens have no line ends, so a variant's tokens are brought to their normal form in one go, and n-grams of both are
+    made side by side; an n-gram of which nothing is left is its own normal form.
+    """
+
+    def runs(t: Column, u: Column, n: int) -> Column:
+        count = F.size(t) - n + 1
+
+        def pair(i: Column) -> Column:
+            # one text, normal form first, as texts are made distinct by hashing
+            raw, norm = (t[i - 1], u[i - 1]) if n == 1 else (F.array_join(F.slice(t, i, n), " "), F.array_join(F.slice(u, i, n), " "))
+            return let(F.btrim(norm, F.lit(BLANKS)), lambda x: F.concat(F.when(x == "", raw).otherwise(x), F.lit("\n"), raw))
+
+        return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), pair)).otherwise(F.array().cast("array<string>"))
+
+    def of_variant(v: Column) -> Column:
+        return let(tokenize(v), lambda t: let(F.split(folded(F.array_join(t, "\n"), exact=exact), "\n"), lambda u: F.flatten(F.array(*[runs(t, u, n) for n in range(1, longest + 1)]))))
+
+    pairs = F.array_distinct(F.flatten(F.transform(variants(text), of_variant)))
+    return F.transform(pairs, lambda x: F.struct(F.substring_index(x, "\n", -1).alias("ngram"), F.substring_index(x, "\n", 1).alias("norm")))
+
+
 def longest_ngram(cap: int | None, head: bool = True) -> int | None:
     """The longest n-gram that a cap of M tokens allows: M - 1 as the service has always counted, M in fixed mode."""
     return None if cap is None else cap - 1 if head else cap
@@ -217,8 +262,16 @@ def register(spark, names: Iterable[str] = ("normalize", "tokenize")) -> None:
     def quoted(x: str) -> str:
         return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    plain = f"btrim(lower(translate(replace(t, '-', ' '), {quoted(_SOURCE + _MARKS)}, {quoted(_TARGET)})), ' \\t\\n\\r')"
-    table = {"normalize": ("STRING", f"if(length({plain}) = 0, t, {plain})"), "tokenize": ("ARRAY<STRING>", f"regexp_extract_all(t, {quoted(TOKEN)}, 0)")}
+    def letter(first: int, count: int, at: str) -> str:
+        return f"substr({quoted(_letters(first, count))}, {at} + 1, 1)"
+
+    place = f"(ascii(c) - {HANGUL})"
+    syllable = f"concat({letter(LEADS, 19, f'{place} div 588')}, {letter(MIDDLES, 21, f'({place} % 588) div 28')}, if({place} % 28 > 0, {letter(CLOSINGS, 28, f'{place} % 28')}, ''))"
+    one = f"if(c BETWEEN {quoted(_SYLLABLES[0])} AND {quoted(_SYLLABLES[1])}, {syllable}, coalesce(get(array({', '.join(map(quoted, _SEVERAL.values()))}), instr({quoted(_KEYS)}, c) - 1), c))"
+    blank = "replace(t, '-', ' ')"
+    whole = f"if(rlike(t, {quoted(_EXPANDS)}), array_join(transform(filter(split({blank}, ''), c -> c <> ''), c -> {one}), ''), {blank})"
+    form = f"btrim(lower(translate({whole}, {quoted(_SOURCE + _MARKS)}, {quoted(_TARGET)})), {quoted(BLANKS)})"
+    table = {"normalize": ("STRING", f"coalesce(nullif({form}, ''), t)"), "tokenize": ("ARRAY<STRING>", f"regexp_extract_all(t, {quoted(TOKEN)}, 0)")}
     for name in names:
         if name in table:
             spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION lorelink_{name}(t STRING) RETURNS {table[name][0]} RETURN {table[name][1]}")

@@ -20,6 +20,7 @@ SCHEMAS = {
     "category": "lang string, page_id string, pos int, category_id string",
     "translation": "lang string, page_id string, tlang string, title string",
     "definition": "lang string, page_id string, definition string",
+    "label_bitmap": "lang string, bits int, longest int, bucket long, bitmap binary",
     "meta": "lang string, version int, language_name string, path string",
 }
 
@@ -40,6 +41,7 @@ class KB:
     translation: DataFrame | None = None
     definition: DataFrame | None = None
     meta: DataFrame | None = None
+    label_bitmap: DataFrame | None = None
 
     def of(self, lang: str) -> KB:
         """The part for one language; a filter on the partition column."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import share
@@ -44,3 +44,31 @@ def grouped(df: DataFrame, keys: list[str], value: str, name: str, order: str =
 def missing_pages(sense: DataFrame, page: DataFrame) -> DataFrame:
     """Integrity: senses whose page doesn't exist."""
     return sense.join(page.select("lang", F.col("page_id").alias("sense_id")), ["lang", "sense_id"], "left_anti").select("lang", "label", "sense_id")
+
+
+#: A bitmap of labels has at most 2 to this many bits (8 MB) for each language.
+MOST_BITS = 26
+
+
+def label_bits(labels: int) -> int:
+    """Bits of a bitmap of so many labels, as a power of two: 16 for each, one bucket at least, MOST_BITS at most."""
+    return min(MOST_BITS, max(15, (16 * labels).bit_length()))
+
+
+def label_slot(lang: Column | str, norm_label: Column | str, bits: Column | int) -> Column:
+    """The place of a normal form in its language's bitmap, from 1."""
+    size = F.shiftleft(F.lit(1).cast("long"), bits) if isinstance(bits, int) else F.call_function("shiftleft", F.lit(1).cast("long"), bits)
+    return F.pmod(F.xxhash64(lang, norm_label), size) + 1
+
+
+def label_bitmap(label: DataFrame, bits: int = 22) -> DataFrame:
+    """lang, bits, longest, bucket, bitmap: which places labels' normal forms take, in buckets of 4 KB; and the tokens of the bucket's longest label.
+
+    A normal form whose place is free is no label; one whose place is taken may be one. Built in one aggregate whose
+    result is bounded by `bits`, whatever the number of labels.
+    """
+    slot = label_slot("lang", "norm_label", bits)
+    tokens = F.size(tokenize(F.replace("label", F.lit("-"), F.lit(" "))))
+    rows = label.select("lang", F.bitmap_bucket_number(slot).alias("bucket"), F.bitmap_bit_position(slot).alias("_p"), tokens.alias("_t"))
+    made = rows.groupBy("lang", "bucket").agg(F.bitmap_construct_agg("_p").alias("bitmap"), F.max("_t").alias("longest"))
+    return made.select("lang", F.lit(bits).alias("bits"), "longest", "bucket", "bitmap")

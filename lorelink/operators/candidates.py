@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import link_probability, prior_probability, sense_probability
-from ..functions.text import article_url, longest_ngram, ngrams, normalize, sentences, tokenize
+from ..functions.text import article_url, longest_ngram, normal_ngrams, normalize, sentences
 from ..kb import KB
+from . import build
 
 
 def split_requests(requests: DataFrame) -> DataFrame:
@@ -15,29 +18,62 @@ def split_requests(requests: DataFrame) -> DataFrame:
     return requests.select(*[c for c in requests.columns if c != "text"], F.posexplode(sentences("text")).alias("sentence_no", "text"))
 
 
-def longest_label(kb: KB) -> int:
-    """Tokens of the longest label: longer n-grams can't match. A small aggregate, read when the plan is made."""
-    found = kb.label.agg(F.max(F.size(tokenize(F.replace("label", F.lit("-"), F.lit(" ")))))).first()[0]
-    return max(1, int(found or 1))
+#: Buckets of label bitmaps that are sent to all tasks, 4 KB each: 64 MB, eight languages of the largest size. Beyond, no n-gram is held against them.
+MOST_BUCKETS = 1 << 14
+
+
+@dataclass(frozen=True)
+class LabelFilter:
+    """What is known of a knowledge base's labels before n-grams move: the longest one's tokens, and bitmaps, if they are within bounds."""
+
+    longest: int
+    bits: dict[str, int]
+    buckets: DataFrame | None
+
+    def may_be_labels(self, grams: DataFrame) -> DataFrame:
+        """The rows of grams (lang, norm_label) that the bitmaps don't rule out. Bitmaps are sent to the rows, which stay where they are."""
+        if self.buckets is None:
+            return grams
+        sizes = sorted(set(self.bits.values()))
+        bits = sizes[-1] if len(sizes) < 2 else F.create_map(*[F.lit(x) for pair in self.bits.items() for x in pair])[F.col("lang")]
+        slot = build.label_slot("lang", "norm_label", bits)
+        held = grams.withColumns({"bucket": F.bitmap_bucket_number(slot), "_p": F.bitmap_bit_position(slot)}).join(F.broadcast(self.buckets), ["lang", "bucket"])
+        byte = F.ascii(F.decode(F.substring("bitmap", (F.col("_p") / 8).cast("int") + 1, F.lit(1)), "ISO-8859-1"))
+        return held.where(F.getbit(byte, (F.col("_p") % 8).cast("int")) == 1).select(*grams.columns)
 
 
-def text_ngrams(requests: DataFrame, longest: int) -> DataFrame:
-    """request_id, lang, sentence_no, ngram: the distinct n-grams of each text, made within its row, so nothing moves."""
-    return requests.select("request_id", "lang", "sentence_no", F.explode(ngrams("text", longest)).alias("ngram"))
+def label_filter(kb: KB) -> LabelFilter:
+    """Read when a plan is made: published knowledge bases keep the bitmaps, for others one aggregate makes them."""
+    made = kb.label_bitmap if kb.label_bitmap is not None else build.label_bitmap(kb.label)
+    found = made.select("lang", "bits", "longest", "bucket", "bitmap").limit(MOST_BUCKETS + 1).toArrow()
+    if found.num_rows > MOST_BUCKETS:
+        return LabelFilter(int(made.agg(F.max("longest")).first()[0]), {}, None)
+    longest = max((x for x in found.column("longest").to_pylist() if x), default=1)
+    buckets = kb.label.sparkSession.createDataFrame(found.select(["lang", "bucket", "bitmap"]))
+    return LabelFilter(longest, dict(zip(found.column("lang").to_pylist(), found.column("bits").to_pylist(), strict=True)), buckets)
+
+
+def text_ngrams(requests: DataFrame, longest: int, exact: bool = True) -> DataFrame:
+    """request_id, lang, sentence_no, ngram, norm_label: the distinct n-grams of each text and their normal forms, made within its row, so nothing moves."""
+    made = requests.select("request_id", "lang", "sentence_no", F.explode(normal_ngrams("text", longest, exact=exact)).alias("_x"))
+    return made.select("request_id", "lang", "sentence_no", F.col("_x.ngram").alias("ngram"), F.col("_x.norm").alias("norm_label"))
 
 
 def candidates(requests: DataFrame, kb: KB, dash: bool = True, accents: bool = True, lower: bool = False, max_ngram: int | None = None, head: bool = True, least_sense: float = -1.0, only_best: bool = False, exact: bool = True) -> DataFrame:
     """Links: a row for each n-gram of a request, label that it may be, and sense of that label.
 
+    N-grams that no label can equal are dropped where they are made; those that are left, few more than match, are
+    shuffled to the labels.
+
     requests: request_id, lang, text and perhaps sentence_no. An n-gram finds labels by the full normal form and keeps
     those that equal it in the form that dash, accents and lower ask for. With only_best each label has its sense in most
     documents. Titles of senses without a page are "None".
     """
     if "sentence_no" not in requests.columns:
         requests = requests.withColumn("sentence_no", F.lit(0))
-    cap = min(x for x in (longest_label(kb), longest_ngram(max_ngram, head)) if x is not None)
-    grams = text_ngrams(requests.select("request_id", "lang", "sentence_no", "text"), max(1, cap))
-    grams = grams.withColumn("norm_label", normalize("ngram", exact=exact))
+    known = label_filter(kb)
+    cap = min(x for x in (known.longest, longest_ngram(max_ngram, head)) if x is not None)
+    grams = known.may_be_labels(text_ngrams(requests.select("request_id", "lang", "sentence_no", "text"), max(1, cap), exact))
     found = grams.join(kb.label, ["lang", "norm_label"])
     if not (dash and accents and lower):
         same = normalize("ngram", dash, accents, lower, exact) == normalize("label", dash, accents, lower, exact)
@@ -78,23 +114,30 @@ def largest_matches(links: DataFrame, requests: DataFrame, dash: bool = True, ac
     """Of each text's links those of a greedy cover: long labels first, then likely ones; a label whose normal form is
     still in the text takes all its places, any other is dropped.
 
-    The labels of one text are folded in one row; ties end by label and id. Links of a kept label all stay.
+    The links of one text are folded in one row, which holds them whole, so they move once; ties end by label and id.
+    Links of a kept label and sense all stay.
     """
     if "sentence_no" not in requests.columns:
         requests = requests.withColumn("sentence_no", F.lit(0))
     key = ["request_id", "lang", "sentence_no"]
-    entry = F.struct((-F.length("label")).alias("a"), (-F.col("priorProbability")).alias("b"), F.col("label").alias("label"), F.col("id").alias("id"), normalize("label", dash, accents, lower, exact=True).alias("norm"))
-    labels = links.groupBy(*key).agg(F.array_sort(F.collect_set(entry)).alias("_labels"))
+    norm = normalize("label", dash, accents, lower, exact=True)
+    link = F.struct(*[F.col(c) for c in links.columns if c not in key])
+    entry = F.struct((-F.length("label")).alias("a"), (-F.col("priorProbability")).alias("b"), F.col("label").alias("label"), F.col("id").alias("id"), norm.alias("norm"), link.alias("link"))
+    labels = links.groupBy(*key).agg(F.array_sort(F.collect_list(entry)).alias("_labels"))
     texts = requests.select(*key, normalize("text", dash, accents, lower, exact=True).alias("_text"))
-    start = F.struct(F.col("_text").alias("left"), F.array().cast("array<struct<label:string,id:string>>").alias("kept"))
+    kind = links.select(link.alias("x")).schema["x"].dataType.simpleString()
+    none = F.lit(None).cast("string")
+    start = F.struct(F.col("_text").alias("left"), none.alias("label"), none.alias("id"), F.array().cast(f"array<{kind}>").alias("kept"))
 
     def step(acc, x):
-        there = F.contains(acc["left"], x["norm"])
-        kept = F.array_append(acc["kept"], F.struct(x["label"].alias("label"), x["id"].alias("id")))
-        return F.when(there, F.struct(F.replace(acc["left"], x["norm"], F.lit("")).alias("left"), kept.alias("kept"))).otherwise(acc)
-
-    kept = labels.join(texts, key).select(*key, F.explode(F.aggregate("_labels", start, step)["kept"]).alias("k")).select(*key, F.col("k.label").alias("label"), F.col("k.id").alias("id"))
-    return links.join(kept.distinct(), [*key, "label", "id"], "left_semi")
+        again = (acc["label"] == x["label"]) & (acc["id"] == x["id"])  # the same label and sense of another n-gram
+        kept = F.array_append(acc["kept"], x["link"])
+        taken = F.struct(F.replace(acc["left"], x["norm"], F.lit("")).alias("left"), x["label"].alias("label"), x["id"].alias("id"), kept.alias("kept"))
+        more = F.struct(acc["left"].alias("left"), acc["label"].alias("label"), acc["id"].alias("id"), kept.alias("kept"))
+        return F.when(again, more).when(F.contains(acc["left"], x["norm"]), taken).otherwise(acc)
+
+    kept = labels.join(texts, key).select(*key, F.inline(F.aggregate("_labels", start, step)["kept"]))
+    return kept.select(*links.columns)
 
 
 def with_translations(links: DataFrame, kb: KB) -> DataFrame:

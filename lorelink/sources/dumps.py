@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.markup import definition
 from ..functions.text import normalize
 from ..kb import KB, SCHEMAS
-from ..operators.build import last_by_line, page_label_proportion, title_ngram_counts
+from ..operators.build import label_bitmap, label_bits, last_by_line, page_label_proportion, title_ngram_counts
 
 #: The names of the files.
 FILES = {
@@ -165,12 +165,14 @@ def publish(kb: KB, root: str, lang: str, language_name: str = "", path: str = "
     old = current_version(spark, root, lang)
     version = 0 if old is None else old + 1
     for name, df in kb.of(lang).relations().items():
-        if name != "meta":
+        if name not in ("meta", "label_bitmap"):
             df.drop("lang").write.mode("overwrite").parquet(f"{root}/{name}/lang={lang}/version={version}")
+    label = spark.read.parquet(f"{root}/label/lang={lang}/version={version}").withColumn("lang", F.lit(lang))
+    label_bitmap(label, label_bits(label.count())).drop("lang").write.mode("overwrite").parquet(f"{root}/label_bitmap/lang={lang}/version={version}")
     spark.createDataFrame([(lang, version, language_name, path)], SCHEMAS["meta"]).coalesce(1).write.mode("append").parquet(f"{root}/meta")
     if old is not None and not keep_old:
         jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
-        for name in kb.relations():
+        for name in {*kb.relations(), "label_bitmap"}:
             gone = jvm.Path(f"{root}/{name}/lang={lang}/version={old}")
             gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
     return version

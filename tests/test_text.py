@@ -109,3 +109,25 @@ def test_emphasis():
     assert markup.emphasis("it's ''open") == "it's <i>open</i>"
     assert markup.italic_line("''all of it''.") and not markup.italic_line("''some'' of it") and markup.italic_line("''some'' of it", head=True)
     assert markup.odd_start("\n: indented\n''note''\nText") == len("\n: indented\n''note''\n")
+
+
+def test_normal_forms_of_all_characters(spark):
+    """remove_accents() is NFKD without combining marks, and the SQL function is normalize(), for every character by itself and in runs."""
+    points = [p for p in range(0x20, 0x110000) if not 0xD800 <= p <= 0xDFFF]
+    runs = ["".join(map(chr, points[i : i + 97])) for i in range(0, len(points), 97)]
+    alone = [chr(p) for p in points if p < 0x30000 and unicodedata.normalize("NFKD", chr(p)) != chr(p)][::7] + [chr(p) for p in range(0x20, 0x250)]
+    df = spark.createDataFrame([(x,) for x in runs + alone], "t string")
+    text.register(spark, ["normalize"])
+    got = df.select("t", text.remove_accents("t", exact=True).alias("plain"), text.normalize("t", exact=True).alias("norm"), F.expr("lorelink_normalize(t)").alias("sql")).collect()
+    assert len(got) == len(runs) + len(alone)
+    for r in got:
+        assert r.plain == "".join(c for c in unicodedata.normalize("NFKD", r.t) if not unicodedata.combining(c))
+        assert r.sql == r.norm
+
+
+def test_normal_ngrams_are_those_of_ngrams(spark):
+    texts = ["Déjà-vu, 한국 oﬃce; A.B.C it's -- ½ - ", "", "-", "x", "\u0301 \u0301\u0301 e\u0301", "ΟΔΟΣ ΣΑΣ. a-ΣΣ", "a\nb\tc\r\nd", "\u00a0 \ufb01 \u00a0", "1.5 2,5 U.S.A. don't"]
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    whole = df.select("t", F.explode(text.ngrams("t", 3)).alias("g")).select("t", "g", text.normalize("g", exact=True).alias("n"))
+    side = df.select("t", F.explode(text.normal_ngrams("t", 3)).alias("x")).select("t", "x.ngram", "x.norm")
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, side.collect()))
