@@ -88,10 +88,11 @@ def remove_accents(text: Column | str, exact: bool = False) -> Column:
     syllables, ligatures, fractions) decompose to several; `exact` handles these too, where a text has any.
     """
     raw = col(text)
+    whole = raw
     if exact:
         single = F.filter(F.split(raw, ""), lambda c: c != "")
-        raw = F.when(F.rlike(raw, F.lit(_EXPANDS)), F.array_join(F.transform(single, _expanded), "")).otherwise(raw)
-    return F.translate(raw, _SOURCE + _MARKS, _TARGET)
+        whole = F.when(F.rlike(raw, F.lit(_EXPANDS)), F.array_join(F.transform(single, _expanded), "")).otherwise(raw)
+    return F.when(F.octet_length(raw) == F.length(raw), raw).otherwise(F.translate(whole, _SOURCE + _MARKS, _TARGET))  # ASCII stays as it is
 
 
 def folded(text: Column | str, dash: bool = True, accents: bool = True, lower: bool = True, exact: bool = False) -> Column:
@@ -134,33 +135,41 @@ def ngrams_of(tokens: Column | str, n: int) -> Column:
 
 def ngrams(text: Column | str, longest: int, all_variants: bool = True) -> Column:
     """Distinct n-grams of 1 to `longest` tokens of the text's variants."""
-    forms = variants(text) if all_variants else F.array(col(text))
+    forms = F.array_distinct(variants(text)) if all_variants else F.array(col(text))
     grams = F.flatten(F.transform(forms, lambda v: let(tokenize(v), lambda t: F.flatten(F.array(*[ngrams_of(t, n) for n in range(1, longest + 1)])))))
     return F.array_distinct(grams)
 
 
 def normal_ngrams(text: Column | str, longest: int, exact: bool = True) -> Column:
-    """Distinct n-grams of 1 to `longest` tokens of the text's variants with their normal forms, as structs ngram, norm.
+    """Distinct n-grams of 1 to `longest` tokens of the text's variants, each behind its normal form and a line end.
 
     Tokens have no line ends, so a variant's tokens are brought to their normal form in one go, and n-grams of both are
-    made side by side; an n-gram of which nothing is left is its own normal form.
+    made side by side. An n-gram of which nothing is left has an empty form here: it is its own.
     """
 
     def runs(t: Column, u: Column, n: int) -> Column:
         count = F.size(t) - n + 1
-
-        def pair(i: Column) -> Column:
-            # one text, normal form first, as texts are made distinct by hashing
-            raw, norm = (t[i - 1], u[i - 1]) if n == 1 else (F.array_join(F.slice(t, i, n), " "), F.array_join(F.slice(u, i, n), " "))
-            return let(F.btrim(norm, F.lit(BLANKS)), lambda x: F.concat(F.when(x == "", raw).otherwise(x), F.lit("\n"), raw))
-
+        if n == 1:
+            return F.zip_with(u, t, lambda x, y: F.concat(x, F.lit("\n"), y))
+        pair = lambda i: F.concat(F.array_join(F.slice(u, i, n), " "), F.lit("\n"), F.array_join(F.slice(t, i, n), " "))
         return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), pair)).otherwise(F.array().cast("array<string>"))
 
     def of_variant(v: Column) -> Column:
-        return let(tokenize(v), lambda t: let(F.split(folded(F.array_join(t, "\n"), exact=exact), "\n"), lambda u: F.flatten(F.array(*[runs(t, u, n) for n in range(1, longest + 1)]))))
+        forms = lambda t: F.split(folded(F.array_join(t, "\n"), exact=exact), "\n")
+        return let(tokenize(v), lambda t: F.when(F.size(t) > 0, let(forms(t), lambda u: F.flatten(F.array(*[runs(t, u, n) for n in range(1, longest + 1)])))).otherwise(F.array().cast("array<string>")))
+
+    return F.array_distinct(F.flatten(F.transform(F.array_distinct(variants(text)), of_variant)))
+
+
+def ngram_of(pair: Column) -> Column:
+    """The n-gram of one of normal_ngrams()."""
+    return F.substring_index(pair, "\n", -1)
+
 
-    pairs = F.array_distinct(F.flatten(F.transform(variants(text), of_variant)))
-    return F.transform(pairs, lambda x: F.struct(F.substring_index(x, "\n", -1).alias("ngram"), F.substring_index(x, "\n", 1).alias("norm")))
+def norm_of(pair: Column) -> Column:
+    """Its normal form."""
+    form = F.btrim(F.substring_index(pair, "\n", 1), F.lit(BLANKS))
+    return F.when(F.length(form) == 0, ngram_of(pair)).otherwise(form)
 
 
 def longest_ngram(cap: int | None, head: bool = True) -> int | None:
@@ -270,7 +279,8 @@ def register(spark, names: Iterable[str] = ("normalize", "tokenize")) -> None:
     one = f"if(c BETWEEN {quoted(_SYLLABLES[0])} AND {quoted(_SYLLABLES[1])}, {syllable}, coalesce(get(array({', '.join(map(quoted, _SEVERAL.values()))}), instr({quoted(_KEYS)}, c) - 1), c))"
     blank = "replace(t, '-', ' ')"
     whole = f"if(rlike(t, {quoted(_EXPANDS)}), array_join(transform(filter(split({blank}, ''), c -> c <> ''), c -> {one}), ''), {blank})"
-    form = f"btrim(lower(translate({whole}, {quoted(_SOURCE + _MARKS)}, {quoted(_TARGET)})), {quoted(BLANKS)})"
+    plain = f"if(octet_length(t) = length(t), {blank}, translate({whole}, {quoted(_SOURCE + _MARKS)}, {quoted(_TARGET)}))"
+    form = f"btrim(lower({plain}), {quoted(BLANKS)})"
     table = {"normalize": ("STRING", f"coalesce(nullif({form}, ''), t)"), "tokenize": ("ARRAY<STRING>", f"regexp_extract_all(t, {quoted(TOKEN)}, 0)")}
     for name in names:
         if name in table:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import link_probability, prior_probability, sense_probability
-from ..functions.text import article_url, longest_ngram, normal_ngrams, normalize, sentences
+from ..functions.text import article_url, longest_ngram, ngram_of, norm_of, normal_ngrams, normalize, sentences
 from ..kb import KB
 from . import build
 
@@ -34,8 +34,10 @@ class LabelFilter:
         """The rows of grams (lang, norm_label) that the bitmaps don't rule out. Bitmaps are sent to the rows, which stay where they are."""
         if self.buckets is None:
             return grams
-        sizes = sorted(set(self.bits.values()))
-        bits = sizes[-1] if len(sizes) < 2 else F.create_map(*[F.lit(x) for pair in self.bits.items() for x in pair])[F.col("lang")]
+        sizes = set(self.bits.values())
+        if not sizes:  # no labels at all
+            return grams.where(F.lit(False))
+        bits = max(sizes) if len(sizes) == 1 else F.create_map(*[F.lit(x) for pair in self.bits.items() for x in pair])[F.col("lang")]
         slot = build.label_slot("lang", "norm_label", bits)
         held = grams.withColumns({"bucket": F.bitmap_bucket_number(slot), "_p": F.bitmap_bit_position(slot)}).join(F.broadcast(self.buckets), ["lang", "bucket"])
         byte = F.ascii(F.decode(F.substring("bitmap", (F.col("_p") / 8).cast("int") + 1, F.lit(1)), "ISO-8859-1"))
@@ -56,7 +58,7 @@ def label_filter(kb: KB) -> LabelFilter:
 def text_ngrams(requests: DataFrame, longest: int, exact: bool = True) -> DataFrame:
     """request_id, lang, sentence_no, ngram, norm_label: the distinct n-grams of each text and their normal forms, made within its row, so nothing moves."""
     made = requests.select("request_id", "lang", "sentence_no", F.explode(normal_ngrams("text", longest, exact=exact)).alias("_x"))
-    return made.select("request_id", "lang", "sentence_no", F.col("_x.ngram").alias("ngram"), F.col("_x.norm").alias("norm_label"))
+    return made.select("request_id", "lang", "sentence_no", ngram_of(F.col("_x")).alias("ngram"), norm_of(F.col("_x")).alias("norm_label"))
 
 
 def candidates(requests: DataFrame, kb: KB, dash: bool = True, accents: bool = True, lower: bool = False, max_ngram: int | None = None, head: bool = True, least_sense: float = -1.0, only_best: bool = False, exact: bool = True) -> DataFrame:

@@ -44,6 +44,39 @@ def test_candidates(asked, kb):
     assert candidates.candidates(asked.limit(0), kb).count() == 0
 
 
+def test_label_bitmap(spark, kb, asked, monkeypatch):
+    """No label is ever ruled out, nearly everything else is, whatever the sizes; beyond the bound all n-grams go to the join."""
+    lang = [("en", f"label {i}") for i in range(3000)] + [("nl", f"woord {i}") for i in range(50)]
+    label = spark.createDataFrame([(x, t, t) for x, t in lang], "lang string, label string, norm_label string")
+    base = {f: None for f in ("stats", "sense", "page")}
+    grams = spark.createDataFrame([*lang, *[(x, f"other {i}") for x in ("en", "nl", "xx") for i in range(3000)], ("nl", "label 1")], "lang string, norm_label string")
+    bitmaps = build.label_bitmap(label.where("lang = 'en'"), build.label_bits(3000)).unionAll(build.label_bitmap(label.where("lang = 'nl'"), build.label_bits(50)))
+    for known in (KB(label=label, **base), KB(label=label, **base, label_bitmap=bitmaps)):
+        found = candidates.label_filter(known)
+        kept = {tuple(r) for r in found.may_be_labels(grams).select("lang", "norm_label").collect()}
+        assert found.longest == 2 and set(lang) <= kept
+        assert len(kept) < len(lang) + 700 and not any(x == "xx" for x, _ in kept)
+    assert candidates.label_filter(KB(label=label.limit(0), **base)).may_be_labels(grams).count() == 0
+    want = rows(candidates.candidates(asked, kb, lower=True), "request_id", "label", "id")
+    plan = candidates.candidates(asked, kb, lower=True)._jdf.queryExecution().toString()
+    assert "EvalPython" not in plan, "n-grams stay in the JVM"
+    monkeypatch.setattr(candidates, "MOST_BUCKETS", 0)
+    assert candidates.label_filter(kb).buckets is None and candidates.label_filter(kb).longest == 3
+    assert rows(candidates.candidates(asked, kb, lower=True), "request_id", "label", "id") == want
+
+
+def test_largest_match_keeps_whole_links(spark):
+    """A greedy cover text by text; all links of a kept label and sense stay with all their columns."""
+    schema = "request_id string, lang string, sentence_no int, text string, label string, id string, priorProbability double, linkDocCount long"
+    found = [("r", "en", 0, "New York", "new york", "2", 0.9, 7), ("r", "en", 0, "new-york", "new york", "2", 0.9, 7), ("r", "en", 0, "york", "york", "5", 0.9, 1), ("r", "en", 0, "new", "new", "6", 0.5, 2), ("r", "en", 1, "york", "york", "5", 0.9, 1), ("q", "en", 0, "gone", "gone", "9", 1.0, 3)]
+    links = spark.createDataFrame(found, schema)
+    texts = spark.createDataFrame([("r", "en", 0, "New York and new-york, new"), ("r", "en", 1, "York!"), ("q", "en", 0, "nothing")], "request_id string, lang string, sentence_no int, text string")
+    got = candidates.largest_matches(links, texts, lower=True)
+    assert got.columns == links.columns
+    assert sorted(map(tuple, got.collect())) == sorted([found[0], found[1], found[3], found[4]])
+    assert candidates.largest_matches(links.limit(0), texts).count() == 0
+
+
 def test_caps(asked, kb):
     assert "new york city" not in {r.label for r in candidates.candidates(asked, kb, lower=True, max_ngram=3).collect()}
     assert "new york city" in {r.label for r in candidates.candidates(asked, kb, lower=True, max_ngram=3, head=False).collect()}
