@@ -37,16 +37,17 @@ def per_count(part: Column | str, whole: Column | str) -> Column:
     return col(part) / (col(whole) + EPSILON)
 
 
-def relatedness(a: Column | str, b: Column | str, articles: Column) -> Column:
-    """Of two articles by their arrays of distinct links, 0 to 1: a normalised distance of link sets against all articles.
+def relatedness_of_counts(common: Column | str, a: Column | str, b: Column | str, articles: Column) -> Column:
+    """Of two articles with a and b distinct links, of which `common` are shared, 0 to 1: a normalised distance of link sets against all articles.
 
     0 if either has no links or they share none, 1 if they are equal.
     """
+    n, la, lb = col(common), F.ln(col(a)), F.ln(col(b))
+    raw = 1 - (F.greatest(la, lb) - F.ln(n)) / (F.ln(articles) - F.least(la, lb))
+    full = (n == col(a)) & (n == col(b))
+    return F.when(n == 0, F.lit(0.0)).when(full, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(raw, F.lit(0.0)))))
 
-    def value(common: Column) -> Column:
-        la, lb = F.ln(F.size(col(a))), F.ln(F.size(col(b)))
-        raw = 1 - (F.greatest(la, lb) - F.ln(common)) / (F.ln(articles) - F.least(la, lb))
-        full = (common == F.size(col(a))) & (common == F.size(col(b)))
-        return F.when(common == 0, F.lit(0.0)).when(full, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(raw, F.lit(0.0)))))
 
-    return let(F.size(F.array_intersect(col(a), col(b))), value)
+def relatedness(a: Column | str, b: Column | str, articles: Column) -> Column:
+    """As relatedness_of_counts(), of two arrays of distinct links: for a few articles at hand; operators count instead."""
+    return let(F.size(F.array_intersect(col(a), col(b))), lambda common: relatedness_of_counts(common, F.size(col(a)), F.size(col(b)), articles))

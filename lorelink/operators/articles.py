@@ -5,39 +5,56 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import relatedness
+from ..functions.numbers import relatedness_of_counts
 from ..kb import KB
 from .build import grouped
 
 
+def wedges(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """lang, page_id, target_id, na, nb, heavy, third: for each pair the links of whichever of the two has fewer, to be looked up at the other one.
+
+    pairs: lang, page_id, target_id, edges the same, both distinct. na and nb are their numbers of links; a pair of which
+    one has none has no row. So a pair costs no more rows than its smaller set has, and no set is ever one row.
+    """
+    sizes = edges.groupBy("lang", "page_id").agg(F.count("*").alias("n"))
+    both = pairs.join(sizes.withColumnRenamed("n", "na"), ["lang", "page_id"]).join(sizes.select("lang", F.col("page_id").alias("target_id"), F.col("n").alias("nb")), ["lang", "target_id"])
+    less = F.col("na") <= F.col("nb")
+    ends = both.select("lang", "page_id", "target_id", "na", "nb", F.when(less, F.col("page_id")).otherwise(F.col("target_id")).alias("light"), F.when(less, F.col("target_id")).otherwise(F.col("page_id")).alias("heavy"))
+    return ends.join(edges.select("lang", F.col("page_id").alias("light"), F.col("target_id").alias("third")), ["lang", "light"]).drop("light")
+
+
+def relatedness_of_pairs(pairs: DataFrame, edges: DataFrame, kb: KB) -> DataFrame:
+    """lang, page_id, target_id, relatedness (0 included) of distinct pairs of articles, by their sets of links in `edges`.
+
+    Links that two articles share are counted by joins, from the side that has fewer. A hub's links meet only what its
+    neighbours of fewer links have, by (article, link), so a hub's set is dealt over all tasks.
+    """
+    distinct = edges.select("lang", "page_id", "target_id").distinct()
+    shared = wedges(pairs, distinct).join(distinct.select("lang", F.col("page_id").alias("heavy"), F.col("target_id").alias("third")), ["lang", "heavy", "third"])
+    counted = shared.groupBy("lang", "page_id", "target_id").agg(F.count("*").alias("_common"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    valued = counted.join(F.broadcast(kb.articles()), "lang").select("lang", "page_id", "target_id", relatedness_of_counts("_common", "na", "nb", F.col("articles")).alias("relatedness"))  # a row for each language
+    return pairs.join(valued, ["lang", "page_id", "target_id"], "left").select("lang", "page_id", "target_id", F.coalesce("relatedness", F.lit(0.0)).alias("relatedness"))
+
+
 def neighbours(pages: DataFrame, kb: KB, side: str, related: bool = True) -> DataFrame:
     """lang, page_id, links: array of id, title and relatedness, in the order of pos, for the given lang, page_id rows.
 
-    side: "inlink" or "outlink". Relatedness compares the two articles' link sets of that side. Sets are gathered once for
-    each page, then joined twice by id; a page that very many others link to is one row on that side of the join.
+    side: "inlink" or "outlink". Relatedness compares the two articles' link sets of that side.
     """
     edges = getattr(kb, side).join(pages.select("lang", "page_id").distinct(), ["lang", "page_id"])
     titled = edges.join(kb.page.select("lang", F.col("page_id").alias("target_id"), F.col("title").alias("target_title")), ["lang", "target_id"], "left")
-    entry = [F.col("target_id").alias("id"), F.col("target_title").alias("title")]
     if related:
-        sets = getattr(kb, side).groupBy("lang", "page_id").agg(F.collect_set("target_id").alias("set"))
-        titled = titled.join(sets.withColumnRenamed("set", "a"), ["lang", "page_id"], "left").join(sets.select("lang", F.col("page_id").alias("target_id"), F.col("set").alias("b")), ["lang", "target_id"], "left")
-        titled = titled.join(F.broadcast(kb.articles()), "lang", "left")  # a row for each language
-        none = F.array().cast("array<string>")
-        value = relatedness(F.coalesce("a", none), F.coalesce("b", none), F.col("articles"))
-        entry.append(value.alias("relatedness"))
+        valued = relatedness_of_pairs(edges.select("lang", "page_id", "target_id").distinct(), getattr(kb, side), kb)
+        titled = titled.join(valued, ["lang", "page_id", "target_id"], "left")
     else:
-        entry.append(F.lit(None).cast("double").alias("relatedness"))
-    listed = titled.select("lang", "page_id", "pos", F.struct(*entry).alias("x"))
-    return grouped(listed, ["lang", "page_id"], "x", "links")
+        titled = titled.withColumn("relatedness", F.lit(None).cast("double"))
+    entry = F.struct(F.col("target_id").alias("id"), F.col("target_title").alias("title"), "relatedness")
+    return grouped(titled.select("lang", "page_id", "pos", entry.alias("x")), ["lang", "page_id"], "x", "links")
 
 
 def relatedness_pairs(kb: KB, side: str) -> DataFrame:
     """lang, page_id, target_id, relatedness of each link."""
-    sets = getattr(kb, side).groupBy("lang", "page_id").agg(F.collect_set("target_id").alias("a"))
-    pairs = getattr(kb, side).select("lang", "page_id", "target_id").join(sets, ["lang", "page_id"])
-    pairs = pairs.join(sets.select("lang", F.col("page_id").alias("target_id"), F.col("a").alias("b")), ["lang", "target_id"], "left").join(F.broadcast(kb.articles()), "lang")
-    return pairs.select("lang", "page_id", "target_id", relatedness("a", F.coalesce("b", F.array().cast("array<string>")), F.col("articles")).alias("relatedness"))
+    return relatedness_of_pairs(getattr(kb, side).select("lang", "page_id", "target_id").distinct(), getattr(kb, side), kb)
 
 
 #: The parts that a request for features needs.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import inverse_frequency, per_count
@@ -96,16 +96,17 @@ OVERLAP = ("label_overlap", "label_unique", "entity_overlap", "entity_unique", "
 
 
 def _overlap(pairs: DataFrame, key: list[str], prefix: str, most: Column) -> DataFrame:
-    """The features of OVERLAP for each key, of rows with other_label, other_id and its probabilities."""
+    """The features of OVERLAP for each key, of rows with other_label, other_id and its probabilities; each counts `_times`."""
+    times = F.col("_times")
     out = pairs.groupBy(*key).agg(
-        F.count("*").alias("label_overlap"),
+        F.sum("_times").alias("label_overlap"),
         F.countDistinct("other_label").alias("label_unique"),
-        F.count("*").alias("entity_overlap"),
+        F.sum("_times").alias("entity_overlap"),
         F.countDistinct("other_id").alias("entity_unique"),
         (F.countDistinct("other_id") / most).alias("entity_proportion"),
-        F.sum("other_sense").alias("sense_prob_sum"),
-        F.sum("other_prior").alias("prior_prob_sum"),
-        F.sum("other_link").alias("cmns_sum"),
+        F.sum(F.col("other_sense") * times).alias("sense_prob_sum"),
+        F.sum(F.col("other_prior") * times).alias("prior_prob_sum"),
+        F.sum(F.col("other_link") * times).alias("cmns_sum"),
     )
     return out.select(*key, *[F.col(c).alias(f"{prefix}_{c}") for c in OVERLAP])
 
@@ -114,18 +115,30 @@ def _others(links: DataFrame) -> DataFrame:
     return links.select("request_id", F.col("id").alias("other_id"), F.col("label").alias("other_label"), F.col("senseProbability").alias("other_sense"), F.col("priorProbability").alias("other_prior"), F.col("linkProbability").alias("other_link"))
 
 
+def neighbour_candidates(links: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What may be neighbours within one text, in two parts (both request_id, lang, id, other_id, _degree).
+
+    Of articles with fewer neighbours than the text has articles, all neighbours, to be looked up in the text; of the
+    others, hubs, all articles of the text, to be looked up among the edges. So an article costs a text no more rows than
+    the smaller of the two numbers, however many neighbours a hub has.
+    """
+    ids = links.select("request_id", "lang", "id").repartition("request_id").distinct()
+    degree = edges.groupBy("lang", F.col("page_id").alias("id")).agg(F.count("*").alias("_degree"))
+    known = ids.withColumn("_articles", F.count("*").over(Window.partitionBy("request_id"))).join(degree, ["lang", "id"])
+    few, hubs = known.where("_degree <= _articles"), known.where("_degree > _articles")
+    listed = few.join(edges.select("lang", F.col("page_id").alias("id"), F.col("target_id").alias("other_id")), ["lang", "id"])
+    paired = hubs.join(ids.select("request_id", F.col("id").alias("other_id")), "request_id")
+    return tuple(x.select("request_id", "lang", "id", "other_id", "_degree") for x in (listed, paired))
+
+
 def linked_overlap(links: DataFrame, edges: DataFrame, prefix: str) -> DataFrame:
     """request_id, label, id and features of how its article's neighbours (edges: lang, page_id, target_id) are themselves
     linked in the text by other labels. Links without any have no row.
-
-    Links are matched by request and neighbour; edges are cut to articles that occur at all before that.
     """
-    occurring = links.select(F.col("id").alias("target_id")).distinct()
-    near = edges.join(occurring, "target_id", "left_semi").select("lang", F.col("page_id").alias("id"), F.col("target_id").alias("other_id"))
-    near = links.select("request_id", "lang", "label", "id").join(near, ["lang", "id"])
-    degree = edges.groupBy("lang", F.col("page_id").alias("id")).agg(F.count("*").alias("_degree"))
-    pairs = near.join(_others(links), ["request_id", "other_id"]).where("label <> other_label").join(degree, ["lang", "id"])
-    return _overlap(pairs, ["request_id", "label", "id"], prefix, F.max("_degree"))
+    listed, paired = neighbour_candidates(links, edges)
+    near = listed.unionByName(paired.join(edges.select("lang", F.col("page_id").alias("id"), F.col("target_id").alias("other_id")), ["lang", "id", "other_id"]))
+    pairs = near.join(_others(links), ["request_id", "other_id"]).join(links.select("request_id", "label", "id"), ["request_id", "id"]).where("label <> other_label")
+    return _overlap(pairs.withColumn("_times", F.lit(1)), ["request_id", "label", "id"], prefix, F.max("_degree"))
 
 
 def tier_one_overlap(links: DataFrame, kb: KB) -> DataFrame:
@@ -140,12 +153,16 @@ def tier_one_overlap(links: DataFrame, kb: KB) -> DataFrame:
     others = _others(links).withColumnRenamed("other_id", "id")
     pairs = links.select("request_id", "lang", "label", "id").join(others, ["request_id", "id"])
     pairs = pairs.join(own.withColumnRenamed("title", "other_label"), ["lang", "id", "other_label"]).join(used.withColumnRenamed("title", "other_label"), ["request_id", "other_label"])
-    pairs = pairs.withColumn("_times", F.explode(F.sequence(F.lit(1), F.least("_own", "_used")))).withColumn("other_id", F.col("id"))
+    pairs = pairs.withColumns({"_times": F.least("_own", "_used"), "other_id": F.col("id")})
     return _overlap(pairs, ["request_id", "label", "id"], "ME_T1", F.lit(1))
 
 
-def with_multi_features(links: DataFrame, kb: KB, which: list[str]) -> DataFrame:
-    """links with the overlap features of `which`: tier1, outlinks, inlinks; null where there is no overlap."""
+def with_multi_features(links: DataFrame, kb: KB, which: list[str], settle=None) -> DataFrame:
+    """links with the overlap features of `which`: tier1, outlinks, inlinks; null where there is no overlap.
+
+    Links meet one another several times here: `settle`, which writes a DataFrame and reads it, spares making them each time.
+    """
+    links = settle(links) if settle else links
     for name in which:
         if name == "tier1":
             more = tier_one_overlap(links, kb)

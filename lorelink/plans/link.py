@@ -118,7 +118,7 @@ def link(requests: DataFrame, kb: KB, options: Options | None = None, model: lea
         made += list(features.ARTICLE)
     if o.multi:
         before = set(links.columns)
-        links = features.with_multi_features(links, kb, o.multi)
+        links = features.with_multi_features(links, kb, o.multi, settle)
         made += [c for c in links.columns if c not in before]
     if wants and not o.skip_context_features and "context" in links.columns and "seq" in base.columns:
         links = context.with_context_features(links, base, "context", head=o.head, settle=settle, rounds=o.pagerank_rounds)

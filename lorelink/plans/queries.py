@@ -187,8 +187,9 @@ def article_features(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def best_links(spark: SparkSession, sf: str):
+    """The likeliest senses of every order's labels, as a table: what follows meets them several times."""
     kb = star(spark, sf)
-    return kb, candidates.candidates(order_requests(spark, sf), kb, only_best=True)
+    return kb, settled(candidates.candidates(order_requests(spark, sf), kb, only_best=True))
 
 
 def _rounded(df: DataFrame, prefix: str) -> DataFrame:

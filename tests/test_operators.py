@@ -148,6 +148,66 @@ def test_multi(asked, kb):
     assert f["city", "4"]["ME_OUT_label_overlap"] is None and f["city", "3"]["ME_T1_label_overlap"] == 1
 
 
+def test_hubs_among_links_of_a_text(spark):
+    """An article costs a text no more rows than it has neighbours or the text has articles, whichever is less; results are those of all pairs."""
+    import random
+
+    rng = random.Random(5)
+    hub = 100_000
+    edges = spark.range(hub).select(F.lit("en").alias("lang"), F.lit("0").alias("page_id"), F.concat(F.lit("n"), F.col("id")).alias("target_id"))
+    few = [("en", str(i), t) for i in range(1, 30) for t in rng.sample([*map(str, range(30)), "n1", "n2", "n77"], rng.randint(1, 4))]
+    edges = edges.unionAll(spark.createDataFrame(few, edges.schema))
+    made = {(f"r{r}", "en", f"l{rng.randrange(9)}", i, rng.random(), rng.random(), rng.random()) for r in range(40) for i in ["0", "n1", *rng.sample([*map(str, range(1, 30)), "n2", "n5", "n77"], 6)]}
+    links = spark.createDataFrame(sorted(made), "request_id string, lang string, label string, id string, senseProbability double, priorProbability double, linkProbability double")
+    texts = {}
+    for r in made:
+        texts.setdefault(r[0], []).append(r)
+    near = {}
+    for _, a, b in few:
+        near.setdefault(a, []).append(b)
+    of = lambda a: near.get(a, [])
+    degree = lambda a: hub if a == "0" else len(of(a))
+    listed, paired = (x.count() for x in features.neighbour_candidates(links, edges))
+    assert listed + paired == sum(min(degree(a), len({r[3] for r in t})) for t in texts.values() for a in {r[3] for r in t} if degree(a)) < 2000
+    want = {}
+    for request, t in texts.items():
+        for _, _, label, a, *_ in t:
+            others = [r for r in t if r[2] != label and ((a == "0" and r[3].startswith("n")) or r[3] in of(a))]
+            if others:
+                want[request, label, a] = (len(others), len({r[2] for r in others}), len({r[3] for r in others}) / degree(a), round(sum(r[4] for r in others), 9))
+    got = features.linked_overlap(links, edges, "X").collect()
+    assert {(r.request_id, r.label, r.id): (r.X_label_overlap, r.X_label_unique, r.X_entity_proportion, round(r.X_sense_prob_sum, 9)) for r in got} == want
+
+
+def test_relatedness_counts_from_the_lighter_side(spark):
+    """Shared links are counted without a whole set in a row; a pair of a hub costs what its other end has."""
+    import math
+    import random
+
+    rng = random.Random(6)
+    few = sorted({(str(i), rng.choice([str(rng.randrange(40)), "h"])) for i in range(40) for _ in range(4)} | {("7", "9"), ("9", "7"), ("7", "3"), ("9", "3")})
+    hub = [("h", str(i)) for i in range(40)] + [("h", f"x{i}") for i in range(20_000)]
+    edges = spark.createDataFrame([("en", i % 5, a, b) for i, (a, b) in enumerate(few + hub + few[:10])], "lang string, pos int, page_id string, target_id string")
+    kb = KB(stats=spark.createDataFrame([("en", "articleCount", 50_000)], "lang string, name string, value long"), label=None, sense=None, page=None, outlink=edges)
+    sets = {}
+    for a, b in few + hub:
+        sets.setdefault(a, set()).add(b)
+
+    def related(a, b):
+        x, y = sets.get(a, set()), sets.get(b, set())
+        n = len(x & y)
+        if not n or x == y:
+            return 1.0 if n else 0.0
+        lo, hi = sorted((len(x), len(y)))
+        return min(1.0, max(0.0, 1 - (math.log(hi) - math.log(n)) / (math.log(50_000) - math.log(lo))))
+
+    got = articles.relatedness_pairs(kb, "outlink").collect()
+    assert {(r.page_id, r.target_id): round(r.relatedness, 9) for r in got} == {(a, b): round(related(a, b), 9) for a, b in set(few + hub)}
+    assert any(0 < r.relatedness < 1 for r in got if r.page_id == "h")
+    distinct = edges.select("lang", "page_id", "target_id").distinct()
+    assert articles.wedges(distinct, distinct).count() == sum(min(len(sets.get(a, ())), len(sets.get(b, ()))) for a, b in set(few + hub)) < 2000
+
+
 def test_context_graph(spark):
     asked = spark.createDataFrame([("a", "c", 1), ("b", "c", 2), ("x", "d", 1)], "request_id string, context string, seq long")
     links = spark.createDataFrame([("a", "l", "T", 0.5), ("a", "m", "U", 0.1), ("b", "l", "T", 0.3), ("x", "l", "T", 0.9)], "request_id string, label string, title string, senseProbability double")

@@ -129,5 +129,5 @@ def test_normal_ngrams_are_those_of_ngrams(spark):
     texts = ["Déjà-vu, 한국 oﬃce; A.B.C it's -- ½ - ", "", "-", "x", "\u0301 \u0301\u0301 e\u0301", "ΟΔΟΣ ΣΑΣ. a-ΣΣ", "a\nb\tc\r\nd", "\u00a0 \ufb01 \u00a0", "1.5 2,5 U.S.A. don't"]
     df = spark.createDataFrame([(x,) for x in texts], "t string")
     whole = df.select("t", F.explode(text.ngrams("t", 3)).alias("g")).select("t", "g", text.normalize("g", exact=True).alias("n"))
-    side = df.select("t", F.explode(text.normal_ngrams("t", 3)).alias("x")).select("t", "x.ngram", "x.norm")
+    side = df.select("t", F.explode(text.normal_ngrams("t", 3)).alias("x")).select("t", text.ngram_of(F.col("x")), text.norm_of(F.col("x")))
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, side.collect()))
