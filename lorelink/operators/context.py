@@ -6,10 +6,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def numbered(requests: DataFrame) -> DataFrame:
-    """context, request_id, chunk: each request's place in its context, from 0, by seq."""
-    line = Window.partitionBy("context").orderBy("seq", "request_id")
-    return requests.select("context", "request_id", (F.row_number().over(line) - 1).alias("chunk"))
+def numbered(requests: DataFrame, rows_per_slice: int = 100_000, most: int = 1000) -> DataFrame:
+    """context, request_id, chunk: each request's place in its context, from 0, by seq (a number or a time; null first).
+
+    Requests are dealt into slices of seq, at most `most` and of about `rows_per_slice`, with the same edges for all contexts.
+    Places are counted within a context's slice and moved on by its earlier slices' counts, so a context of very many
+    requests is many tasks.
+    """
+    slices = min(most, -(-requests.count() // rows_per_slice))
+    edges = requests.agg(F.percentile_approx("seq", [k / slices for k in range(1, slices)], 10 * most)).first()[0] if slices > 1 else None
+    upper = F.array(*[F.lit(x) for x in sorted(set(edges or []))])
+    slice_ = F.size(F.filter(upper, lambda x: x < F.col("seq"))) if edges else F.lit(0)
+    dealt = requests.select("context", "request_id", "seq", slice_.alias("_slice"))
+    counts = dealt.groupBy("context", "_slice").agg(F.count("*").alias("_n"))
+    earlier = F.sum("_n").over(Window.partitionBy("context").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
+    before = counts.select(F.col("context").alias("_c"), F.col("_slice").alias("_s"), F.coalesce(earlier, F.lit(0)).alias("_before"))
+    line = Window.partitionBy("context", "_slice").orderBy("seq", "request_id")
+    placed = dealt.withColumn("_place", F.row_number().over(line) - 1)
+    joined = placed.join(before, placed["context"].eqNullSafe(before["_c"]) & (placed["_slice"] == before["_s"]))
+    return joined.select("context", "request_id", (F.col("_before") + F.col("_place")).alias("chunk"))
 
 
 def graph_edges(links: DataFrame, chunks: DataFrame, least: float = 0.2, by: str = "senseProbability") -> DataFrame:
@@ -50,36 +65,58 @@ def degrees(edges: DataFrame) -> DataFrame:
     return nodes.withColumn("degree_centrality", F.when(F.col("n") > 1, F.col("degree") / (F.col("n") - 1)).otherwise(F.lit(1.0))).drop("n")
 
 
-def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, settle=None, every: int = 5, tolerance: float | None = None) -> DataFrame:
-    """context, node, pagerank, pagerank_normalized (times the nodes), after `rounds` rounds from an even start.
+def _start(nodes: DataFrame, nstart: DataFrame | None) -> DataFrame:
+    """context, node, n, rank: the weights of nstart (context, node, rank; 1 for nodes without one) as shares of their context, even ones if there are none."""
+    if nstart is None:
+        return nodes.select("context", "node", "n", (1.0 / F.col("n")).alias("rank"))
+    given = nodes.select("context", "node", "n").join(nstart.select("context", "node", F.col("rank").alias("_given")), ["context", "node"], "left").withColumn("_given", F.coalesce("_given", F.lit(1.0)))
+    whole = given.groupBy("context").agg(F.sum("_given").alias("_whole"))
+    return given.join(whole, "context").select("context", "node", "n", F.when(F.col("_whole") > 0, F.col("_given") / F.col("_whole")).otherwise(1.0 / F.col("n")).alias("rank"))
+
+
+def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, settle=None, every: int = 5, tolerance: float | None = None, nstart: DataFrame | None = None) -> DataFrame:
+    """context, node, pagerank, pagerank_normalized (times the nodes).
 
-    With a tolerance, rounds go on until the ranks of no context change by more than it in a round, all its nodes together;
-    should `rounds` rounds not be enough for that, this raises RuntimeError.
+    With a tolerance, a context's ranks stand when a round changes them by less than that a node, all its nodes together;
+    every few rounds those that stand are set aside, and only the others go on. Should some not stand after `rounds`
+    rounds, this raises RuntimeError. Without a tolerance all contexts have exactly `rounds` rounds. Ranks start even, or as nstart
+    has them (context, node, rank), such as those of the context before its latest chunk.
 
     Each context is ranked by itself; all of them in one plan. Edges are undirected, so no node is a dead end. Every few
     rounds the ranks are cut from their lineage by `settle`, which writes a DataFrame and reads it (checkpoint by default).
+    Edges of contexts that stand are left out once these are half of what was there.
     """
     settle = settle or (lambda df: df.checkpoint())
     both = doubled(settle(edges))
     nodes = sized(both.groupBy("context", "node").agg(F.count("*").alias("degree")))
-    out = settle(both.join(nodes, ["context", "node"]))
-    ranks = settle(nodes.select("context", "node", "n", (1.0 / F.col("n")).alias("rank")))
-    before = ranks
-    for k in range(1, rounds + 1):
-        sent = out.select("context", "node", F.col("other"), "degree").join(ranks, ["context", "node"]).groupBy("context", F.col("other").alias("node")).agg(F.sum(F.col("rank") / F.col("degree")).alias("got"), F.first("n").alias("n"))
+    out = settle(both.join(nodes, ["context", "node"]).select("context", "node", "other", "degree"))
+    ranks = settle(_start(nodes, nstart))
+    left = held = ranks.count()
+    done: list[DataFrame] = []
+    k = 0
+    while k < rounds and left:
+        k += 1
+        before = ranks
+        sent = out.join(ranks, ["context", "node"]).groupBy("context", F.col("other").alias("node")).agg(F.sum(F.col("rank") / F.col("degree")).alias("got"), F.first("n").alias("n"))
         ranks = sent.select("context", "node", "n", ((1 - damping) / F.col("n") + damping * F.col("got")).alias("rank"))
-        if tolerance is not None and (k % every == 0 or k == rounds):
-            ranks = settle(ranks)
-            change = F.sum(F.abs(F.col("rank") - F.col("was")))
-            moved = ranks.join(before.select("context", "node", F.col("rank").alias("was")), ["context", "node"]).groupBy("context").agg(change.alias("c")).agg(F.max("c")).first()[0]
-            if moved is None or moved <= tolerance:
-                break
-        elif k % every == 0 and k < rounds:
+        if k % every and k < rounds:
+            continue
+        if tolerance is None:
             ranks = settle(ranks)
-        before = ranks
-    else:
-        if tolerance is not None:
-            raise RuntimeError(f"ranks didn't settle within {rounds} rounds")
+            continue
+        moved = settle(ranks.join(before.select("context", "node", F.col("rank").alias("_was")), ["context", "node"]).withColumn("_moved", F.abs(F.col("rank") - F.col("_was"))))
+        stands = moved.groupBy("context").agg((F.sum("_moved") < tolerance * F.max("n")).alias("_stands")).where("_stands").select("context")
+        ranks = settle(moved.drop("_was", "_moved").join(stands, "context", "left_anti"))
+        now = ranks.count()
+        if now < left:
+            done.append(moved.drop("_was", "_moved").join(stands, "context", "left_semi"))
+        left = now
+        if left and 2 * left <= held:
+            out, held = settle(out.join(ranks.select("context").distinct(), "context", "left_semi")), left
+    if tolerance is not None and left:
+        raise RuntimeError(f"ranks didn't settle within {rounds} rounds")
+    for part in done:
+        ranks = ranks.unionByName(part)
     return ranks.select("context", "node", F.col("rank").alias("pagerank"), (F.col("rank") * F.col("n")).alias("pagerank_normalized"))
 
 
@@ -97,13 +134,13 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return both.groupBy("context", "node").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("other", "t")))).alias("others"))
 
 
-def with_context_features(links: DataFrame, requests: DataFrame, label: str = "chunk", span: int = 100, head: bool = False, settle=None, rounds: int = 20) -> DataFrame:
+def with_context_features(links: DataFrame, requests: DataFrame, label: str = "chunk", span: int = 100, head: bool = False, settle=None, rounds: int = 1000, tolerance: float | None = 1e-6, nstart: DataFrame | None = None) -> DataFrame:
     """links with CONTEXT_<LABEL>_DEGREE, _DEGREE_CENTRALITY, _PAGERANK and _PAGERANK_NORMALIZED of their title; 0 outside the graph."""
     chunks = numbered(requests)
     edges = alive(graph_edges(links, chunks), chunks, span)
     edges = settle(edges) if settle else edges
     prefix = f"CONTEXT_{label.upper()}"
-    ranks = head_pagerank(edges, links.join(chunks, "request_id").select("context", "title")) if head else pagerank(edges, rounds, settle=settle)
+    ranks = head_pagerank(edges, links.join(chunks, "request_id").select("context", "title")) if head else pagerank(edges, rounds, settle=settle, tolerance=tolerance, nstart=nstart)
     both = degrees(edges).join(ranks, ["context", "node"], "left").withColumnRenamed("node", "title")
     named = chunks.select("request_id", F.col("context").alias("_context"))
     out = links.drop("context").join(named.withColumnRenamed("_context", "context"), "request_id").join(both, ["context", "title"], "left")

@@ -51,7 +51,8 @@ class Options:
     image: bool = False
     max_ngram: int | None = None
     head: bool = False
-    pagerank_rounds: int = 20
+    pagerank_rounds: int = 1000
+    pagerank_tolerance: float | None = 1e-6
 
     @classmethod
     def of(cls, settings: dict[str, str], presets: dict[str, dict[str, str]] | None = None, lang: str = "en", **more: Any) -> Options:
@@ -79,13 +80,14 @@ class Options:
         return o
 
 
-def link(requests: DataFrame, kb: KB, options: Options | None = None, model: learning.Model | None = None, views: DataFrame | None = None, pages: DataFrame | None = None, plugins: list[LinkOperator] | None = None, settle=None) -> DataFrame:
+def link(requests: DataFrame, kb: KB, options: Options | None = None, model: learning.Model | None = None, views: DataFrame | None = None, pages: DataFrame | None = None, plugins: list[LinkOperator] | None = None, settle=None, nstart: DataFrame | None = None) -> DataFrame:
     """Links of all requests (request_id, lang, text; context and seq for what depends on order), one row each.
 
     Order of operators: candidates, prefilter, context; anchor features, articles, page views, article features, features
     of links among themselves, graph of the context, model; counts leave, filter, article columns leave, images. Counts are
     gone before the filter unless asked for, so a filter on them needs `counts`. Languages without a knowledge base have
-    no links.
+    no links. `settle` writes a DataFrame and reads it, where links meet themselves and in the rounds of ranks; ranks of
+    contexts run until they stand (o.pagerank_tolerance), from `nstart` (context, node, rank) if it is given.
     """
     o = options or Options()
     plugins = plugins or []
@@ -121,7 +123,7 @@ def link(requests: DataFrame, kb: KB, options: Options | None = None, model: lea
         links = features.with_multi_features(links, kb, o.multi, settle)
         made += [c for c in links.columns if c not in before]
     if wants and not o.skip_context_features and "context" in links.columns and "seq" in base.columns:
-        links = context.with_context_features(links, base, "context", head=o.head, settle=settle, rounds=o.pagerank_rounds)
+        links = context.with_context_features(links, base, "context", head=o.head, settle=settle, rounds=o.pagerank_rounds, tolerance=o.pagerank_tolerance, nstart=nstart)
         made += [c for c in links.columns if c.startswith("CONTEXT_")]
     for p in plugins:
         links = getattr(p, "process", lambda x, _: x)(links, o)

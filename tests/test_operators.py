@@ -225,6 +225,85 @@ def test_context_graph(spark):
     assert context.adjacency(edges).where("context = 'd' AND node = '[0-l]'").first().others == {"T": 0, "[Chunk0]": 0}
 
 
+def power_iteration(edges, start=None, tolerance=1e-6, damping=0.85, rounds=1000):
+    """Ranks of one undirected graph, and how many rounds they took."""
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    n = len(near)
+    x = {k: (start or {}).get(k, 1.0 if start is not None else 1 / n) for k in near}
+    x = {k: v / sum(x.values()) for k, v in x.items()}
+    for r in range(1, rounds + 1):
+        y = {k: (1 - damping) / n + damping * sum(x[j] / len(near[j]) for j in near[k]) for k in near}
+        moved, x = sum(abs(y[k] - x[k]) for k in near), y
+        if moved < n * tolerance:
+            break
+    return x, r
+
+
+def test_ranks_run_until_they_stand(spark, tmp_path):
+    """Against a plain power iteration run on; contexts that stand leave the rounds; a start vector near the end spares them."""
+    import random
+
+    rng = random.Random(8)
+    graphs = {"pair": [("a", "b")], "line": [(f"{i:02}", f"{i + 1:02}") for i in range(12)], "star": [("hub", f"x{i}") for i in range(30)], "web": sorted({tuple(sorted(rng.sample([f"v{i}" for i in range(40)], 2))) for _ in range(120)})}
+    edges = spark.createDataFrame([(c, a, b, 0) for c, e in graphs.items() for a, b in e], "context string, src string, dst string, t int")
+    sizes = []
+
+    def settle(df):
+        path = str(tmp_path / f"t{len(sizes)}")
+        df.write.parquet(path)
+        out = spark.read.schema(df.schema).parquet(path)
+        sizes.append((out.count(), "rank" in out.columns))
+        return out
+
+    got = context.pagerank(edges, 1000, settle=settle, every=8, tolerance=1e-7).collect()
+    for c, e in graphs.items():
+        want, _ = power_iteration(e, tolerance=1e-13)
+        found = {r.node: r.pagerank for r in got if r.context == c}
+        assert set(found) == set(want) and all(abs(found[k] - want[k]) < 1e-5 for k in want)
+        assert all(abs(r.pagerank_normalized - r.pagerank * len(want)) < 1e-12 for r in got if r.context == c)
+    kept = [n for n, ranks in sizes if ranks]
+    assert kept[0] == sum(len({x for e in g for x in e}) for g in graphs.values()) and kept[-1] == 0 and len(set(kept)) > 3, "contexts leave one after another"
+    before = len(sizes)
+    start = spark.createDataFrame([(r.context, r.node, 7 * r.pagerank) for r in got], "context string, node string, rank double")
+    again = context.pagerank(edges, 1000, settle=settle, every=8, tolerance=1e-7, nstart=start).collect()
+    assert len(sizes) - before < before and all(abs(x.pagerank - y.pagerank) < 1e-5 for x, y in zip(sorted(again), sorted(got), strict=True))
+    odd = spark.createDataFrame([("star", "hub", 0.5), ("line", "00", 0.0)], "context string, node string, rank double")
+    odd = {(r.context, r.node): r.pagerank for r in context.pagerank(edges, rounds=2, settle=settle, tolerance=None, nstart=odd).collect()}
+    for c, given in (("star", {"hub": 0.5}), ("line", {"00": 0.0}), ("pair", {})):
+        want, _ = power_iteration(graphs[c], given, tolerance=0, rounds=2)
+        assert all(abs(odd[c, k] - want[k]) < 1e-12 for k in want)
+    with pytest.raises(RuntimeError, match="settle"):
+        context.pagerank(edges, rounds=5, settle=settle, tolerance=1e-12)
+    assert context.pagerank(edges.limit(0), settle=settle).count() == 0
+
+
+def test_link_gives_converged_ranks(spark, kb, asked, tmp_path):
+    got = link(asked, kb, Options.of({"normalize": "lower", "features": ""}))
+    chunks = context.numbered(asked.where("lang = 'en'"))
+    found = link(asked, kb, Options.of({"normalize": "lower"})).select("request_id", "label", "title", "senseProbability")
+    edges = [(r.src, r.dst) for r in context.graph_edges(found, chunks).where("context = 'c'").collect()]
+    want, _ = power_iteration(edges, tolerance=1e-12)
+    ranks = {r.title: r.features["CONTEXT_CONTEXT_PAGERANK"] for r in got.collect() if r.features["CONTEXT_CONTEXT_PAGERANK"]}
+    assert ranks and all(abs(v - want[k]) < 1e-4 for k, v in ranks.items())
+
+
+def test_numbers_of_requests_in_slices(spark):
+    """One context of nearly all requests is numbered slice by slice; ties of seq end by request_id, null seqs come first."""
+    rows_ = [("big" if i % 50 else "small", f"q{i:04}", (i * 7) % 300) for i in range(2000)] + [("big", "n1", None), ("big", "n0", None), (None, "z", 5), (None, "y", 5)]
+    asked_ = spark.createDataFrame(rows_, "context string, request_id string, seq long")
+    want = {}
+    for c in ("big", "small", None):
+        own = sorted((r for r in rows_ if r[0] == c), key=lambda r: (r[2] is not None, r[2] or 0, r[1]))
+        want |= {r[1]: (c, i) for i, r in enumerate(own)}
+    for size in (100_000, 150, 1):
+        got = context.numbered(asked_, rows_per_slice=size)
+        assert {r.request_id: (r.context, r.chunk) for r in got.collect()} == want
+    assert context.numbered(asked_.limit(0)).count() == 0
+
+
 def test_page_views(spark):
     day = lambda n: dt.date(2024, 6, 30) - dt.timedelta(days=n)
     views = spark.createDataFrame([("en", "T", day(n), 10) for n in range(400)], "lang string, title string, day date, views long")
