@@ -5,6 +5,8 @@ Dump lines are written from the tables as a dump has them and taken apart again,
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -305,25 +307,73 @@ def evaluate_by_model(spark: SparkSession, sf: str) -> DataFrame:
 # --- streams ---
 
 
+def _events(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Events as a stream and as a table."""
+    rows = read(spark, sf, "events")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{sf.rstrip('/')}/[e]vents.parquet")  # a pattern, as a stream reads no single file
+    return tuple(x.withColumn("ts", F.col("ts").cast("timestamp")) for x in (stream, rows))
+
+
 @_query("""WITH a AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 30 MINUTE, true) AS fresh FROM events),
     b AS (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM a)
-    SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM b GROUP BY user_id, k HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
+    SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM b GROUP BY user_id, k""")
 def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
-    """Sessions of each user, all but those that the watermark hasn't passed: they may go on."""
-    events = spark.readStream.schema(read(spark, sf, "events").schema).parquet(f"{sf.rstrip('/')}/[e]vents.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    x = drained(spark, streams.session_counts(events), "append", "sessions")
+    """Sessions of each user, those that the stream still holds open at the end of its input among them."""
+    stream, rows = _events(spark, sf)
+    x = streams.with_open_sessions(drained(spark, streams.session_counts(stream), "append", "sessions"), rows)
     return x.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
-@_query("SELECT CAST(o_custkey AS VARCHAR) AS context, CAST(o_orderkey AS VARCHAR) AS request_id, o_custkey || ':' || (row_number() OVER w - 1) AS context_id, row_number() OVER w - 1 AS chunk FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey, CAST(o_orderkey AS VARCHAR))")
-def stream_chunk_numbers(spark: SparkSession, sf: str) -> DataFrame:
-    """Each order's number among its customer's, kept as state; the state's store must be RocksDB."""
+@_query("""WITH e AS (SELECT event_id, CAST(user_id AS VARCHAR) AS context, CAST(CAST(floor(value) AS BIGINT) % 3 AS VARCHAR) AS id, ts, event_type FROM events)
+    SELECT a.event_id, a.context, a.id, b.event_type AS feedback FROM (SELECT * FROM e WHERE event_type IN ('view', 'error')) a
+    LEFT JOIN (SELECT * FROM e WHERE event_type IN ('purchase', 'click')) b ON a.context = b.context AND a.id = b.id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 36 HOUR""")
+def stream_late_feedback(spark: SparkSession, sf: str) -> DataFrame:
+    """Views and errors as links, what their user does about the same thing within a day and a half as feedback; links without any have null, the last ones too."""
+    def of(rows: DataFrame, *kinds: str) -> DataFrame:
+        thing = (F.floor("value") % 3).cast("string")
+        return rows.where(F.col("event_type").isin(*kinds)).select("event_id", F.col("user_id").cast("string").alias("context"), thing.alias("id"), "ts", "event_type")
+
+    stream, rows = _events(spark, sf)
+    links, given = of(stream, "view", "error").drop("event_type"), of(_events(spark, sf)[0], "purchase", "click").withColumnRenamed("event_type", "type")
+    got = drained(spark, streams.late_feedback(links, given, "36 hours"), "append", "feedback")
+    return streams.with_open_links(got, of(rows, "view", "error").drop("event_type"), ["event_id"]).select("event_id", "context", "id", "feedback")
+
+
+#: Hours of a user are the requests, kinds of event the titles, tens of their value the labels; a graph lives for five chunks.
+_STREAM_GRAPH = """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS context, strftime(ts, '%Y-%m-%d %H') AS request_id, CAST(CAST(floor(value / 10) AS BIGINT) AS VARCHAR) AS label, event_type AS title, (event_id % 5) / 5 AS p FROM events),
+    q AS (SELECT *, dense_rank() OVER (PARTITION BY context ORDER BY request_id) - 1 AS chunk FROM e),
+    l AS (SELECT DISTINCT context, chunk, label, title FROM q WHERE p >= 0.2),
+    r AS (SELECT DISTINCT context, chunk, request_id FROM q),
+    x AS (SELECT r.context, r.chunk, l.chunk AS made, l.label, l.title FROM r JOIN l ON l.context = r.context AND l.chunk BETWEEN r.chunk - 5 AND r.chunk),
+    n AS (SELECT r.context, r.chunk, count(DISTINCT title) + count(DISTINCT made || '-' || label) + CASE WHEN r.chunk > 0 THEN r.chunk - greatest(0, r.chunk - 6) + 1 WHEN count(title) > 0 THEN 1 ELSE 0 END AS nodes FROM r LEFT JOIN x USING (context, chunk) GROUP BY r.context, r.chunk),
+    d AS (SELECT context, chunk, title, count(*) AS degree, string_agg('[' || made || '-' || label || ']', ' ' ORDER BY made, label) AS others FROM x GROUP BY ALL)
+    SELECT t.context, t.request_id, t.title, coalesce(degree, 0) AS degree, round(CASE WHEN degree IS NULL THEN 0 ELSE degree / (nodes - 1) END, 9) AS degree_centrality, coalesce(others, '') AS others
+    FROM (SELECT DISTINCT context, chunk, request_id, title FROM q) t JOIN n USING (context, chunk) LEFT JOIN d USING (context, chunk, title)"""
+
+
+@_query(_STREAM_GRAPH)
+def stream_context_graph(spark: SparkSession, sf: str) -> DataFrame:
+    """Degree, centrality and neighbours of each request's titles in the graph of its context, kept as state; the state's store must be RocksDB."""
+    hour = F.date_format("ts", "yyyy-MM-dd HH")
+    label = F.floor(F.col("value") / 10).cast("string")
+    x = _events(spark, sf)[0].select(F.col("user_id").cast("string").alias("context"), hour.alias("request_id"), F.unix_timestamp(F.date_trunc("hour", "ts")).alias("seq"), label.alias("label"), F.col("event_type").alias("title"), (F.col("event_id") % 5 / 5.0).alias("senseProbability"))
+    got = _with_rocksdb(spark, lambda: drained(spark, streams.context_degrees(x, span=5), "append", "graph"))
+    return got.select("context", "request_id", "title", "degree", F.round("degree_centrality", 9).alias("degree_centrality"), F.array_join("others", " ").alias("others"))
+
+
+def _with_rocksdb(spark: SparkSession, run: Callable[[], DataFrame]) -> DataFrame:
     name, kind = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     before = spark.conf.get(name)
-    orders = spark.readStream.schema(read(spark, sf, "orders").schema).parquet(f"{sf.rstrip('/')}/[o]rders.parquet")
-    x = orders.select(F.col("o_custkey").cast("string").alias("context"), F.col("o_orderkey").cast("string").alias("request_id"), F.col("o_orderkey").alias("seq"))
     spark.conf.set(name, kind)
     try:
-        return drained(spark, streams.chunk_numbers(x), "append", "chunks")
+        return run()
     finally:
         spark.conf.set(name, before)
+
+
+@_query("SELECT CAST(o_custkey AS VARCHAR) AS context, CAST(o_orderkey AS VARCHAR) AS request_id, o_custkey || ':' || (row_number() OVER w - 1) AS context_id, row_number() OVER w - 1 AS chunk FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey, CAST(o_orderkey AS VARCHAR))")
+def stream_chunk_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    """Each order's number among its customer's, kept as state; the state's store must be RocksDB."""
+    orders = spark.readStream.schema(read(spark, sf, "orders").schema).parquet(f"{sf.rstrip('/')}/[o]rders.parquet")
+    x = orders.select(F.col("o_custkey").cast("string").alias("context"), F.col("o_orderkey").cast("string").alias("request_id"), F.col("o_orderkey").alias("seq"))
+    return _with_rocksdb(spark, lambda: drained(spark, streams.chunk_numbers(x), "append", "chunks"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import sys
 
 import pandas as pd
@@ -38,6 +39,26 @@ def late_feedback(links: DataFrame, feedback: DataFrame, delay: str = "1 hour")
     return a.join(b, within, "leftOuter").select("a.*", F.col("b.type").alias("feedback"))
 
 
+def with_open_links(given: DataFrame, links: DataFrame, keys: list[str]) -> DataFrame:
+    """What late_feedback() gave until its input ended, and the links that it still held back: no feedback for them has come.
+
+    `keys` tell links apart; links are the same rows as a table.
+    """
+    still = links.join(given.select(*keys).distinct(), keys, "left_anti")
+    return given.unionByName(still.withColumn("feedback", F.lit(None).cast("string")))
+
+
+def with_open_sessions(closed: DataFrame, events: DataFrame, time: str = "ts", key: str = "user_id", gap: str = "30 minutes") -> DataFrame:
+    """Sessions that session_counts() gave until its input ended, and those that the watermark hadn't passed, of the same rows as a table.
+
+    A key's sessions are given in the order of time, so what is open lies behind the last one.
+    """
+    last = closed.groupBy(key).agg(F.max("end").alias("_last"))
+    rest = events.join(last, key, "left").where(F.col("_last").isNull() | (F.col(time) >= F.col("_last")))
+    counted = rest.groupBy(F.session_window(time, gap).alias("w"), key).agg(F.count("*").alias("n"))
+    return closed.unionByName(counted.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), key, "n"))
+
+
 class ChunkCounter(StatefulProcessor):
     """Gives each request of a context its number, in the order of seq within a batch: "context:n"."""
 
@@ -56,44 +77,61 @@ class ChunkCounter(StatefulProcessor):
 
 
 class ContextGraph(StatefulProcessor):
-    """A context's graph: edges with the chunk that made them last; those more than `span` chunks old leave. Gives each
-    title of a batch its degree.
+    """A context's graph: labels of each chunk, their titles and chunks; a chunk's edges leave `span` chunks later. Gives
+    each title of a request its degree, its centrality among all nodes, and its neighbours.
 
-    Rows: context, request_id, seq, label, title, senseProbability. Each edge is an entry of a map, so state is read and
-    written by edge.
+    Rows: context, request_id, seq, label, title, senseProbability. A label belongs to one chunk, so each edge is made in
+    one chunk: the edges of a chunk are one entry of the state, which leaves as a whole, and each title has an entry with
+    its neighbours. A request reads and writes its own titles and those of the chunk that leaves, not the whole graph; the
+    number of nodes is counted along.
     """
 
     def __init__(self, least: float = 0.2, span: int = 100) -> None:
         self.least, self.span = least, span
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.edges = handle.getMapState("edges", "a string, b string", "t long")
-        self.chunk = handle.getValueState("chunk", "n long")
+        self.chunks = handle.getMapState("chunks", "chunk long", "pairs string")  # JSON: [label, title] of a chunk
+        self.titles = handle.getMapState("titles", "title string", "labels string")  # JSON: [chunk, label] of a title
+        self.counts = handle.getValueState("counts", "chunk long, titles long, labels long")
+
+    def _labels(self, title: str) -> list:
+        return json.loads(self.titles.getValue((title,))[0]) if self.titles.containsKey((title,)) else []
+
+    def _put(self, title: str, labels: list) -> int:
+        """Set a title's neighbours; returns by how many the titles with any change."""
+        had = self.titles.containsKey((title,))
+        if labels:
+            self.titles.updateValue((title,), (json.dumps(labels),))
+        elif had:
+            self.titles.removeKey((title,))
+        return bool(labels) - had
 
     def handleInputRows(self, key, rows, timerValues):
         batch = pd.concat(list(rows)).sort_values(["seq", "request_id"])
-        chunk = int(self.chunk.get()[0]) if self.chunk.exists() else -1
+        chunk, titles, labels = (int(x) for x in self.counts.get()) if self.counts.exists() else (-1, 0, 0)
         out = []
-        for (_, request), part in batch.groupby(["seq", "request_id"], sort=True):
+        for (_, request), part in batch.groupby(["seq", "request_id"], sort=True, dropna=False):
             chunk += 1
-            if chunk:
-                self._put(f"[Chunk{chunk}]", f"[Chunk{chunk - 1}]", chunk)
-            for label, title in part.loc[part["senseProbability"] >= self.least, ["label", "title"]].drop_duplicates().itertuples(index=False):
-                self._put(f"[{chunk}-{label}]", title, chunk)
-                self._put(f"[{chunk}-{label}]", f"[Chunk{chunk}]", chunk)
-            degree: dict[str, int] = {}
-            for edge, t in list(self.edges.iterator()):
-                if t[0] < chunk - self.span:
-                    self.edges.removeKey(edge)
-                    continue
-                for node in edge:
-                    degree[node] = degree.get(node, 0) + 1
-            out += [(key[0], request, title, degree.get(title, 0)) for title in sorted(set(part["title"]))]
-        self.chunk.update((chunk,))
-        yield pd.DataFrame(out, columns=["context", "request_id", "title", "degree"])
-
-    def _put(self, a: str, b: str, t: int) -> None:
-        self.edges.updateValue((min(a, b), max(a, b)), (t,))
+            gone = chunk - self.span - 1
+            if self.chunks.containsKey((gone,)):
+                pairs = json.loads(self.chunks.getValue((gone,))[0])
+                self.chunks.removeKey((gone,))
+                labels -= len({label for label, _ in pairs})
+                for title in {t for _, t in pairs}:
+                    titles += self._put(title, [x for x in self._labels(title) if x[0] != gone])
+            pairs = part.loc[part["senseProbability"] >= self.least, ["label", "title"]].drop_duplicates().sort_values(["label", "title"]).values.tolist()
+            if pairs:
+                self.chunks.updateValue((chunk,), (json.dumps(pairs),))
+                labels += len({label for label, _ in pairs})
+                for title in {t for _, t in pairs}:
+                    titles += self._put(title, self._labels(title) + [[chunk, label] for label, t in pairs if t == title])
+            linked = chunk - max(0, gone) + 1 if chunk else int(bool(pairs))  # chunks in a row, the first by itself only with labels
+            nodes = titles + labels + linked
+            for title in sorted(set(part["title"].dropna())):
+                near = self._labels(title)
+                out.append((key[0], request, title, len(near), len(near) / (nodes - 1) if near else 0.0, [f"[{c}-{label}]" for c, label in near]))
+        self.counts.update((chunk, titles, labels))
+        yield pd.DataFrame(out, columns=["context", "request_id", "title", "degree", "degree_centrality", "others"])
 
     def close(self) -> None:
         pass
@@ -105,8 +143,12 @@ def chunk_numbers(requests: DataFrame) -> DataFrame:
 
 
 def context_degrees(links: DataFrame, least: float = 0.2, span: int = 100) -> DataFrame:
-    """context, request_id, title, degree in the context's graph of a stream of links."""
-    return links.groupBy("context").transformWithStateInPandas(ContextGraph(least, span), "context string, request_id string, title string, degree long", "Append", "None")
+    """context, request_id, title, degree, degree_centrality, others in the context's graph of a stream of links.
+
+    The graph is as it stands with the request's own links and without those more than `span` chunks old; titles that no
+    link of `least` or more leads to have degree 0.
+    """
+    return links.groupBy("context").transformWithStateInPandas(ContextGraph(least, span), "context string, request_id string, title string, degree long, degree_centrality double, others array<string>", "Append", "None")
 
 
 def keep_history(links: DataFrame, path: str, checkpoint: str):

@@ -38,6 +38,34 @@ def test_chunk_numbers(spark, source, tmp_path):
 def test_context_degrees(spark, source, tmp_path):
     got = drained(spark, streams.context_degrees(source), tmp_path)
     assert sorted((r.context, r.request_id, r.title, r.degree) for r in got.collect()) == [("c", "a", "T", 1), ("c", "a", "U", 0), ("c", "b", "T", 2), ("c", "b", "V", 1), ("d", "x", "T", 1)]
+    near = {(r.request_id, r.title): (r.degree_centrality, list(r.others)) for r in got.collect()}
+    assert near["b", "T"] == (2 / 6, ["[0-l]", "[1-l]"]) and near["a", "U"] == (0.0, []) and near["x", "T"] == (0.5, ["[0-l]"])
+
+
+def test_context_graph_equals_the_batch_operator(spark, tmp_path):
+    """Request by request, over several batches and with edges that leave, the state is the graph that the batch operator makes anew."""
+    import random
+    import time
+
+    from lorelink.operators import context
+
+    rng = random.Random(4)
+    rows = [(c, f"{c}{i:02}", i, rng.choice("lmn"), rng.choice("TUVW"), rng.choice((0.1, 0.5))) for c in "cd" for i in range(14) for _ in range(rng.randint(1, 4))]
+    (tmp_path / "in").mkdir()
+    for k, (lo, hi) in enumerate(((0, 5), (5, 6), (6, 14))):
+        pd.DataFrame([r for r in rows if lo <= r[2] < hi], columns=SCHEMA.replace(" string", "").replace(" long", "").replace(" double", "").split(", ")).to_parquet(tmp_path / "in" / f"{k}.parquet")
+        time.sleep(1.1)
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = {(r.context, r.request_id, r.title): (r.degree, round(r.degree_centrality, 9), set(r.others)) for r in drained(spark, streams.context_degrees(stream, span=3), tmp_path).collect()}
+    # every request as the last one of a context of its own
+    upto = [(f"{c}{n:02}", f"{c}{n:02}/{r}", i, label, title, p) for c, r, i, label, title, p in rows for n in range(i, 14)]
+    links = spark.createDataFrame(upto, SCHEMA)
+    chunks = context.numbered(links.select("context", "request_id", "seq").distinct())
+    edges = context.alive(context.graph_edges(links, chunks), chunks, 3)
+    degree = {(r.context, r.node): (r.degree, round(r.degree_centrality, 9)) for r in context.degrees(edges).collect()}
+    near = {(r.context, r.node): set(r.others) for r in context.adjacency(edges).collect()}
+    want = {(c, r, t): (*degree.get((r, t), (0, 0.0)), near.get((r, t), set())) for c, r, _, _, t, _ in rows}
+    assert got == want
 
 
 def timed(spark, tmp_path, name, rows, columns):
@@ -68,3 +96,19 @@ def test_late_feedback(spark, tmp_path):
 def test_history(spark, source, tmp_path):
     streams.keep_history(source, str(tmp_path / "history"), str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
     assert spark.read.parquet(str(tmp_path / "history")).count() == 5
+
+
+def test_what_streams_hold_back_at_the_end(spark, tmp_path):
+    links = timed(spark, tmp_path, "l", [("2024-01-01 00:00", "c", "1"), ("2024-01-01 00:00", "c", "2"), ("2024-01-03 00:00", "c", "9")], ["ts", "context", "id"])
+    given = timed(spark, tmp_path, "f", [("2024-01-01 00:30", "c", "1", "good"), ("2024-01-01 00:40", "c", "1", "bad"), ("2024-01-03 00:00", "c", "8", "bad")], ["ts", "context", "id", "type"])
+    got = drained(spark, streams.late_feedback(links, given), tmp_path)
+    assert "9" not in {r.id for r in got.collect()}
+    whole = streams.with_open_links(got, spark.read.parquet(str(tmp_path / "l")), ["context", "id", "ts"])
+    assert sorted((r.id, r.feedback or "") for r in whole.collect()) == [("1", "bad"), ("1", "good"), ("2", ""), ("9", "")]
+    rows = [("2024-01-01 00:05", 1), ("2024-01-01 00:20", 1), ("2024-01-02 08:50", 1), ("2024-01-02 08:55", 2), ("2024-01-02 09:00", 2)]
+    events = timed(spark, tmp_path, "e", rows, ["ts", "user_id"])
+    (tmp_path / "second").mkdir()
+    closed = drained(spark, streams.session_counts(events), tmp_path / "second")
+    assert closed.count() == 1
+    whole = streams.with_open_sessions(closed, spark.read.parquet(str(tmp_path / "e")))
+    assert sorted((r.user_id, str(r.start)[8:16], r.n) for r in whole.collect()) == [(1, "01 00:05", 2), (1, "02 08:50", 1), (2, "02 08:55", 2)]
