@@ -131,3 +131,12 @@ def test_normal_ngrams_are_those_of_ngrams(spark):
     whole = df.select("t", F.explode(text.ngrams("t", 3)).alias("g")).select("t", "g", text.normalize("g", exact=True).alias("n"))
     side = df.select("t", F.explode(text.normal_ngrams("t", 3)).alias("x")).select("t", text.ngram_of(F.col("x")), text.norm_of(F.col("x")))
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, side.collect()))
+
+
+def test_first_paragraphs():
+    parts = ["a" * 100, "b" * 100, "c" * 100, "d"]
+    whole = "\n\n".join(parts)
+    assert markup.first_paragraphs(whole) == " ".join(parts[:2]) == markup.first_paragraphs(whole, head=True)
+    assert markup.first_paragraphs("\n\n".join(parts[:2])) == " ".join(parts[:2])
+    for text_, want in (("\n\n".join(parts[:2]), ""), ("\n\n".join(parts[:3]), parts[0]), ("x\n\ny\n\n\n\nz", "x y"), ("", ""), ("x\n\n", "")):
+        assert markup.first_paragraphs(text_, head=True) == want
