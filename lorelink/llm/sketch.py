@@ -78,8 +78,9 @@ def resemblance(a: Column, b: Column, fraction_bits: int = FRACTION_BITS) -> Col
 
 
 def containment(a: Column, b: Column, fraction_bits: int = FRACTION_BITS) -> Column:
-    """The share of a's hashes that b has; 1 if a has none to compare (no words, or few shingles, none below the threshold, and b is longer)."""
-    return _comparable(a, b, fraction_bits, lambda x, y: F.when(F.size(x) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(x, y)) / F.size(x)))
+    """The share of a's hashes that b has; 1 if a has no words, null if a has words but no hash below the threshold and b is longer: then nothing is known."""
+    nothing = F.when(F.size(a["hashes"]) == 0, F.lit(1.0))
+    return _comparable(a, b, fraction_bits, lambda x, y: F.when(F.size(x) == 0, nothing).otherwise(F.size(F.array_intersect(x, y)) / F.size(x)))
 
 
 def as_text(hashes: Column) -> Column:
@@ -136,7 +137,7 @@ def edited_fingerprints(docs: DataFrame, width: int = 5) -> DataFrame:
     docs: doc_id, text (null: empty). The edited text has its last third of code points (rounded down) replaced by as
     many of the start of the next document by descending doc_id, or by all of it if it is shorter. Returns doc_id,
     n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, contained_edited, contained_next (the
-    share of the text's hashes that the other has), one row for each row of docs.
+    share of the text's hashes that the other has; null where nothing can be compared), one row for each row of docs.
     """
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     both = with_next(base, ["text"], made={"sketch": sketch(F.col("text"), width)})

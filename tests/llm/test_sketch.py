@@ -54,13 +54,27 @@ def test_containment_of_short_texts(spark):
     df = spark.createDataFrame(rows, "k int, part double, text string").withColumn("long", F.lit(" ".join(long_)))
     a, b = sketch.sketch(F.col("text")), sketch.sketch(F.col("long"))
     got = df.select("k", "part", sketch.containment(a, b).alias("c"), sketch.resemblance(a, b).alias("r")).collect()
-    assert all(r.c == 1.0 for r in got if r.part == 1.0)
+    assert all(r.c in (1.0, None) for r in got if r.part == 1.0)
+    assert all(r.c == 1.0 for r in got if r.part == 1.0 and r.k >= 60)
+    known = [r.c for r in got if r.k == 6]
+    assert sum(c is None for c in known) < 0.75 * len(known), "two shingles: none below the threshold in 9 of 16"
     for k in (60, 400):
         some = [r.c for r in got if r.k == k and r.part == 0.5]
         assert abs(sum(some) / len(some) - 0.5) < 0.05
     assert all(abs(r.r - r.k * r.part / 2000) < 0.05 for r in got)
 
 
+def test_unrelated_short_texts_are_never_contained(spark):
+    rng = random.Random(3)
+    long_ = " ".join(f"w{rng.randrange(10**6)}" for _ in range(2000))
+    rows = [(k, " ".join(f"v{rng.randrange(10**6)}" for _ in range(k + 4))) for k in (1, 3, 8, 33) for _ in range(150)] + [(0, None), (0, "")]
+    df = spark.createDataFrame(rows, "k int, text string").withColumn("long", F.lit(long_))
+    a, b = sketch.sketch(F.col("text")), sketch.sketch(F.col("long"))
+    got = df.select("k", sketch.containment(a, b).alias("c"), sketch.containment(b, a).alias("d"), sketch.resemblance(a, b).alias("r")).collect()
+    assert {r.c for r in got if r.k} == {0.0, None} and {r.c for r in got if r.k > 30} == {0.0} and {r.c for r in got if not r.k} == {1.0}
+    assert all(r.d == r.r == 0.0 for r in got)
+
+
 def test_against_brute_force(spark):
     rows = rows_of()
     df = spark.createDataFrame([(*r, "clash", "clash") for r in rows], SCHEMA)
