@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import link_probability, prior_probability, sense_probability
-from ..functions.text import article_url, longest_ngram, ngram_of, norm_of, normal_ngrams, normalize, sentences
+from ..functions.text import article_url, longest_ngram, ngram_of, norm_of, normal_ngrams, normalize
 from ..kb import KB
 from . import build
+from .sentences import SentenceModel, split_sentences
 
 
-def split_requests(requests: DataFrame) -> DataFrame:
-    """A row for each sentence of a request, with sentence_no."""
-    return requests.select(*[c for c in requests.columns if c != "text"], F.posexplode(sentences("text")).alias("sentence_no", "text"))
+def split_requests(requests: DataFrame, model: SentenceModel | None = None) -> DataFrame:
+    """A row for each sentence of a request, with sentence_no; sentences as a model has learnt them, by fixed short forms without one."""
+    return requests.select(*[c for c in requests.columns if c != "text"], F.posexplode(split_sentences("text", model)).alias("sentence_no", "text"))
 
 
 #: Buckets of label bitmaps that are sent to all tasks, 4 KB each: 64 MB, eight languages of the largest size. Beyond, no n-gram is held against them.

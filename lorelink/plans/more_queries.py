@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 from ..functions import markup
 from ..kb import KB, SCHEMAS
 from ..operators import articles, candidates, context, features, images, learning, pageviews, requests
+from ..operators import sentences as sentence_models
 from ..sources import dumps
 from ..sources.tables import LANG, order_requests, read, star
 from ..streaming import links as streams
 from . import oracle
-from .queries import Query, best_links, context_graph, daily_views, drained, history
+from .queries import Query, best_links, context_graph, daily_views, drained, history, settled
 
 ORACLE_SQL: dict[str, str] = {}
 QUERIES: dict[str, Query] = {}
@@ -304,6 +305,29 @@ def evaluate_by_model(spark: SparkSession, sf: str) -> DataFrame:
     return x.select("scope", F.coalesce("context", F.lit("*")).alias("context"), "metric", F.round("value", 9).alias("value"))
 
 
+# --- sentences ---
+
+_TYPES = r"""WITH d AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents), t AS (SELECT regexp_replace(unnest(w), '^["''(\[]+|["'')\],;:]+$', '', 'g') AS x FROM d),
+    k AS (SELECT regexp_replace(lower(x), '\.$', '') AS word, ends_with(x, '.') AS period FROM t WHERE regexp_matches(x, '^\p{L}[\p{L}.''-]*$')),
+    c AS (SELECT word, count(*) FILTER (period) AS y, count(*) FILTER (NOT period) AS n FROM k WHERE word <> '' GROUP BY word), p AS (SELECT sum(y) / sum(y + n) AS p FROM c),
+    s AS (SELECT word, y, n, -2 * (y * ln(p) + n * ln(1 - p) - y * ln(0.99) - n * ln(0.01::DOUBLE)) * exp(-length(replace(word, '.', ''))) * (length(word) - length(replace(word, '.', '')) + 1) * pow(length(replace(word, '.', '')), -n) AS score FROM c, p WHERE y > 0)"""
+
+
+@_query(_TYPES + " SELECT word, CAST(y AS BIGINT) AS with_period, CAST(n AS BIGINT) AS without, round(score, 6) + 0.0 AS score, score >= 0.3 AS abbreviation FROM s")
+def sentence_abbreviations(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents' word types that stand with a full stop, and how likely they are abbreviations."""
+    x = sentence_models.abbreviation_scores(sentence_models.word_pairs(read(spark, sf, "documents")))
+    return x.select("word", "with_period", "without", (F.round("score", 6) + 0.0).alias("score"), (F.col("score") >= sentence_models.ABBREVIATION).alias("abbreviation"))
+
+
+@_query()
+def sentences_docs(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's sentences, by the model that all documents make. Tests hold it against a plain version."""
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    model = sentence_models.SentenceModel.of(settled(sentence_models.learn_sentences(docs, settle=settled)))
+    return docs.select("doc_id", F.size(model.sentences("text")).cast("long").alias("sentences"), F.md5(F.array_join(model.sentences("text"), "\n")).alias("digest"))
+
+
 # --- streams ---
 
 
