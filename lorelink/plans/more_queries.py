@@ -18,7 +18,7 @@ from ..sources import dumps
 from ..sources.tables import LANG, order_requests, read, star
 from ..streaming import links as streams
 from . import oracle
-from .queries import Query, best_links, context_graph, daily_views, drained, history, settled
+from .queries import Query, best_links, context_graph, daily_views, drained, history, settled, shared_folder
 
 ORACLE_SQL: dict[str, str] = {}
 QUERIES: dict[str, Query] = {}
@@ -305,6 +305,41 @@ def evaluate_by_model(spark: SparkSession, sf: str) -> DataFrame:
     return x.select("scope", F.coalesce("context", F.lit("*")).alias("context"), "metric", F.round("value", 9).alias("value"))
 
 
+# --- dumps as files ---
+
+
+@_query("""WITH p AS (SELECT count(*) AS n FROM part), o AS (SELECT count(*) AS n FROM orders), x AS (
+        SELECT 'stats' AS relation, count(DISTINCT c_mktsegment) AS lines, count(DISTINCT c_mktsegment) AS rows FROM customer UNION ALL SELECT 'label', (SELECT count(DISTINCT l_orderkey) FROM lineitem), (SELECT count(DISTINCT l_orderkey) FROM lineitem)
+        UNION ALL SELECT unnest(['page', 'page_label', 'category', 'translation']), n, n FROM p UNION ALL SELECT unnest(['inlink', 'outlink']), n, n FROM o)
+    SELECT relation, lines + 2 AS lines, 2::BIGINT AS bad, rows FROM x""")
+def dump_files(spark: SparkSession, sf: str) -> DataFrame:
+    """A whole dump of the tables, written to the shared folder as compressed files in parts and loaded from there: lines, bad ones (two in each file) and rows of each relation."""
+    part, orders = read(spark, sf, "part"), read(spark, sf, "orders")
+    of = lambda df, *x: df.select(_line(*x).alias("value"))
+    key, name = F.col("p_partkey"), F.col("p_name")
+    link = _line(F.col("o_orderkey"), ",v{s{", F.col("o_custkey"), ",v{1}}}")
+    made = {
+        "stats": of(read(spark, sf, "customer").select("c_mktsegment").distinct(), "'", F.col("c_mktsegment"), ",5"),
+        "label": _label_lines(spark, sf).select("value"),
+        "page": of(part, key, ",'", name, ",0,5"),
+        "page_label": of(part, key, ",v{s{'", name, ",3,2,T,F,T}}"),
+        "category": of(part, key, ",v{", F.col("p_size"), "}"),
+        "translation": of(part, key, ",m{'de,'", name, "}"),
+        "inlink": orders.select(link.alias("value")),
+        "outlink": orders.select(link.alias("value")),
+    }
+    folder = shared_folder(spark, "dump")
+    wrong = spark.range(2).select(F.concat(F.lit("no such line "), F.col("id").cast("string")).alias("value"))
+    for relation, file in dumps.FILES.items():
+        made[relation].unionAll(wrong).unionAll(wrong.select(F.lit(" "))).repartition(3).write.option("compression", "bzip2").text(f"{folder}/{file}")
+    kb = dumps.load_dumps(spark, folder, LANG).relations()
+    rows = None
+    for relation in dumps.FILES:
+        one = kb[relation].agg(F.count("*").alias("rows")).select(F.lit(relation).alias("relation"), "rows")
+        rows = one if rows is None else rows.unionAll(one)
+    return dumps.line_report(spark, folder).join(rows, "relation").select("relation", "lines", "bad", "rows")
+
+
 # --- sentences ---
 
 _TYPES = r"""WITH d AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents), t AS (SELECT regexp_replace(unnest(w), '^["''(\[]+|["'')\],;:]+$', '', 'g') AS x FROM d),

@@ -6,8 +6,6 @@ are split by Spark, and nested records are exploded in place, so a scan shuffles
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +25,10 @@ FILES = {
     "inlink": "pageLinkIn.csv",
     "outlink": "pageLinkOut.csv",
 }
-ARTICLES = "-pages-articles.xml"
+#: One file, numbered parts, or a dump of many streams, the first kind that there is.
+ARTICLES = ("*-pages-articles.xml{,.gz,.bz2}", "*-pages-articles[0-9]*.xml*", "*-pages-articles-multistream*.xml*")
+#: A file by itself, compressed, or in numbered parts.
+PARTS = "{,.gz,.bz2,-*}"
 
 #: What a line of each file looks like.
 STATS = r"^'?([^,]*),(-?\d+)\s*$"
@@ -41,20 +42,35 @@ PAGE_LABELS = r"^(\d+),v\{(.*)\}\s*$"
 PAGE_LABEL = r"s\{'(.*?),(\d+),(\d+),([TF]),([TF]),([TF])\}"
 PARENTS = r"^(\d+),v\{([0-9,]*)\}\s*$"
 TRANSLATIONS = r"^(\d+),m\{'?(.*)\}\s*$"
+#: What a line of each relation's file looks like.
+PATTERNS = {"translation": TRANSLATIONS, "stats": STATS, "label": LABEL, "page": PAGE, "page_label": PAGE_LABELS, "category": PARENTS, "inlink": LINKS, "outlink": LINKS}
+
+
+def _listed(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match, in order, on whatever file system they are."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(f.getPath().toString() for f in found or [])
 
 
-def check_path(path: str, files: dict[str, str] | None = None) -> dict[str, str]:
-    """Places of the files below path, the articles' among them if it is there; FileNotFoundError names what is missing."""
-    found = {k: os.path.join(path, v) for k, v in (files or FILES).items()}
-    if missing := [v for v in found.values() if not os.path.exists(v)]:
+def check_path(spark: SparkSession, path: str, files: dict[str, str] | None = None) -> dict[str, list[str]]:
+    """Places of the files below path, those of the articles among them if there are any; FileNotFoundError names what is missing.
+
+    path: of any file system that Spark reads. A file may be compressed, and in parts: label.csv, label.csv.bz2, label.csv-1,
+    label.csv-2.gz or a folder label.csv; of articles, every part of the dump, compressed ones of many streams too.
+    """
+    base = path.rstrip("/")
+    found = {k: _listed(spark, f"{base}/{v}{PARTS}") for k, v in (files or FILES).items()}
+    if missing := [f"{base}/{(files or FILES)[k]}" for k, v in found.items() if not v]:
         raise FileNotFoundError(f"missing: {', '.join(missing)}")
-    if xml := sorted(f for f in os.listdir(path) if f.endswith(ARTICLES)):
-        found["articles"] = os.path.join(path, xml[0])
+    if xml := next((x for kind in ARTICLES if (x := _listed(spark, f"{base}/{kind}"))), None):
+        found["articles"] = xml
     return found
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id())  # rises along a file
+def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """value, line_no: lines and what rises along each of the files, which are in the order of their names."""
+    return spark.read.text(path).withColumn("line_no", F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("place")))
 
 
 def bad_lines(raw: DataFrame, pattern: str) -> DataFrame:
@@ -62,6 +78,22 @@ def bad_lines(raw: DataFrame, pattern: str) -> DataFrame:
     return raw.where(~F.col("value").rlike(pattern) & (F.trim("value") != ""))
 
 
+def line_report(spark: SparkSession, path: str, head: bool = False) -> DataFrame:
+    """relation, lines, bad: of each file of a dump how many lines there are and how many no relation has taken, in one pass over each.
+
+    Empty lines are neither; head: pages' lines as the service reads them.
+    """
+    place, parts = check_path(spark, path), []
+    for name, pattern in PATTERNS.items():
+        fits = F.col("value").rlike(PAGE_HEAD if head and name == "page" else pattern)
+        counted = lines(spark, place[name]).where(F.trim("value") != "").agg(F.count("*").alias("lines"), F.count(F.when(~fits, 1)).alias("bad"))
+        parts.append(counted.select(F.lit(name).alias("relation"), "lines", "bad"))
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionAll(part)
+    return whole
+
+
 def _good(raw: DataFrame, pattern: str, lang: str) -> DataFrame:
     return raw.where(F.col("value").rlike(pattern)).withColumn("lang", F.lit(lang))
 
@@ -120,7 +152,7 @@ def translations(raw: DataFrame, lang: str, keep: list[str] | None = None) -> Da
 ARTICLE_SCHEMA = "id long, title string, revision struct<text:struct<_VALUE:string>>"
 
 
-def articles(spark: SparkSession, path: str) -> DataFrame:
+def articles(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """page_id, title, text of each page element that has text."""
     rows = spark.read.format("xml").option("rowTag", "page").schema(ARTICLE_SCHEMA).load(path)
     return rows.where("revision.text._VALUE IS NOT NULL").select(F.col("id").alias("page_id"), "title", F.col("revision.text._VALUE").alias("text"))
@@ -132,7 +164,7 @@ def definitions(texts: DataFrame, lang: str, head: bool = False) -> DataFrame:
 
 def load_dumps(spark: SparkSession, path: str, lang: str, language_name: str = "", translation_langs: list[str] | None = None, head: bool = False) -> KB:
     """The knowledge base of a folder of dump files, as plans that read them."""
-    place = check_path(path)
+    place = check_path(spark, path)
     raw = {k: lines(spark, v) for k, v in place.items() if k != "articles"}
     page = pages(raw["page"], lang, head)
     meta = spark.createDataFrame([(lang, 0, language_name, path)], SCHEMAS["meta"])

@@ -49,6 +49,37 @@ def test_bad_lines(spark, folder):
         dumps.load_dumps(spark, str(folder), "xx")
 
 
+def test_dumps_in_parts(spark, folder, tmp_path):
+    """Compressed parts, folders, numbered articles, by a path that only Spark's file systems know; bad lines are counted by relation."""
+    import bz2
+    import gzip
+
+    whole = dumps.load_dumps(spark, f"file://{folder}/", "xx")
+    want = {k: sorted(map(str, v.collect())) for k, v in whole.relations().items() if k != "meta"}
+    first, rest = LINES["label.csv"].split("\n", 1)
+    (folder / "label.csv").unlink()
+    (folder / "label.csv-1.gz").write_bytes(gzip.compress(f"{first}\n".encode()))
+    (folder / "label.csv-2.bz2").write_bytes(bz2.compress(rest.encode()))
+    (folder / "label.csv.bak").write_text("'Other,0,0,0,0,v{s{1,0,0,F,T}}\n")
+    (folder / "page.csv").rename(folder / "page.old")
+    (folder / "page.csv").mkdir()
+    for i, line in enumerate(LINES["page.csv"].splitlines()):
+        (folder / "page.csv" / f"part-{i}").write_text(f"{line}\n")
+    text = LINES["xx-pages-articles.xml"]
+    (folder / "xx-pages-articles.xml").unlink()
+    begin, end = "<mediawiki>", "</mediawiki>"
+    for i in (1, 2, 3):
+        page = f"<page><title>T{i}</title><id>{i}</id><revision><text>Text {i}.</text></revision></page>"
+        streams = [bz2.compress(x.encode()) for x in (begin, page, end)] if i == 3 else [bz2.compress(f"{begin}{page}{end}".encode())]
+        (folder / f"xx-pages-articles{i}.xml-p{i}p{i}.bz2").write_bytes(b"".join(streams))
+    kb = dumps.load_dumps(spark, f"file://{folder}", "xx")
+    assert rows(kb.definition, "page_id", "definition") == [(str(i), f"Text {i}.") for i in (1, 2, 3)] and text
+    got = {k: sorted(map(str, v.collect())) for k, v in kb.relations().items() if k not in ("meta", "definition")}
+    assert got == {k: v for k, v in want.items() if k != "definition"}
+    report = {r.relation: (r.lines, r.bad) for r in dumps.line_report(spark, f"file://{folder}").collect()}
+    assert report["label"] == (3, 1) and report["stats"] == (2, 1) and report["page"] == (3, 0) and set(report) == set(dumps.FILES)
+
+
 def test_versions(spark, folder, tmp_path):
     root = str(tmp_path / "kb")
     with pytest.raises(LookupError):
