@@ -50,6 +50,23 @@ def in_context(history: DataFrame, context: str) -> DataFrame:
 # --- feedback ---
 
 
+def unplaced_feedback(history: DataFrame, feedback: DataFrame) -> DataFrame:
+    """The rows of feedback (request_id, context and more) that can't be meant for anything in the history, with `reason`.
+
+    A request that is named must be one of the context that is named, or of the history where none is; a context by itself
+    must have requests. Rows that name neither are for nothing. The history is brought to one row a request before it is joined.
+    """
+    known = history.select(F.col("context").alias("_c"), F.col("request_id").alias("_r")).distinct()
+    seen = {"_both": known, "_request": known.select("_r").distinct(), "_context": known.select("_c").distinct()}
+    on = {"_both": (F.col("context") == F.col("_c")) & (F.col("request_id") == F.col("_r")), "_request": F.col("request_id") == F.col("_r"), "_context": F.col("context") == F.col("_c")}
+    out = feedback
+    for name, rows in seen.items():
+        out = out.join(rows.where(F.col(rows.columns[0]).isNotNull()).withColumn(name, F.lit(True)), on[name], "left").drop("_c", "_r")
+    named, placed = F.col("request_id").isNotNull(), F.col("context").isNotNull()
+    reason = F.when(named & placed & F.col("_both").isNull(), "request isn't in context").when(named & ~placed & F.col("_request").isNull(), "no such request").when(~named & F.col("_context").isNull(), "no requests in context")
+    return out.withColumn("reason", reason).where("reason IS NOT NULL").drop(*seen)
+
+
 def with_feedback(history: DataFrame, feedback: DataFrame, types: list[str], default: str | None = None) -> DataFrame:
     """history with `feedback`: the first of `types` that the link's id has in its context (and request, where one is named), else default.
 

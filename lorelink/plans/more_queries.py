@@ -274,6 +274,17 @@ def feedback_by_request(spark: SparkSession, sf: str) -> DataFrame:
     return learning.with_feedback(h.drop("feedback"), wide.unionAll(named), ["positive", "negative"], "unknown").select("context", "id", "feedback")
 
 
+@_query(f"""WITH {oracle._HISTORY}, f AS (SELECT id, CASE WHEN num % 3 > 0 THEN request_id || CASE WHEN num % 7 = 0 THEN '?' ELSE '' END END AS r, CASE WHEN num % 4 > 0 THEN context || CASE WHEN num % 11 = 0 THEN '!' ELSE '' END END AS c FROM hist)
+    SELECT id, r AS request_id, c AS context, CASE WHEN r IS NULL THEN 'no requests in context' WHEN c IS NULL THEN 'no such request' ELSE 'request isn''t in context' END AS reason FROM f
+    WHERE NOT EXISTS (SELECT 1 FROM hist h WHERE (f.r IS NOT NULL OR f.c IS NOT NULL) AND (f.r IS NULL OR h.request_id = f.r) AND (f.c IS NULL OR h.context = f.c))""")
+def feedback_unplaced(spark: SparkSession, sf: str) -> DataFrame:
+    """Feedback that names requests and contexts, some of which aren't there, and why it can't be placed."""
+    h, num = history(spark, sf), F.col("id").cast("long")
+    request = F.when(num % 3 > 0, F.concat("request_id", F.when(num % 7 == 0, "?").otherwise("")))
+    place = F.when(num % 4 > 0, F.concat("context", F.when(num % 11 == 0, "!").otherwise("")))
+    return learning.unplaced_feedback(h, h.select("id", request.alias("request_id"), place.alias("context")))
+
+
 @_query(f"WITH {oracle._HISTORY} SELECT count(DISTINCT request_id) AS requests, count(*) AS links, count(*) FILTER (feedback = 'positive') AS positives, round(avg(CAST(feedback = 'positive' AS INT)), 9) AS balance FROM hist WHERE feedback IS NOT NULL")
 def training_counters(spark: SparkSession, sf: str) -> DataFrame:
     x = learning.counters(learning.training_set(history(spark, sf)))

@@ -329,6 +329,14 @@ def test_feedback(spark):
     assert learning.context_of("a/b/01234567-89ab-cdef-0123-456789abcdef") == ("a/b", "01234567-89ab-cdef-0123-456789abcdef") and learning.context_of("a/b") == ("a/b", None)
 
 
+def test_unplaced_feedback(spark):
+    history = spark.createDataFrame([("r1", "c"), ("r1", "c"), ("r2", "d"), (None, "e"), ("r3", None)], "request_id string, context string")
+    given = [("r1", "c", "1"), ("r1", "d", "2"), ("r1", None, "3"), ("r9", None, "4"), (None, "d", "5"), (None, "x", "6"), (None, None, "7"), ("r3", None, "8"), ("r3", "c", "9"), (None, "e", "10")]
+    got = learning.unplaced_feedback(history, spark.createDataFrame(given, "request_id string, context string, id string"))
+    assert {r.id: r.reason for r in got.collect()} == {"2": "request isn't in context", "4": "no such request", "6": "no requests in context", "7": "no requests in context", "9": "request isn't in context"}
+    assert got.columns == ["request_id", "context", "id", "reason"]
+
+
 def test_metrics(spark):
     data = [(1, 0.9), (0, 0.8), (1, 0.7), (0, 0.2), (0, 0.7)]
     df = spark.createDataFrame([("k", bool(y), s) for y, s in data], "k string, label boolean, score double")
