@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import link_probability, prior_probability, sense_probability
 from ..functions.text import article_url, longest_ngram, ngram_of, norm_of, normal_ngrams, normalize
 from ..kb import KB
 from . import build
+from .filters import condition
 from .sentences import SentenceModel, split_sentences
 
 
@@ -62,44 +64,62 @@ def text_ngrams(requests: DataFrame, longest: int, exact: bool = True) -> DataFr
     return made.select("request_id", "lang", "sentence_no", ngram_of(F.col("_x")).alias("ngram"), norm_of(F.col("_x")).alias("norm_label"))
 
 
-def candidates(requests: DataFrame, kb: KB, dash: bool = True, accents: bool = True, lower: bool = False, max_ngram: int | None = None, head: bool = True, least_sense: float = -1.0, only_best: bool = False, exact: bool = True) -> DataFrame:
-    """Links: a row for each n-gram of a request, label that it may be, and sense of that label.
+def label_matches(requests: DataFrame, kb: KB, labels: DataFrame, dash: bool = True, accents: bool = True, lower: bool = False, max_ngram: int | None = None, head: bool = True, exact: bool = True) -> DataFrame:
+    """A row for each n-gram of a request and row of `labels` (lang, norm_label, label and what else is known of it) that it may be.
 
     N-grams that no label can equal are dropped where they are made; those that are left, few more than match, are
     shuffled to the labels.
-
-    requests: request_id, lang, text and perhaps sentence_no. An n-gram finds labels by the full normal form and keeps
-    those that equal it in the form that dash, accents and lower ask for. With only_best each label has its sense in most
-    documents. Titles of senses without a page are "None".
     """
     if "sentence_no" not in requests.columns:
         requests = requests.withColumn("sentence_no", F.lit(0))
     known = label_filter(kb)
     cap = min(x for x in (known.longest, longest_ngram(max_ngram, head)) if x is not None)
     grams = known.may_be_labels(text_ngrams(requests.select("request_id", "lang", "sentence_no", "text"), max(1, cap), exact))
-    found = grams.join(kb.label, ["lang", "norm_label"])
-    if not (dash and accents and lower):
-        same = normalize("ngram", dash, accents, lower, exact) == normalize("label", dash, accents, lower, exact)
-        found = found.where(same)
+    if dash and accents and lower:
+        return grams.join(labels, ["lang", "norm_label"])
+    same = lambda df, c: df.withColumn("_same", normalize(c, dash, accents, lower, exact))  # noqa: E731  once an n-gram and once a label, not once a pair
+    return same(grams, "ngram").join(same(labels, "label"), ["lang", "norm_label", "_same"]).drop("_same")
+
+
+#: Rows that are sent to all tasks where a settled table has no more; Spark's own measure, a file's size, says little of compressed rows.
+FEW = 100_000
+
+
+def counted(df: DataFrame, settle: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """df written as a table, joined by broadcast if it has few rows, by shuffle otherwise."""
+    kept = settle(df)
+    return kept.hint("broadcast" if kept.count() <= FEW else "merge")
+
+
+#: Numbers of links that label and sense alone decide.
+SENSE_NUMBERS = frozenset(("linkProbability", "senseProbability", "priorProbability", "occCount", "docCount", "linkOccCount", "linkDocCount", "senseOccCount", "senseDocCount"))
+
+
+def probable_senses(kb: KB, only_best: bool = False, least_sense: float = -1.0) -> DataFrame:
+    """Labels by sense: the columns of candidates() that no text decides, and norm_label.
+
+    They are made before texts come in, so what a filter on them drops never meets a text.
+    """
     senses = kb.sense
     if only_best:
-        first = F.row_number().over(Window.partitionBy("lang", "label").orderBy(F.desc("doc"), "sense_rank"))
-        senses = senses.withColumn("_first", first).where("_first = 1").drop("_first")
-    senses = senses.withColumnsRenamed({"occ": "sense_occ", "doc": "sense_doc"}).join(kb.page.select("lang", F.col("page_id").alias("sense_id"), "title"), ["lang", "sense_id"], "left")
-    links = found.join(senses, ["lang", "label"])
+        order = F.struct(F.col("doc").isNull().alias("a"), (-F.col("doc")).alias("b"), F.col("sense_rank").alias("c"))
+        columns = [c for c in senses.columns if c not in ("lang", "label")]
+        senses = senses.groupBy("lang", "label").agg(F.min_by(F.struct(*columns), order).alias("_x")).select("lang", "label", "_x.*")
+    senses = senses.withColumnsRenamed({"occ": "sense_occ", "doc": "sense_doc"}).join(kb.label, ["lang", "label"])
+    probability = sense_probability("sense_doc", "text_doc", "text_occ")
+    senses = senses.where(probability > least_sense) if least_sense >= 0 else senses
+    titled = senses.join(kb.page.select("lang", F.col("page_id").alias("sense_id"), "title"), ["lang", "sense_id"], "left")
     title = F.coalesce("title", F.lit("None"))
-    out = links.select(
-        "request_id",
+    return titled.select(
         "lang",
-        "sentence_no",
-        F.col("ngram").alias("text"),
+        "norm_label",
         "label",
         F.col("sense_id").alias("id"),
         "sense_rank",
         title.alias("title"),
         article_url("lang", title).alias("url"),
         link_probability("link_doc", "text_doc", "text_occ").alias("linkProbability"),
-        sense_probability("sense_doc", "text_doc", "text_occ").alias("senseProbability"),
+        probability.alias("senseProbability"),
         prior_probability("sense_occ", "link_occ").alias("priorProbability"),
         F.col("text_occ").alias("occCount"),
         F.col("text_doc").alias("docCount"),
@@ -110,7 +130,34 @@ def candidates(requests: DataFrame, kb: KB, dash: bool = True, accents: bool = T
         F.col("from_title").alias("fromTitle"),
         F.col("from_redirect").alias("fromRedirect"),
     )
-    return out if least_sense < 0 else out.where(F.col("senseProbability") > least_sense)
+
+
+def candidates(requests: DataFrame, kb: KB, dash: bool = True, accents: bool = True, lower: bool = False, max_ngram: int | None = None, head: bool = True, least_sense: float = -1.0, only_best: bool = False, exact: bool = True, settle: Callable[[DataFrame], DataFrame] | None = None, thresholds: list[tuple[str, str, float]] | None = None) -> DataFrame:
+    """Links: a row for each n-gram of a request, label that it may be, and sense of that label.
+
+    requests: request_id, lang, text and perhaps sentence_no. An n-gram finds labels by the full normal form and keeps
+    those that equal it in the form that dash, accents and lower ask for. With only_best each label has its sense in most
+    documents. Titles of senses without a page are "None". Probabilities are of label and sense alone: a filter on
+    them is moved by Spark to the senses, before these meet texts.
+    `settle`, which writes a DataFrame and reads it, tells how many senses are left: if few, no n-gram is shuffled. `thresholds`
+    (of filters.parse_filter) on columns of senses drop these; others are left to filters.filtered().
+    """
+    senses = probable_senses(kb, only_best, least_sense)
+    of_sense = [t for t in thresholds or [] if t[0] in SENSE_NUMBERS]
+    senses = senses.where(condition(of_sense)) if of_sense else senses
+    senses = counted(senses, settle) if settle and (only_best or of_sense) else senses
+    found = label_matches(requests, kb, senses, dash, accents, lower, max_ngram, head, exact)
+    return found.select("request_id", "lang", "sentence_no", F.col("ngram").alias("text"), *[c for c in senses.columns if c not in ("lang", "norm_label")])
+
+
+def candidate_totals(requests: DataFrame, kb: KB, least_sense: float = -1.0, settle: Callable[[DataFrame], DataFrame] | None = None, **matching) -> DataFrame:
+    """request_id, label, links, link_probability, sense_sum, prior_sum: the links that candidates() has for a request and label, added up.
+
+    A label's senses are added up before texts meet them, so the work grows with matches, not with matches times senses.
+    """
+    of_label = probable_senses(kb, least_sense=least_sense).groupBy("lang", "norm_label", "label").agg(F.count("*").alias("_links"), F.max("linkProbability").alias("_link"), F.sum("senseProbability").alias("_sense"), F.sum("priorProbability").alias("_prior"))
+    found = label_matches(requests, kb, counted(of_label, settle) if settle else of_label, **matching)
+    return found.groupBy("request_id", "label").agg(F.sum("_links").alias("links"), F.max("_link").alias("link_probability"), F.sum("_sense").alias("sense_sum"), F.sum("_prior").alias("prior_sum"))
 
 
 def largest_matches(links: DataFrame, requests: DataFrame, dash: bool = True, accents: bool = True, lower: bool = False) -> DataFrame:

@@ -81,13 +81,23 @@ class Options:
         return o
 
 
+def _early(o: Options, plugins: list[LinkOperator]) -> list[tuple[str, str, float]]:
+    """Thresholds that may hold before texts are linked, as nothing that comes before them looks at other links or changes these."""
+    if o.largest_matching or plugins:
+        return []
+    first, once = filters.parse_filter(o.prefilter or "")
+    last, _ = filters.parse_filter(o.filter or "")
+    between = once or o.multi or o.features or o.learning is not None
+    return first if between else first + last
+
+
 def link(requests: DataFrame, kb: KB, options: Options | None = None, model: learning.Model | None = None, views: DataFrame | None = None, pages: DataFrame | None = None, plugins: list[LinkOperator] | None = None, settle=None, nstart: DataFrame | None = None, splitter: SentenceModel | None = None) -> DataFrame:
     """Links of all requests (request_id, lang, text; context and seq for what depends on order), one row each.
 
     Order of operators: candidates, prefilter, context; anchor features, articles, page views, article features, features
     of links among themselves, graph of the context, model; counts leave, filter, article columns leave, images. Counts are
     gone before the filter unless asked for, so a filter on them needs `counts`. Languages without a knowledge base have
-    no links. `settle` writes a DataFrame and reads it, where links meet themselves and in the rounds of ranks; ranks of
+    no links. `settle` writes a DataFrame and reads it, where best senses are counted, links meet themselves and in the rounds of ranks; ranks of
     contexts run until they stand (o.pagerank_tolerance), from `nstart` (context, node, rank) if it is given. `splitter` is a
     model of sentences for split_sentences.
     """
@@ -96,7 +106,7 @@ def link(requests: DataFrame, kb: KB, options: Options | None = None, model: lea
     kb = kb.of(o.lang)
     base = requests.where(F.col("lang") == o.lang)
     texts = candidates.split_requests(base, splitter) if o.split_sentences else base.withColumn("sentence_no", F.lit(0))
-    links = candidates.candidates(texts, kb, o.dash, o.accents, o.lower, o.max_ngram, o.head, only_best=o.largest_matching)
+    links = candidates.candidates(texts, kb, o.dash, o.accents, o.lower, o.max_ngram, o.head, only_best=o.largest_matching, settle=settle, thresholds=_early(o, plugins))
     if o.largest_matching:
         links = candidates.largest_matches(links, texts, o.dash, o.accents, o.lower)
     if o.translations:

@@ -44,6 +44,29 @@ def test_candidates(asked, kb):
     assert candidates.candidates(asked.limit(0), kb).count() == 0
 
 
+def test_senses_are_settled_before_texts(asked, kb, tmp_path):
+    """Senses are added up, filtered and counted before texts meet them, with the same links as afterwards."""
+    sizes = []
+
+    def settle(df):
+        path = f"{tmp_path}/t{len(sizes)}"
+        df.write.parquet(path)
+        kept = df.sparkSession.read.parquet(path)
+        sizes.append(kept.count())
+        return kept
+
+    for least in (-1.0, 0.1):
+        found = candidates.candidates(asked, kb, lower=True, least_sense=least)
+        want = found.groupBy("request_id", "label").agg(F.count("*").alias("links"), F.max("linkProbability"), F.sum("senseProbability"), F.sum("priorProbability"))
+        assert rows(candidates.candidate_totals(asked, kb, least, settle=settle, lower=True), "*") == rows(want, "*") != []
+    assert sizes == [4, 4], "a row for each label"
+    options = {"filter": "senseProbability>0.1,linkDocCount>=3", "counts": "", "normalize": "lower,dash,accents"}
+    got = link(asked, kb, Options.of(options), settle=settle)
+    assert sizes[2:] == [3], "one sense each of city, new york and new york city is left before texts come in"
+    every = link(asked, kb, Options.of({**options, "filter": ""})).where("senseProbability > 0.1 AND linkDocCount >= 3")
+    assert rows(got, "request_id", "label", "id") == rows(every, "request_id", "label", "id") != []
+
+
 def test_label_bitmap(spark, kb, asked, monkeypatch):
     """No label is ever ruled out, nearly everything else is, whatever the sizes; beyond the bound all n-grams go to the join."""
     lang = [("en", f"label {i}") for i in range(3000)] + [("nl", f"woord {i}") for i in range(50)]
