@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import inverse_frequency, per_count
 from ..functions.text import W, clean_definition, count_ngram, ngram_pattern, tokenize, word_ngrams, words
 from ..kb import KB
+from .candidates import FEW
 
 ANCHOR = ("LEN", "IDF_title", "IDF_anchor", "IDF_content", "KEYPHRASENESS", "LINKPROB", "SNIL", "SNCL", "NORMALIZATION")
 ARTICLE = ("INLINKS", "OUTLINKS", "REDIRECT", "TF_title", "TF_sentence", "TF_paragraph", "POS_first_in_paragraph", "NCT", "TCN", "TEN", "SUBSTRING_MATCH_1", "SUBSTRING_MATCH_2", "WORD_MATCH", "WORD_MISS", "EDIT_DISTANCE", "COMMONNESS")
@@ -96,14 +99,17 @@ OVERLAP = ("label_overlap", "label_unique", "entity_overlap", "entity_unique", "
 
 
 def _overlap(pairs: DataFrame, key: list[str], prefix: str, most: Column) -> DataFrame:
-    """The features of OVERLAP for each key, of rows with other_label, other_id and its probabilities; each counts `_times`."""
+    """The features of OVERLAP for each key, of rows with other_label, other_id and its probabilities; each counts `_times`.
+
+    Distinct labels and articles are sets, no larger than a text's links: countDistinct would move every row three times.
+    """
     times = F.col("_times")
     out = pairs.groupBy(*key).agg(
         F.sum("_times").alias("label_overlap"),
-        F.countDistinct("other_label").alias("label_unique"),
+        F.size(F.collect_set("other_label")).cast("long").alias("label_unique"),
         F.sum("_times").alias("entity_overlap"),
-        F.countDistinct("other_id").alias("entity_unique"),
-        (F.countDistinct("other_id") / most).alias("entity_proportion"),
+        F.size(F.collect_set("other_id")).cast("long").alias("entity_unique"),
+        (F.size(F.collect_set("other_id")) / most).alias("entity_proportion"),
         F.sum(F.col("other_sense") * times).alias("sense_prob_sum"),
         F.sum(F.col("other_prior") * times).alias("prior_prob_sum"),
         F.sum(F.col("other_link") * times).alias("cmns_sum"),
@@ -115,44 +121,71 @@ def _others(links: DataFrame) -> DataFrame:
     return links.select("request_id", F.col("id").alias("other_id"), F.col("label").alias("other_label"), F.col("senseProbability").alias("other_sense"), F.col("priorProbability").alias("other_prior"), F.col("linkProbability").alias("other_link"))
 
 
-def neighbour_candidates(links: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def linked_edges(links: DataFrame, edges: DataFrame) -> DataFrame:
+    """lang, page_id, target_id, _degree: the edges between articles that are linked in any text; _degree counts all edges of page_id.
+
+    Others can't be neighbours within a text, so they never meet one.
+    """
+    known = links.select("lang", F.col("id").alias("page_id")).distinct()
+    own = edges.select("lang", "page_id", "target_id").join(known, ["lang", "page_id"], "left_semi")
+    degree = own.groupBy("lang", "page_id").agg(F.count("*").alias("_degree"))
+    return own.join(known.withColumnRenamed("page_id", "target_id"), ["lang", "target_id"], "left_semi").join(degree, ["lang", "page_id"])
+
+
+def neighbour_candidates(links: DataFrame, edges: DataFrame, how: str = "merge") -> tuple[DataFrame, DataFrame]:
     """What may be neighbours within one text, in two parts (both request_id, lang, id, other_id, _degree).
 
     Of articles with fewer neighbours than the text has articles, all neighbours, to be looked up in the text; of the
     others, hubs, all articles of the text, to be looked up among the edges. So an article costs a text no more rows than
-    the smaller of the two numbers, however many neighbours a hub has.
+    the smaller of the two numbers, however many neighbours a hub has. Joins of texts with themselves are by shuffle:
+    a settled table's file, or a shuffle's, is far smaller than its rows, which the driver would have to hold to send them. `how`
+    (merge or broadcast) edges are joined is for the caller to say.
     """
     ids = links.select("request_id", "lang", "id").repartition("request_id").distinct()
-    degree = edges.groupBy("lang", F.col("page_id").alias("id")).agg(F.count("*").alias("_degree"))
-    known = ids.withColumn("_articles", F.count("*").over(Window.partitionBy("request_id"))).join(degree, ["lang", "id"])
-    few, hubs = known.where("_degree <= _articles"), known.where("_degree > _articles")
-    listed = few.join(edges.select("lang", F.col("page_id").alias("id"), F.col("target_id").alias("other_id")), ["lang", "id"])
-    paired = hubs.join(ids.select("request_id", F.col("id").alias("other_id")), "request_id")
+    degree = edges.groupBy("lang", F.col("page_id").alias("id")).agg(F.count("*").alias("_listed"), (F.max("_degree") if "_degree" in edges.columns else F.count("*")).alias("_degree"))
+    known = ids.withColumn("_articles", F.count("*").over(Window.partitionBy("request_id"))).join(degree.hint(how), ["lang", "id"])
+    few, hubs = known.where("_listed <= _articles"), known.where("_listed > _articles")
+    listed = few.join(edges.select("lang", F.col("page_id").alias("id"), F.col("target_id").alias("other_id")).hint(how), ["lang", "id"])
+    paired = hubs.hint("merge").join(ids.select("request_id", F.col("id").alias("other_id")).hint("merge"), "request_id")
     return tuple(x.select("request_id", "lang", "id", "other_id", "_degree") for x in (listed, paired))
 
 
-def linked_overlap(links: DataFrame, edges: DataFrame, prefix: str) -> DataFrame:
+def _settled_few(df: DataFrame, settle: Callable[[DataFrame], DataFrame] | None) -> tuple[DataFrame, str]:
+    """df, as a table if it can be one, and how to join it: by broadcast only if it is known to have few rows."""
+    if settle is None:
+        return df, "merge"
+    kept = settle(df)
+    return kept, "broadcast" if kept.count() <= FEW else "merge"
+
+
+def linked_overlap(links: DataFrame, edges: DataFrame, prefix: str, settle: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """request_id, label, id and features of how its article's neighbours (edges: lang, page_id, target_id) are themselves
     linked in the text by other labels. Links without any have no row.
     """
-    listed, paired = neighbour_candidates(links, edges)
-    near = listed.unionByName(paired.join(edges.select("lang", F.col("page_id").alias("id"), F.col("target_id").alias("other_id")), ["lang", "id", "other_id"]))
-    pairs = near.join(_others(links), ["request_id", "other_id"]).join(links.select("request_id", "label", "id"), ["request_id", "id"]).where("label <> other_label")
+    edges, how = _settled_few(linked_edges(links, edges), settle)
+    listed, paired = neighbour_candidates(links, edges, how)
+    near = listed.unionByName(paired.join(edges.select("lang", F.col("page_id").alias("id"), F.col("target_id").alias("other_id")).hint(how), ["lang", "id", "other_id"]))
+    pairs = near.join(_others(links).hint("merge"), ["request_id", "other_id"]).join(links.select("request_id", "label", "id").hint("merge"), ["request_id", "id"]).where("label <> other_label")
     return _overlap(pairs.withColumn("_times", F.lit(1)), ["request_id", "label", "id"], prefix, F.max("_degree"))
 
 
-def tier_one_overlap(links: DataFrame, kb: KB) -> DataFrame:
+def tier_one_overlap(links: DataFrame, kb: KB, settle: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """request_id, label, id and features of how the labels of its own article are used in the text for it.
 
     An article's labels (its title included) and the labels linked in the text are multisets; each common one counts as
     often as it stands in both, and pairs with every link of the text that has that label and this article.
+
+    Labels of articles that are linked nowhere are dropped first; links meet what is left before they are paired. How often a
+    label is used is counted beside the links, so these move twice, by text and by text and article.
     """
     own = kb.page_label.select("lang", F.col("page_id").alias("id"), "title").unionAll(kb.page.select("lang", F.col("page_id").alias("id"), "title"))
-    own = own.groupBy("lang", "id", "title").agg(F.count("*").alias("_own"))
-    used = links.groupBy("request_id", F.col("label").alias("title")).agg(F.count("*").alias("_used"))
-    others = _others(links).withColumnRenamed("other_id", "id")
-    pairs = links.select("request_id", "lang", "label", "id").join(others, ["request_id", "id"])
-    pairs = pairs.join(own.withColumnRenamed("title", "other_label"), ["lang", "id", "other_label"]).join(used.withColumnRenamed("title", "other_label"), ["request_id", "other_label"])
+    met = links.select("lang", "id", F.col("label").alias("title")).distinct()
+    own = own.join(met, ["lang", "id", "title"], "left_semi").groupBy("lang", "id", F.col("title").alias("other_label")).agg(F.count("*").alias("_own"))
+    own, how = _settled_few(own, settle)
+    used = links.select("request_id", "lang", "label", "id", "senseProbability", "priorProbability", "linkProbability").repartition("request_id").withColumn("_used", F.count("*").over(Window.partitionBy("request_id", "label")))
+    others = used.select("request_id", "lang", "id", "_used", *[F.col(a).alias(b) for a, b in (("label", "other_label"), ("senseProbability", "other_sense"), ("priorProbability", "other_prior"), ("linkProbability", "other_link"))])
+    others = others.join(own.hint(how), ["lang", "id", "other_label"]).drop("lang")
+    pairs = links.select("request_id", "label", "id").hint("merge").join(others.hint("merge"), ["request_id", "id"])
     pairs = pairs.withColumns({"_times": F.least("_own", "_used"), "other_id": F.col("id")})
     return _overlap(pairs, ["request_id", "label", "id"], "ME_T1", F.lit(1))
 
@@ -165,10 +198,10 @@ def with_multi_features(links: DataFrame, kb: KB, which: list[str], settle=None)
     links = settle(links) if settle else links
     for name in which:
         if name == "tier1":
-            more = tier_one_overlap(links, kb)
+            more = tier_one_overlap(links, kb, settle)
         elif name in ("outlinks", "inlinks"):
             edges = kb.outlink if name == "outlinks" else kb.inlink
-            more = linked_overlap(links, edges, "ME_OUT" if name == "outlinks" else "ME_IN")
+            more = linked_overlap(links, edges, "ME_OUT" if name == "outlinks" else "ME_IN", settle)
         else:
             raise ValueError(f"multi knows tier1, outlinks and inlinks, not {name!r}")
         links = links.join(more, ["request_id", "label", "id"], "left")

@@ -202,6 +202,17 @@ def test_hubs_among_links_of_a_text(spark):
     assert {(r.request_id, r.label, r.id): (r.X_label_overlap, r.X_label_unique, r.X_entity_proportion, round(r.X_sense_prob_sum, 9)) for r in got} == want
 
 
+def test_texts_are_not_broadcast_to_themselves(spark):
+    """However small a table of links looks to Spark, its joins with itself are by shuffle."""
+    links = spark.createDataFrame([("r", "en", x, i, 0.5, 0.5, 0.5) for x, i in (("a", "1"), ("b", "2"))], "request_id string, lang string, label string, id string, senseProbability double, priorProbability double, linkProbability double")
+    edges = spark.createDataFrame([("en", "1", "2"), ("en", "1", "3"), ("en", "4", "2")], "lang string, page_id string, target_id string")
+    for settle in (None, lambda df: df.checkpoint()):
+        got = features.linked_overlap(links, edges, "X", settle)
+        plan = got._jdf.queryExecution().executedPlan().toString().splitlines()
+        assert not [x for x in plan if "BroadcastHashJoin" in x and "request_id" in x]
+        assert [(r.request_id, r.id, r.X_entity_unique, r.X_entity_proportion) for r in got.collect()] == [("r", "1", 1, 0.5)]
+
+
 def test_relatedness_counts_from_the_lighter_side(spark):
     """Shared links are counted without a whole set in a row; a pair of a hub costs what its other end has."""
     import math
