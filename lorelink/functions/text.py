@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 #: A letter, digit or underscore of any script. Java's and RE2's \w know ASCII only, so classes are spelt out.
 W = r"\p{L}\p{N}_"
-TOKEN = rf"[{W}]+(?:[.,'][{W}]+)*|[^{W}\s]+"
+TOKEN = rf"[{W}]++(?:[.,'][{W}]++)*+|[^{W}\s]++"  # possessive: a token never gives back what it took
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -67,6 +67,19 @@ _SYLLABLES = chr(HANGUL), chr(HANGUL + 11171)
 _EXPANDS = rf"[{_ranges(_KEYS)}{_SYLLABLES[0]}-{_SYLLABLES[1]}]"
 
 
+def _commons() -> str:
+    """The inside of a class of characters of which none becomes several: wide ranges between those that do.
+
+    A class of many ranges is tried range by range, so texts are first held against this short one.
+    """
+    borders = [-1, *sorted(ord(c) for c in _KEYS if ord(c) < HANGUL), HANGUL]
+    return "".join(rf"\x{{{a + 1:x}}}-\x{{{b - 1:x}}}" for a, b in zip(borders, borders[1:], strict=False) if b - a > 100)
+
+
+#: A character of which several may be left.
+_MAY_EXPAND = rf"[^{_commons()}]"
+
+
 def _letters(first: int, count: int) -> str:
     return "".join(chr(first + k) for k in range(count))
 
@@ -91,7 +104,7 @@ def remove_accents(text: Column | str, exact: bool = False) -> Column:
     whole = raw
     if exact:
         single = F.filter(F.split(raw, ""), lambda c: c != "")
-        whole = F.when(F.rlike(raw, F.lit(_EXPANDS)), F.array_join(F.transform(single, _expanded), "")).otherwise(raw)
+        whole = F.when(F.rlike(raw, F.lit(_MAY_EXPAND)) & F.rlike(raw, F.lit(_EXPANDS)), F.array_join(F.transform(single, _expanded), "")).otherwise(raw)
     return F.when(F.octet_length(raw) == F.length(raw), raw).otherwise(F.translate(whole, _SOURCE + _MARKS, _TARGET))  # ASCII stays as it is
 
 
@@ -129,8 +142,14 @@ def variants(text: Column | str) -> Column:
 def ngrams_of(tokens: Column | str, n: int) -> Column:
     """All runs of n tokens, joined by a blank."""
     t = col(tokens)
+    if n == 1:
+        return t
     count = F.size(t) - n + 1
-    return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(t, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    shifted = [F.slice(t, k, F.greatest(count, F.lit(0))) for k in range(1, n + 1)]
+    runs = shifted[0]
+    for more in shifted[1:]:
+        runs = F.zip_with(runs, more, lambda x, y: F.concat(x, F.lit(" "), y))
+    return runs
 
 
 def ngrams(text: Column | str, longest: int, all_variants: bool = True) -> Column:
@@ -148,14 +167,10 @@ def normal_ngrams(text: Column | str, longest: int, exact: bool = True) -> Colum
     """
 
     def runs(t: Column, u: Column, n: int) -> Column:
-        count = F.size(t) - n + 1
-        if n == 1:
-            return F.zip_with(u, t, lambda x, y: F.concat(x, F.lit("\n"), y))
-        pair = lambda i: F.concat(F.array_join(F.slice(u, i, n), " "), F.lit("\n"), F.array_join(F.slice(t, i, n), " "))
-        return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), pair)).otherwise(F.array().cast("array<string>"))
+        return F.zip_with(ngrams_of(u, n), ngrams_of(t, n), lambda x, y: F.concat(x, F.lit("\n"), y))
 
     def of_variant(v: Column) -> Column:
-        forms = lambda t: F.split(folded(F.array_join(t, "\n"), exact=exact), "\n")
+        forms = lambda t: let(F.replace(F.array_join(t, "\n"), F.lit("-"), F.lit(" ")), lambda x: F.split(folded(x, dash=False, exact=exact), "\n"))
         return let(tokenize(v), lambda t: F.when(F.size(t) > 0, let(forms(t), lambda u: F.flatten(F.array(*[runs(t, u, n) for n in range(1, longest + 1)])))).otherwise(F.array().cast("array<string>")))
 
     return F.array_distinct(F.flatten(F.transform(F.array_distinct(variants(text)), of_variant)))

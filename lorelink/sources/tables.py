@@ -16,7 +16,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def order_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df dealt out by key over all cores, for work that is long on each row: a file of one row group would be one task, however large it is."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, key)
+
+
+def order_requests(spark: SparkSession, sf_dir: str, with_text: bool = True) -> DataFrame:
     """A request for each order: the names of its parts in the order of its lines; its customer is the context."""
     lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     names = lines.join(read(spark, sf_dir, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
@@ -26,7 +31,7 @@ def order_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    docs = spread(read(spark, sf_dir, "documents").select("doc_id", "text", "source"), "doc_id")
     return docs.select(F.col("doc_id").cast("string").alias("request_id"), F.lit(LANG).alias("lang"), "text", F.col("source").alias("context"), F.col("doc_id").alias("seq"))
 
 

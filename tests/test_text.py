@@ -140,3 +140,12 @@ def test_first_paragraphs():
     assert markup.first_paragraphs("\n\n".join(parts[:2])) == " ".join(parts[:2])
     for text_, want in (("\n\n".join(parts[:2]), ""), ("\n\n".join(parts[:3]), parts[0]), ("x\n\ny\n\n\n\nz", "x y"), ("", ""), ("x\n\n", "")):
         assert markup.first_paragraphs(text_, head=True) == want
+
+
+def test_texts_are_held_against_a_short_class_first(spark):
+    """Of characters of which several may be left none is missed, and common letters aren't among them, so that their texts spare the long class."""
+    import re
+
+    inside = re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: rf"\U{int(m[1], 16):08x}", text._MAY_EXPAND))
+    assert all(inside.match(c) for c in (*text._KEYS, *text._SYLLABLES))
+    assert not any(inside.match(c) for c in "azAZ09 .-äöüßéèñçÅøőαωжя\u6f22\u5b57")
