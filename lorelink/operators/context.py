@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,7 +80,82 @@ def _start(nodes: DataFrame, nstart: DataFrame | None) -> DataFrame:
     return given.join(whole, "context").select("context", "node", "n", F.when(F.col("_whole") > 0, F.col("_given") / F.col("_whole")).otherwise(1.0 / F.col("n")).alias("rank"))
 
 
-def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, settle=None, every: int = 5, tolerance: float | None = None, nstart: DataFrame | None = None) -> DataFrame:
+#: Contexts of up to so many edges are ranked within a task, about as many edges of them at a time; larger ones by all tasks together.
+WITHIN = 100_000
+
+
+def _ranks_of(rows: pa.Table, rounds: int, damping: float, every: int, tolerance: float | None) -> pa.RecordBatch:
+    """Ranks of the nodes of whole contexts; rows: context, src, dst, start (where dst is null, the start weight of src)."""
+    rows = rows.combine_chunks()
+    code = lambda x: x.dictionary_encode() if isinstance(x, pa.Array) else x.dictionary_encode().combine_chunks()
+    is_edge = rows["dst"].is_valid().to_numpy().astype(bool)
+    edges, starts = rows.filter(pa.array(is_edge)), rows.filter(pa.array(~is_edge))
+    names = code(pa.chunked_array([*edges["src"].chunks, *edges["dst"].chunks, *starts["src"].chunks], rows.schema.field("src").type))
+    contexts = code(pa.chunked_array([*edges["context"].chunks, *starts["context"].chunks], rows.schema.field("context").type))
+    name, of = (x.indices.to_numpy(zero_copy_only=False).astype(np.int64) for x in (names, contexts))
+    m, width = len(edges), len(names.dictionary) + 1
+    keys, place = np.unique(np.concatenate([of[:m], of[:m]]) * width + name[: 2 * m], return_inverse=True)
+    context = keys // width
+    size = np.bincount(context, minlength=len(contexts.dictionary))
+    n = size[context]
+    a, b = place, np.concatenate([place[m:], place[:m]])  # edges lead both ways
+    degree = np.bincount(a, minlength=len(keys))
+    rank = 1.0 / n
+    if len(starts):
+        asked = of[m:] * width + name[2 * m :]
+        at = np.minimum(np.searchsorted(keys, asked), max(0, len(keys) - 1))
+        known = keys[at] == asked if len(keys) else np.zeros(len(asked), bool)
+        given = np.ones(len(keys))
+        given[at[known]] = np.nan_to_num(starts["start"].to_numpy()[known], nan=1.0)
+        whole = np.bincount(context, given, minlength=len(size))[context]
+        rank = np.where(whole > 0, given / np.where(whole > 0, whole, 1), rank)
+    moving, result = np.ones(len(size), bool), rank.copy()
+    k = 0
+    while k < rounds and moving.any():
+        k += 1
+        before = rank
+        rank = (1 - damping) / n + damping * np.bincount(b, rank[a] / degree[a], minlength=len(keys))
+        if tolerance is None or (k % every and k < rounds):
+            continue
+        stands = moving & (np.bincount(context, np.abs(rank - before), minlength=len(size)) < tolerance * size)
+        if stands.any():
+            result = np.where(stands[context], rank, result)
+            moving &= ~stands
+            on = moving[context[a]]
+            a, b = a[on], b[on]
+    result = np.where(moving[context], rank, result)
+    node = names.dictionary.take(pa.array(keys % width))
+    return pa.RecordBatch.from_arrays([contexts.dictionary.take(pa.array(context)), node, pa.array(result), pa.array(result * n), pa.array(np.full(len(keys), tolerance is None) | ~moving[context])], ["context", "node", "pagerank", "pagerank_normalized", "_stands"])
+
+
+def _ranked_within(edges: DataFrame, rounds: int, damping: float, every: int, tolerance: float | None, nstart: DataFrame | None) -> DataFrame:
+    """context, node, pagerank, pagerank_normalized, _stands of contexts that are dealt out whole, many to a task: edges move once, for all rounds."""
+    rows = edges.select("context", "src", "dst", F.lit(None).cast("double").alias("start")).where("context IS NOT NULL AND src IS NOT NULL AND dst IS NOT NULL")
+    if nstart is not None:
+        there = nstart.join(edges.select("context").distinct(), "context", "left_semi")
+        rows = rows.unionByName(there.select("context", F.col("node").alias("src"), F.lit(None).cast("string").alias("dst"), F.col("rank").cast("double").alias("start")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, many = [], 0
+        for batch in batches:
+            held.append(batch)
+            many += batch.num_rows
+            if many < WITHIN:
+                continue
+            rows = pa.Table.from_batches(held)
+            name = rows["context"].to_pandas()
+            last = int(np.argmax((name == name.iloc[-1]).to_numpy()))  # rows are in order of context: the last one may go on
+            if last:
+                yield _ranks_of(rows.slice(0, last), rounds, damping, every, tolerance)
+            held, many = rows.slice(last).to_batches(), len(rows) - last
+        if many:
+            yield _ranks_of(pa.Table.from_batches(held), rounds, damping, every, tolerance)
+
+    kind = dict(edges.dtypes)["context"]
+    return rows.repartition("context").sortWithinPartitions("context").mapInArrow(run, f"context {kind}, node string, pagerank double, pagerank_normalized double, _stands boolean")
+
+
+def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, settle=None, every: int = 5, tolerance: float | None = None, nstart: DataFrame | None = None, within: int = 0) -> DataFrame:
     """context, node, pagerank, pagerank_normalized (times the nodes).
 
     With a tolerance, a context's ranks stand when a round changes them by less than that a node, all its nodes together;
@@ -82,11 +163,28 @@ def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, settle=N
     rounds, this raises RuntimeError. Without a tolerance all contexts have exactly `rounds` rounds. Ranks start even, or as nstart
     has them (context, node, rank), such as those of the context before its latest chunk.
 
-    Each context is ranked by itself; all of them in one plan. Edges are undirected, so no node is a dead end. Every few
-    rounds the ranks are cut from their lineage by `settle`, which writes a DataFrame and reads it (checkpoint by default).
-    Edges of contexts that stand are left out once these are half of what was there.
+    Each context is ranked by itself, edges being undirected, so no node is a dead end. Contexts of up to `within` edges are
+    dealt out whole (none, if it is 0), so all their rounds cost one shuffle; larger ones have a join and an aggregate a round, in many tasks.
+    `settle` writes a DataFrame and reads it (checkpoint by default).
     """
     settle = settle or (lambda df: df.checkpoint())
+    if not within:
+        return _ranked_in_rounds(edges, rounds, damping, settle, every, tolerance, nstart)
+    edges = settle(edges)
+    large = settle(edges.groupBy("context").agg(F.count("*").alias("_n")).where(F.col("_n") > within).select("context"))
+    some = not large.isEmpty()
+    small = edges.join(large, "context", "left_anti") if some else edges
+    ranks = settle(_ranked_within(small, rounds, damping, every, tolerance, nstart))
+    if not ranks.where("NOT _stands").isEmpty():
+        raise RuntimeError(f"ranks didn't settle within {rounds} rounds")
+    ranks = ranks.drop("_stands")
+    return ranks.unionByName(_ranked_in_rounds(edges.join(large, "context", "left_semi"), rounds, damping, settle, every, tolerance, nstart)) if some else ranks
+
+
+def _ranked_in_rounds(edges: DataFrame, rounds: int, damping: float, settle, every: int, tolerance: float | None, nstart: DataFrame | None) -> DataFrame:
+    """pagerank() of all contexts in one plan. Every few rounds the ranks are cut from their lineage; edges of contexts that
+    stand are left out once these are half of what was there.
+    """
     both = doubled(settle(edges))
     nodes = sized(both.groupBy("context", "node").agg(F.count("*").alias("degree")))
     out = settle(both.join(nodes, ["context", "node"]).select("context", "node", "other", "degree"))
@@ -140,9 +238,12 @@ def with_context_features(links: DataFrame, requests: DataFrame, label: str = "c
     edges = alive(graph_edges(links, chunks), chunks, span)
     edges = settle(edges) if settle else edges
     prefix = f"CONTEXT_{label.upper()}"
-    ranks = head_pagerank(edges, links.join(chunks, "request_id").select("context", "title")) if head else pagerank(edges, rounds, settle=settle, tolerance=tolerance, nstart=nstart)
+    ranks = head_pagerank(edges, links.join(chunks, "request_id").select("context", "title")) if head else pagerank(edges, rounds, settle=settle, tolerance=tolerance, nstart=nstart, within=WITHIN)
     both = degrees(edges).join(ranks, ["context", "node"], "left").withColumnRenamed("node", "title")
     named = chunks.select("request_id", F.col("context").alias("_context"))
     out = links.drop("context").join(named.withColumnRenamed("_context", "context"), "request_id").join(both, ["context", "title"], "left")
     names = {"degree": "DEGREE", "degree_centrality": "DEGREE_CENTRALITY", "pagerank": "PAGERANK", "pagerank_normalized": "PAGERANK_NORMALIZED"}
     return out.withColumns({f"{prefix}_{n}": F.coalesce(c, F.lit(0)).cast("double") for c, n in names.items()}).drop(*names)
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors needn't have this package

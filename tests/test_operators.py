@@ -495,3 +495,33 @@ def test_head_ranks_make_links_once(monkeypatch):
         monkeypatch.setattr(context, name, lambda *a, **k: Rows())
     more_queries.context_head_ranks(None, "")
     assert made == [1]
+
+
+def test_ranks_within_tasks_are_those_of_rounds(spark, tmp_path, monkeypatch):
+    """Contexts dealt out whole have one shuffle for all their rounds; large ones go by rounds; portions cut between contexts."""
+    import random
+
+    from lorelink.operators import context
+
+    rng = random.Random(3)
+    made = [(f"c{k}", a, b, 0) for k in range(8) for a, b in sorted({tuple(sorted(rng.sample([f"v{i}" for i in range(4 + 2 * k)], 2))) for _ in range(3 + 6 * k)})] + [("c1", "s", "s", 0)]
+    edges = spark.createDataFrame(made, "context string, src string, dst string, t int").coalesce(1).cache()
+    start = spark.createDataFrame([(f"c{k}", f"v{i}", float(rng.random())) for k in range(0, 12, 2) for i in range(3)] + [("c3", "v0", 0.0)], "context string, node string, rank double")
+    monkeypatch.setattr(context, "WITHIN", 30)  # several portions
+    tables = []
+
+    def settle(df):
+        path = str(tmp_path / f"t{len(tables)}")
+        tables.append(path)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    ranks = lambda within, **more: {(r.context, r.node): (r.pagerank, r.pagerank_normalized) for r in context.pagerank(edges, settle=settle, within=within, **more).collect()}
+    same = lambda x, y: x.keys() == y.keys() and all(abs(p - q) < 1e-9 for k in x for p, q in zip(x[k], y[k], strict=True))
+    for more in ({"rounds": 3}, {"rounds": 3, "nstart": start}, {"rounds": 40, "tolerance": 1e-3}):
+        want, before = ranks(0, **more), len(tables)
+        assert same(ranks(100_000, **more), want) and len(tables) - before == 3
+    assert same(ranks(25, rounds=3), ranks(0, rounds=3)), "large contexts go by rounds"
+    with pytest.raises(RuntimeError, match="settle"):
+        ranks(100_000, rounds=5, tolerance=1e-12)
+    assert context.pagerank(edges.limit(0), within=100_000, settle=settle).count() == 0
