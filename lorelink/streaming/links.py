@@ -82,8 +82,8 @@ class ContextGraph(StatefulProcessor):
 
     Rows: context, request_id, seq, label, title, senseProbability. A label belongs to one chunk, so each edge is made in
     one chunk: the edges of a chunk are one entry of the state, which leaves as a whole, and each title has an entry with
-    its neighbours. A request reads and writes its own titles and those of the chunk that leaves, not the whole graph; the
-    number of nodes is counted along.
+    its neighbours. A batch reads the titles of its requests and of the chunks that leave, not the whole graph, and writes each
+    of them once, at its end: every call of the state is a message. The number of nodes is counted along.
     """
 
     def __init__(self, least: float = 0.2, span: int = 100) -> None:
@@ -94,42 +94,60 @@ class ContextGraph(StatefulProcessor):
         self.titles = handle.getMapState("titles", "title string", "labels string")  # JSON: [chunk, label] of a title
         self.counts = handle.getValueState("counts", "chunk long, titles long, labels long")
 
-    def _labels(self, title: str) -> list:
-        return json.loads(self.titles.getValue((title,))[0]) if self.titles.containsKey((title,)) else []
-
-    def _put(self, title: str, labels: list) -> int:
-        """Set a title's neighbours; returns by how many the titles with any change."""
-        had = self.titles.containsKey((title,))
-        if labels:
-            self.titles.updateValue((title,), (json.dumps(labels),))
-        elif had:
-            self.titles.removeKey((title,))
-        return bool(labels) - had
-
     def handleInputRows(self, key, rows, timerValues):
-        batch = pd.concat(list(rows)).sort_values(["seq", "request_id"])
+        batch = pd.concat(list(rows))
+        place = batch.groupby(["seq", "request_id"], sort=True, dropna=False).ngroup().to_numpy()
+        plain = lambda c: [None if pd.isna(x) else x for x in batch[c]]
+        requests: dict[int, list] = {}
+        for n, *row in zip(place.tolist(), plain("request_id"), plain("label"), plain("title"), (batch["senseProbability"] >= self.least).tolist(), strict=True):
+            requests.setdefault(n, []).append(row)
         chunk, titles, labels = (int(x) for x in self.counts.get()) if self.counts.exists() else (-1, 0, 0)
-        out = []
-        for (_, request), part in batch.groupby(["seq", "request_id"], sort=True, dropna=False):
+        near, stored, new, out = {}, set(), {}, []  # what titles have, which of them the state has, this batch's chunks
+
+        def of(title: str) -> list:
+            if title not in near:
+                had = self.titles.containsKey((title,))
+                near[title] = json.loads(self.titles.getValue((title,))[0]) if had else []
+                if had:
+                    stored.add(title)
+            return near[title]
+
+        def put(title: str, found: list) -> int:
+            """Set a title's neighbours; returns by how many the titles with any change."""
+            change = bool(found) - bool(of(title))
+            near[title] = found
+            return change
+
+        for n in sorted(requests):
+            part = requests[n]
             chunk += 1
             gone = chunk - self.span - 1
-            if self.chunks.containsKey((gone,)):
-                pairs = json.loads(self.chunks.getValue((gone,))[0])
+            left = new.pop(gone, None)
+            if left is None and self.chunks.containsKey((gone,)):
+                left = json.loads(self.chunks.getValue((gone,))[0])
                 self.chunks.removeKey((gone,))
-                labels -= len({label for label, _ in pairs})
-                for title in {t for _, t in pairs}:
-                    titles += self._put(title, [x for x in self._labels(title) if x[0] != gone])
-            pairs = part.loc[part["senseProbability"] >= self.least, ["label", "title"]].drop_duplicates().sort_values(["label", "title"]).values.tolist()
+            if left:
+                labels -= len({label for label, _ in left})
+                for title in {t for _, t in left}:
+                    titles += put(title, [x for x in of(title) if x[0] != gone])
+            pairs = sorted({(label, t) for _, label, t, likely in part if likely}, key=lambda x: (x[0] is None, x[0] or "", x[1] is None, x[1] or ""))
             if pairs:
-                self.chunks.updateValue((chunk,), (json.dumps(pairs),))
+                new[chunk] = pairs
                 labels += len({label for label, _ in pairs})
                 for title in {t for _, t in pairs}:
-                    titles += self._put(title, self._labels(title) + [[chunk, label] for label, t in pairs if t == title])
+                    titles += put(title, of(title) + [[chunk, label] for label, t in pairs if t == title])
             linked = chunk - max(0, gone) + 1 if chunk else int(bool(pairs))  # chunks in a row, the first by itself only with labels
             nodes = titles + labels + linked
-            for title in sorted(set(part["title"].dropna())):
-                near = self._labels(title)
-                out.append((key[0], request, title, len(near), len(near) / (nodes - 1) if near else 0.0, [f"[{c}-{label}]" for c, label in near]))
+            for title in sorted({t for _, _, t, _ in part if t is not None}):
+                has = of(title)
+                out.append((key[0], part[0][0], title, len(has), len(has) / (nodes - 1) if has else 0.0, [f"[{c}-{label}]" for c, label in has]))
+        for at, pairs in new.items():
+            self.chunks.updateValue((at,), (json.dumps(pairs),))
+        for title, found in near.items():
+            if found:
+                self.titles.updateValue((title,), (json.dumps(found),))
+            elif title in stored:
+                self.titles.removeKey((title,))
         self.counts.update((chunk, titles, labels))
         yield pd.DataFrame(out, columns=["context", "request_id", "title", "degree", "degree_centrality", "others"])
 

@@ -112,3 +112,40 @@ def test_what_streams_hold_back_at_the_end(spark, tmp_path):
     assert closed.count() == 1
     whole = streams.with_open_sessions(closed, spark.read.parquet(str(tmp_path / "e")))
     assert sorted((r.user_id, str(r.start)[8:16], r.n) for r in whole.collect()) == [(1, "01 00:05", 2), (1, "02 08:50", 1), (2, "02 08:55", 2)]
+
+
+def test_state_is_met_once_a_batch():
+    """However many requests a batch has, each title and each chunk that lives on is written once; two batches give what one does."""
+    import pandas as pd
+
+    calls = []
+
+    class Entries(dict):
+        containsKey = dict.__contains__  # noqa: N815
+        getValue = dict.__getitem__  # noqa: N815
+
+        def updateValue(self, key, value):  # noqa: N802
+            calls.append(key)
+            self[key] = value
+
+        removeKey = dict.__delitem__  # noqa: N815
+
+    class Count:
+        value = None
+        exists = lambda self: self.value is not None
+        get = lambda self: self.value
+
+        def update(self, value):
+            self.value = value
+
+    def graph():
+        made = streams.ContextGraph(0.2, 5)
+        made.chunks, made.titles, made.counts = Entries(), Entries(), Count()
+        return made
+
+    rows = pd.DataFrame([("c", f"r{i:03}", i, f"l{i * k % 7}", f"t{(i + k) % 3}", k / 4) for i in range(60) for k in range(4)], columns=["context", "request_id", "seq", "label", "title", "senseProbability"])
+    whole = next(graph().handleInputRows(("c",), iter([rows]), None))
+    assert len(calls) <= 3 + 6
+    halves = graph()
+    parts = [next(halves.handleInputRows(("c",), iter([x]), None)) for x in (rows[:100], rows[100:])]
+    assert whole.equals(pd.concat(parts, ignore_index=True)) and len(whole) == 180
