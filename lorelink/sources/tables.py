@@ -27,7 +27,8 @@ def order_requests(spark: SparkSession, sf_dir: str, with_text: bool = True) ->
     names = lines.join(read(spark, sf_dir, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
     texts = names.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "p_name"))), lambda x: x["p_name"]), " ").alias("text"))
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    return texts.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_orderkey").cast("string").alias("request_id"), F.lit(LANG).alias("lang"), "text", F.col("o_custkey").cast("string").alias("context"), F.col("l_orderkey").alias("seq"))
+    texts = texts if with_text else texts.drop("text")
+    return texts.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_orderkey").cast("string").alias("request_id"), F.lit(LANG).alias("lang"), *(["text"] if with_text else []), F.col("o_custkey").cast("string").alias("context"), F.col("l_orderkey").alias("seq"))
 
 
 def document_requests(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -110,3 +110,20 @@ def test_link_over_a_dump_with_characters_of_several_parts(spark, folder):
     for more in ({}, {"largestMatching": ""}):
         found = link(requests, kb, Options.of(more, lang="xx"))
         assert {(r.request_id, r.label) for r in found.collect()} == {(str(i), n) for i, n in enumerate(names)}
+
+
+@pytest.mark.parametrize("name, key", [("ngrams_docs", "doc_id"), ("sentence_abbreviations", "doc_id"), ("link_candidates_unicode", "p_partkey"), ("markup_definitions", "p_partkey")])
+def test_long_work_is_dealt_out_by_key(spark, name, key):
+    """A file of one row group is one task, so rows are dealt out before work that is long on each."""
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+    assert f"RepartitionByExpression [{key}#" in plan
+
+
+def test_requests_without_text(spark):
+    from lorelink.sources.tables import order_requests
+
+    with_text, without = order_requests(spark, "/root/testdata/sf0.001"), order_requests(spark, "/root/testdata/sf0.001", False)
+    assert without.columns == [c for c in with_text.columns if c != "text"]
+    assert sorted(without.collect()) == sorted(with_text.drop("text").collect())
