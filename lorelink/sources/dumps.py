@@ -6,13 +6,14 @@ are split by Spark, and nested records are exploded in place, so a scan shuffles
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.markup import definition
-from ..functions.text import normalize
+from ..functions.numbers import share
+from ..functions.text import let, normalize
 from ..kb import KB, SCHEMAS
-from ..operators.build import label_bitmap, label_bits, last_by_line, page_label_proportion, title_ngram_counts
+from ..operators.build import label_bitmap, label_bits, last_by_line, title_ngram_counts
 
 #: The names of the files.
 FILES = {
@@ -114,8 +115,11 @@ def labels(raw: DataFrame, lang: str) -> DataFrame:
 
 
 def senses(raw: DataFrame, lang: str) -> DataFrame:
-    rows = _good(raw, LABEL, lang).select("lang", _part(LABEL, 1).alias("label"), F.posexplode(F.regexp_extract_all(_part(LABEL, 6), F.lit(SENSE), F.lit(0))).alias("sense_rank", "s"))
-    return rows.select("lang", "label", "sense_rank", _part(SENSE, 1, "s").alias("sense_id"), _part(SENSE, 2, "s").cast("long").alias("occ"), _part(SENSE, 3, "s").cast("long").alias("doc"), _part(SENSE, 4, "s").alias("from_title"), _part(SENSE, 5, "s").alias("from_redirect"))
+    """A line that doesn't fit has no senses, so it isn't looked for beforehand; what fits SENSE is cut at its commas."""
+    rows = raw.select(F.lit(lang).alias("lang"), _part(LABEL, 1).alias("label"), F.posexplode(F.regexp_extract_all(_part(LABEL, 6), F.lit(SENSE), F.lit(0))).alias("sense_rank", "s"))
+    cut = rows.select("lang", "label", "sense_rank", F.split(F.btrim("s", F.lit("s{}")), ",").alias("p"))
+    p = F.col("p")
+    return cut.select("lang", "label", "sense_rank", p[0].alias("sense_id"), p[1].cast("long").alias("occ"), p[2].cast("long").alias("doc"), p[3].alias("from_title"), p[4].alias("from_redirect"))
 
 
 def links(raw: DataFrame, lang: str) -> DataFrame:
@@ -131,9 +135,20 @@ def pages(raw: DataFrame, lang: str, head: bool = False) -> DataFrame:
 
 
 def page_labels(raw: DataFrame, lang: str) -> DataFrame:
-    rows = _good(raw, PAGE_LABELS, lang).select("lang", _part(PAGE_LABELS, 1).alias("page_id"), F.posexplode(F.regexp_extract_all(_part(PAGE_LABELS, 2), F.lit(PAGE_LABEL), F.lit(0))).alias("pos", "s"))
-    flags = [(_part(PAGE_LABEL, k, "s") == "T").alias(n) for k, n in ((4, "from_redirect"), (5, "from_title"), (6, "is_primary"))]
-    return page_label_proportion(rows.select("lang", "page_id", "pos", _part(PAGE_LABEL, 1, "s").alias("title"), _part(PAGE_LABEL, 2, "s").cast("long").alias("occurrences"), *flags))
+    """Labels with their shares of the page's occurrences, which are added up by line before labels become rows.
+
+    A line that doesn't fit has no labels. What fits PAGE_LABEL ends with five parts without commas; the title is what stands before them.
+    """
+
+    def one(s: Column) -> Column:
+        tail = F.substring_index(s, ",", -5)
+        title = F.substr(s, F.lit(4), F.length(s) - F.length(tail) - 4)
+        return let(F.split(tail, ","), lambda p: F.struct(title.alias("title"), p[0].cast("long").alias("occurrences"), *[(F.substr(p[k], F.lit(1), F.lit(1)) == "T").alias(n) for k, n in ((2, "from_redirect"), (3, "from_title"), (4, "is_primary"))]))
+
+    rows = raw.select(F.lit(lang).alias("lang"), _part(PAGE_LABELS, 1).alias("page_id"), F.transform(F.regexp_extract_all(_part(PAGE_LABELS, 2), F.lit(PAGE_LABEL), F.lit(0)), one).alias("x"))
+    summed = rows.withColumn("_n", F.aggregate("x", F.lit(0).cast("long"), lambda n, x: n + x["occurrences"]))
+    whole = summed.withColumn("_n", F.sum("_n").over(Window.partitionBy("lang", "page_id")))
+    return whole.select("lang", "page_id", "_n", F.posexplode("x").alias("pos", "x")).select("lang", "page_id", "pos", "x.*", share("x.occurrences", "_n").alias("proportion"))
 
 
 def categories(raw: DataFrame, lang: str) -> DataFrame:

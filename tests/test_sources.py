@@ -127,3 +127,17 @@ def test_requests_without_text(spark):
     with_text, without = order_requests(spark, "/root/testdata/sf0.001"), order_requests(spark, "/root/testdata/sf0.001", False)
     assert without.columns == [c for c in with_text.columns if c != "text"]
     assert sorted(without.collect()) == sorted(with_text.drop("text").collect())
+
+
+def test_nested_records_are_cut_once(spark):
+    """Odd lines of labels and page labels: bad ones have no rows, commas and braces stay in titles, a page's two lines are one whole; no line is matched beforehand."""
+    raw = spark.createDataFrame([("'a, b,1,2,3,4,v{x,5,6,7,8,v{s{1,2,3,T,F},s{x},s{4,5,6,F,T}}", 0), ("'none,1,2,3,4,v{}", 0), ("bad s{1,2,3,T,F}", 0), (None, 0)], "value string, line_no long")
+    found = dumps.senses(raw, "en")
+    assert sorted(map(tuple, found.collect())) == [("en", "a, b,1,2,3,4,v{x", 0, "1", 2, 3, "T", "F"), ("en", "a, b,1,2,3,4,v{x", 1, "4", 5, 6, "F", "T")]
+    raw = spark.createDataFrame([("1,v{s{'a, b},c',3,0,T,F,T},s{'x,1,2,T,F',1,9,F,T,F}}", 0), ("1,v{s{'',4,0,F,F,F}}", 0), ("2,v{s{'z',0,0,F,F,F}}", 0), ("3,v{}", 0), ("bad,v{s{'z',1,0,F,F,F}}", 0), (None, 0)], "value string, line_no long")
+    labels = dumps.page_labels(raw, "en")
+    assert sorted(map(tuple, labels.collect())) == [("en", "1", 0, "'", 4, False, False, False, 0.5), ("en", "1", 0, "a, b},c'", 3, True, False, True, 0.375), ("en", "1", 1, "x,1,2,T,F'", 1, False, True, False, 0.125), ("en", "2", 0, "z'", 0, False, False, False, 0.0)]
+    assert [f.name for f in labels.schema] == ["lang", "page_id", "pos", "title", "occurrences", "from_redirect", "from_title", "is_primary", "proportion"]
+    for df in (found, labels):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "RLIKE" not in plan.upper() and plan.find("Generate") < (plan.find("Window") if "Window" in plan else len(plan))
