@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..functions.numbers import inverse_frequency, per_count
 from ..functions.text import W, clean_definition, count_ngram, ngram_pattern, tokenize, word_ngrams, words
@@ -51,13 +52,13 @@ def _first_place(label: Column, text: Column) -> Column:
 
 
 def with_article_features(links: DataFrame, head: bool = True) -> DataFrame:
-    """links with the columns of ARTICLE; InLinks, OutLinks and Definition are used where they are.
+    """links with the columns of ARTICLE; InLinks and OutLinks (lists, or their lengths) and Definition are used where they are.
 
     REDIRECT is 1 whenever counts are known, as it has always come out; in fixed mode (head=False) only for senses that
     titles lead to.
     """
     has = set(links.columns)
-    size = lambda c: F.coalesce(F.size(c), F.lit(0)) if c in has else F.lit(0)
+    size = lambda c: F.coalesce(F.size(c) if isinstance(links.schema[c].dataType, ArrayType) else F.col(c), F.lit(0)) if c in has else F.lit(0)
     label, title = F.col("label"), F.col("title")
     x = links.withColumns({"_def": clean_definition("Definition" if "Definition" in has else F.lit(None).cast("string")), "_lw": words("label"), "_tw": words("title")})
     shared = F.size(F.array_intersect("_lw", "_tw"))

@@ -269,6 +269,16 @@ def test_relatedness_sends_sets_not_links(spark, monkeypatch):
         assert all((v == 1) == (sets[a] == sets[b]) for (a, b), v in found.items() if v)
 
 
+def test_neighbours_are_counted_without_lists(spark, kb):
+    for side in ("inlink", "outlink"):
+        listed = {r.page_id: len(r.links) for r in articles.neighbours(kb.page, kb, side, related=False).collect()}
+        counts = articles.neighbour_counts(kb.page, kb, side)
+        assert {r.page_id: r.links for r in counts.collect()} == listed
+        assert "collect_list" not in counts._jdf.queryExecution().optimizedPlan().toString()
+    links = spark.createDataFrame([("city", "City", 0.5, "T", 3, [1, 2]), ("x", "City", 0.5, "T", None, None)], "label string, title string, priorProbability double, fromTitle string, InLinks long, OutLinks array<int>")
+    assert rows(features.with_article_features(links), "INLINKS", "OUTLINKS") == [(0, 0), (3, 2)]
+
+
 def test_context_graph(spark):
     asked = spark.createDataFrame([("a", "c", 1), ("b", "c", 2), ("x", "d", 1)], "request_id string, context string, seq long")
     links = spark.createDataFrame([("a", "l", "T", 0.5), ("a", "m", "U", 0.1), ("b", "l", "T", 0.3), ("x", "l", "T", 0.9)], "request_id string, label string, title string, senseProbability double")
