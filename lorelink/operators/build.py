@@ -61,6 +61,11 @@ def label_slot(lang: Column | str, norm_label: Column | str, bits: Column | int)
     return F.pmod(F.xxhash64(lang, norm_label), size) + 1
 
 
+def label_tokens(label: Column | str) -> Column:
+    """How many tokens an n-gram may have that is this label."""
+    return F.size(tokenize(F.replace(label, F.lit("-"), F.lit(" "))))
+
+
 def label_bitmap(label: DataFrame, bits: int = 22) -> DataFrame:
     """lang, bits, longest, bucket, bitmap: which places labels' normal forms take, in buckets of 4 KB; and the tokens of the bucket's longest label.
 
@@ -68,7 +73,7 @@ def label_bitmap(label: DataFrame, bits: int = 22) -> DataFrame:
     result is bounded by `bits`, whatever the number of labels.
     """
     slot = label_slot("lang", "norm_label", bits)
-    tokens = F.size(tokenize(F.replace("label", F.lit("-"), F.lit(" "))))
+    tokens = label_tokens("label")
     rows = label.select("lang", F.bitmap_bucket_number(slot).alias("bucket"), F.bitmap_bit_position(slot).alias("_p"), tokens.alias("_t"))
     made = rows.groupBy("lang", "bucket").agg(F.bitmap_construct_agg("_p").alias("bitmap"), F.max("_t").alias("longest"))
     return made.select("lang", F.lit(bits).alias("bits"), "longest", "bucket", "bitmap")

@@ -64,15 +64,15 @@ def text_ngrams(requests: DataFrame, longest: int, exact: bool = True) -> DataFr
     return made.select("request_id", "lang", "sentence_no", ngram_of(F.col("_x")).alias("ngram"), norm_of(F.col("_x")).alias("norm_label"))
 
 
-def label_matches(requests: DataFrame, kb: KB, labels: DataFrame, dash: bool = True, accents: bool = True, lower: bool = False, max_ngram: int | None = None, head: bool = True, exact: bool = True) -> DataFrame:
+def label_matches(requests: DataFrame, kb: KB, labels: DataFrame, dash: bool = True, accents: bool = True, lower: bool = False, max_ngram: int | None = None, head: bool = True, exact: bool = True, longest: int | None = None) -> DataFrame:
     """A row for each n-gram of a request and row of `labels` (lang, norm_label, label and what else is known of it) that it may be.
 
     N-grams that no label can equal are dropped where they are made; those that are left, few more than match, are
-    shuffled to the labels.
+    shuffled to the labels. With `longest`, the tokens of the longest of `labels`, these are sent to the n-grams, which then need no bitmaps.
     """
     if "sentence_no" not in requests.columns:
         requests = requests.withColumn("sentence_no", F.lit(0))
-    known = label_filter(kb)
+    known = label_filter(kb) if longest is None else LabelFilter(longest, {}, None)
     cap = min(x for x in (known.longest, longest_ngram(max_ngram, head)) if x is not None)
     grams = known.may_be_labels(text_ngrams(requests.select("request_id", "lang", "sentence_no", "text"), max(1, cap), exact))
     if dash and accents and lower:
@@ -85,10 +85,11 @@ def label_matches(requests: DataFrame, kb: KB, labels: DataFrame, dash: bool = T
 FEW = 100_000
 
 
-def counted(df: DataFrame, settle: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """df written as a table, joined by broadcast if it has few rows, by shuffle otherwise."""
+def counted(df: DataFrame, settle: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, int | None]:
+    """df (labels) written as a table, joined by broadcast if it has few rows, by shuffle otherwise; and, if few, the tokens of its longest label."""
     kept = settle(df)
-    return kept.hint("broadcast" if kept.count() <= FEW else "merge")
+    rows, longest = kept.agg(F.count("*"), F.max(build.label_tokens("label"))).first()
+    return kept.hint("broadcast" if rows <= FEW else "merge"), (longest or 1) if rows <= FEW else None
 
 
 #: Numbers of links that label and sense alone decide.
@@ -145,8 +146,8 @@ def candidates(requests: DataFrame, kb: KB, dash: bool = True, accents: bool = T
     senses = probable_senses(kb, only_best, least_sense)
     of_sense = [t for t in thresholds or [] if t[0] in SENSE_NUMBERS]
     senses = senses.where(condition(of_sense)) if of_sense else senses
-    senses = counted(senses, settle) if settle and (only_best or of_sense) else senses
-    found = label_matches(requests, kb, senses, dash, accents, lower, max_ngram, head, exact)
+    senses, longest = counted(senses, settle) if settle and (only_best or of_sense) else (senses, None)
+    found = label_matches(requests, kb, senses, dash, accents, lower, max_ngram, head, exact, longest)
     return found.select("request_id", "lang", "sentence_no", F.col("ngram").alias("text"), *[c for c in senses.columns if c not in ("lang", "norm_label")])
 
 
@@ -156,7 +157,8 @@ def candidate_totals(requests: DataFrame, kb: KB, least_sense: float = -1.0, set
     A label's senses are added up before texts meet them, so the work grows with matches, not with matches times senses.
     """
     of_label = probable_senses(kb, least_sense=least_sense).groupBy("lang", "norm_label", "label").agg(F.count("*").alias("_links"), F.max("linkProbability").alias("_link"), F.sum("senseProbability").alias("_sense"), F.sum("priorProbability").alias("_prior"))
-    found = label_matches(requests, kb, counted(of_label, settle) if settle else of_label, **matching)
+    of_label, longest = counted(of_label, settle) if settle else (of_label, None)
+    found = label_matches(requests, kb, of_label, **matching, longest=longest)
     return found.groupBy("request_id", "label").agg(F.sum("_links").alias("links"), F.max("_link").alias("link_probability"), F.sum("_sense").alias("sense_sum"), F.sum("_prior").alias("prior_sum"))
 
 
@@ -190,6 +192,25 @@ def largest_matches(links: DataFrame, requests: DataFrame, dash: bool = True, ac
     return kept.select(*links.columns)
 
 
+def largest_links(requests: DataFrame, kb: KB, dash: bool = True, accents: bool = True, lower: bool = False, max_ngram: int | None = None, head: bool = True, settle: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """largest_matches() of the best senses' candidates().
+
+    Where these senses are few, as `settle` tells, texts are dealt out once by their key and stay there: their n-grams meet the senses and are
+    folded without another shuffle, and only links that are kept get what label and sense alone decide.
+    """
+    key = ["request_id", "lang", *(["sentence_no"] if "sentence_no" in requests.columns else [])]
+    senses, longest = counted(probable_senses(kb, only_best=True), settle) if settle else (probable_senses(kb, only_best=True), None)
+    columns = ["request_id", "lang", "sentence_no", F.col("ngram").alias("text"), *[c for c in senses.columns if c not in ("lang", "norm_label")]]
+    if longest is None:
+        found = label_matches(requests, kb, senses, dash, accents, lower, max_ngram, head).select(*columns)
+        return largest_matches(found, requests, dash, accents, lower)
+    texts = requests.select(*key, "text").repartition(*key)  # a sentence_no of 0 for all would be no key to Spark, which would deal the rows out again
+    slim = senses.select("lang", "norm_label", "label", "id", "priorProbability").distinct().hint("broadcast")
+    found = label_matches(texts, kb, slim, dash, accents, lower, max_ngram, head, longest=longest).drop("norm_label")
+    kept = largest_matches(found, texts, dash, accents, lower).drop("priorProbability")
+    return kept.join(senses, ["lang", "label", "id"]).select(*columns)
+
+
 def with_translations(links: DataFrame, kb: KB) -> DataFrame:
     """translations: by language the article's title and url; its own language always, others where they are known."""
     if kb.translation is None:

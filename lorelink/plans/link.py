@@ -105,10 +105,11 @@ def link(requests: DataFrame, kb: KB, options: Options | None = None, model: lea
     plugins = plugins or []
     kb = kb.of(o.lang)
     base = requests.where(F.col("lang") == o.lang)
-    texts = candidates.split_requests(base, splitter) if o.split_sentences else base.withColumn("sentence_no", F.lit(0))
-    links = candidates.candidates(texts, kb, o.dash, o.accents, o.lower, o.max_ngram, o.head, only_best=o.largest_matching, settle=settle, thresholds=_early(o, plugins))
+    texts = candidates.split_requests(base, splitter) if o.split_sentences else base
     if o.largest_matching:
-        links = candidates.largest_matches(links, texts, o.dash, o.accents, o.lower)
+        links = candidates.largest_links(texts, kb, o.dash, o.accents, o.lower, o.max_ngram, o.head, settle=settle)
+    else:
+        links = candidates.candidates(texts, kb, o.dash, o.accents, o.lower, o.max_ngram, o.head, settle=settle, thresholds=_early(o, plugins))
     if o.translations:
         links = candidates.with_translations(links, kb)
     if "context" in base.columns:

@@ -279,6 +279,19 @@ def test_neighbours_are_counted_without_lists(spark, kb):
     assert rows(features.with_article_features(links), "INLINKS", "OUTLINKS") == [(0, 0), (3, 2)]
 
 
+def test_largest_links_stay_with_their_texts(spark, asked, kb):
+    """Few senses: texts are dealt out once, links not again, with the same links as a cover of all candidates."""
+    long = asked.unionByName(spark.createDataFrame([("r5", "en", "New-York city. Citý, city!", "c", 5), ("r5", "en", "", "c", 6)], asked.schema)).where("lang = 'en' AND (request_id <> 'r5' OR text <> '')")
+    for settle in (None, lambda df: df.checkpoint()):
+        for lower in (True, False):
+            base = long.checkpoint()
+            want = candidates.largest_matches(candidates.candidates(base, kb, lower=lower, only_best=True), base, lower=lower)
+            got = candidates.largest_links(base, kb, lower=lower, settle=settle)
+            assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    plan = candidates.largest_links(base, kb, settle=settle)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(request_id") == 2  # both of texts
+
+
 def test_context_graph(spark):
     asked = spark.createDataFrame([("a", "c", 1), ("b", "c", 2), ("x", "d", 1)], "request_id string, context string, seq long")
     links = spark.createDataFrame([("a", "l", "T", 0.5), ("a", "m", "U", 0.1), ("b", "l", "T", 0.3), ("x", "l", "T", 0.9)], "request_id string, label string, title string, senseProbability double")
