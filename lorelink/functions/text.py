@@ -108,6 +108,29 @@ def remove_accents(text: Column | str, exact: bool = False) -> Column:
     return F.when(F.octet_length(raw) == F.length(raw), raw).otherwise(F.translate(whole, _SOURCE + _MARKS, _TARGET))  # ASCII stays as it is
 
 
+def _mark_table() -> tuple[str, str, str]:
+    """Characters that are a letter with marks in canonical decomposition alone, these letters, and the marks."""
+    source, target, marks = [], [], []
+    for point in (*range(0x80, 0xD800), *range(0xE000, 0x30000)):
+        c = chr(point)
+        base = unicodedata.normalize("NFC", "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x)[0] != "M"))
+        if not base:
+            marks.append(c)
+        elif base != c and len(base) == 1:
+            source.append(c)
+            target.append(base)
+    return "".join(source), "".join(target), "".join(marks)
+
+
+_MARKED, _BARE, _ALL_MARKS = _mark_table()
+
+
+def plain_form(text: Column | str) -> Column:
+    """Dashes as blanks, no marks, lower case, as SQL's replace, strip_accents and lower have it: ligatures, fractions and blanks at the ends stay."""
+    x = F.replace(col(text), F.lit("-"), F.lit(" "))
+    return F.lower(F.when(F.octet_length(x) == F.length(x), x).otherwise(F.translate(x, _MARKED + _ALL_MARKS, _BARE)))
+
+
 def folded(text: Column | str, dash: bool = True, accents: bool = True, lower: bool = True, exact: bool = False) -> Column:
     """Dashes as blanks, no accents, lower case, as asked for: what normalize() does to each character by itself."""
     x = F.replace(col(text), F.lit("-"), F.lit(" ")) if dash else col(text)
@@ -159,18 +182,19 @@ def ngrams(text: Column | str, longest: int, all_variants: bool = True) -> Colum
     return F.array_distinct(grams)
 
 
-def normal_ngrams(text: Column | str, longest: int, exact: bool = True) -> Column:
+def normal_ngrams(text: Column | str, longest: int, exact: bool = True, plain: bool = False) -> Column:
     """Distinct n-grams of 1 to `longest` tokens of the text's variants, each behind its normal form and a line end.
 
     Tokens have no line ends, so a variant's tokens are brought to their normal form in one go, and n-grams of both are
-    made side by side. An n-gram of which nothing is left has an empty form here: it is its own.
+    made side by side. An n-gram of which nothing is left has an empty form here: it is its own. `plain`: forms as plain_form() has them.
     """
 
     def runs(t: Column, u: Column, n: int) -> Column:
         return F.zip_with(ngrams_of(u, n), ngrams_of(t, n), lambda x, y: F.concat(x, F.lit("\n"), y))
 
     def of_variant(v: Column) -> Column:
-        forms = lambda t: let(F.replace(F.array_join(t, "\n"), F.lit("-"), F.lit(" ")), lambda x: F.split(folded(x, dash=False, exact=exact), "\n"))
+        form = plain_form if plain else lambda x: folded(x, dash=False, exact=exact)
+        forms = lambda t: let(F.replace(F.array_join(t, "\n"), F.lit("-"), F.lit(" ")), lambda x: F.split(form(x), "\n"))
         return let(tokenize(v), lambda t: F.when(F.size(t) > 0, let(forms(t), lambda u: F.flatten(F.array(*[runs(t, u, n) for n in range(1, longest + 1)])))).otherwise(F.array().cast("array<string>")))
 
     return F.array_distinct(F.flatten(F.transform(F.array_distinct(variants(text)), of_variant)))
@@ -181,8 +205,10 @@ def ngram_of(pair: Column) -> Column:
     return F.substring_index(pair, "\n", -1)
 
 
-def norm_of(pair: Column) -> Column:
+def norm_of(pair: Column, plain: bool = False) -> Column:
     """Its normal form."""
+    if plain:
+        return F.substring_index(pair, "\n", 1)
     form = F.btrim(F.substring_index(pair, "\n", 1), F.lit(BLANKS))
     return F.when(F.length(form) == 0, ngram_of(pair)).otherwise(form)
 

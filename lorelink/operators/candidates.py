@@ -58,24 +58,25 @@ def label_filter(kb: KB) -> LabelFilter:
     return LabelFilter(longest, dict(zip(found.column("lang").to_pylist(), found.column("bits").to_pylist(), strict=True)), buckets)
 
 
-def text_ngrams(requests: DataFrame, longest: int, exact: bool = True) -> DataFrame:
+def text_ngrams(requests: DataFrame, longest: int, exact: bool = True, plain: bool = False) -> DataFrame:
     """request_id, lang, sentence_no, ngram, norm_label: the distinct n-grams of each text and their normal forms, made within its row, so nothing moves."""
-    made = requests.select("request_id", "lang", "sentence_no", F.explode(normal_ngrams("text", longest, exact=exact)).alias("_x"))
-    return made.select("request_id", "lang", "sentence_no", ngram_of(F.col("_x")).alias("ngram"), norm_of(F.col("_x")).alias("norm_label"))
+    made = requests.select("request_id", "lang", "sentence_no", F.explode(normal_ngrams("text", longest, exact=exact, plain=plain)).alias("_x"))
+    return made.select("request_id", "lang", "sentence_no", ngram_of(F.col("_x")).alias("ngram"), norm_of(F.col("_x"), plain).alias("norm_label"))
 
 
-def label_matches(requests: DataFrame, kb: KB, labels: DataFrame, dash: bool = True, accents: bool = True, lower: bool = False, max_ngram: int | None = None, head: bool = True, exact: bool = True, longest: int | None = None) -> DataFrame:
+def label_matches(requests: DataFrame, kb: KB, labels: DataFrame, dash: bool = True, accents: bool = True, lower: bool = False, max_ngram: int | None = None, head: bool = True, exact: bool = True, longest: int | None = None, plain: bool = False) -> DataFrame:
     """A row for each n-gram of a request and row of `labels` (lang, norm_label, label and what else is known of it) that it may be.
 
     N-grams that no label can equal are dropped where they are made; those that are left, few more than match, are
     shuffled to the labels. With `longest`, the tokens of the longest of `labels`, these are sent to the n-grams, which then need no bitmaps.
+    `plain`: n-grams have the forms of plain_form(), as norm_label must have them too.
     """
     if "sentence_no" not in requests.columns:
         requests = requests.withColumn("sentence_no", F.lit(0))
     known = label_filter(kb) if longest is None else LabelFilter(longest, {}, None)
     cap = min(x for x in (known.longest, longest_ngram(max_ngram, head)) if x is not None)
-    grams = known.may_be_labels(text_ngrams(requests.select("request_id", "lang", "sentence_no", "text"), max(1, cap), exact))
-    if dash and accents and lower:
+    grams = known.may_be_labels(text_ngrams(requests.select("request_id", "lang", "sentence_no", "text"), max(1, cap), exact, plain))
+    if plain or (dash and accents and lower):
         return grams.join(labels, ["lang", "norm_label"])
     same = lambda df, c: df.withColumn("_same", normalize(c, dash, accents, lower, exact))  # noqa: E731  once an n-gram and once a label, not once a pair
     return same(grams, "ngram").join(same(labels, "label"), ["lang", "norm_label", "_same"]).drop("_same")
@@ -133,7 +134,7 @@ def probable_senses(kb: KB, only_best: bool = False, least_sense: float = -1.0)
     )
 
 
-def candidates(requests: DataFrame, kb: KB, dash: bool = True, accents: bool = True, lower: bool = False, max_ngram: int | None = None, head: bool = True, least_sense: float = -1.0, only_best: bool = False, exact: bool = True, settle: Callable[[DataFrame], DataFrame] | None = None, thresholds: list[tuple[str, str, float]] | None = None) -> DataFrame:
+def candidates(requests: DataFrame, kb: KB, dash: bool = True, accents: bool = True, lower: bool = False, max_ngram: int | None = None, head: bool = True, least_sense: float = -1.0, only_best: bool = False, exact: bool = True, settle: Callable[[DataFrame], DataFrame] | None = None, thresholds: list[tuple[str, str, float]] | None = None, plain: bool = False) -> DataFrame:
     """Links: a row for each n-gram of a request, label that it may be, and sense of that label.
 
     requests: request_id, lang, text and perhaps sentence_no. An n-gram finds labels by the full normal form and keeps
@@ -141,13 +142,13 @@ def candidates(requests: DataFrame, kb: KB, dash: bool = True, accents: bool = T
     documents. Titles of senses without a page are "None". Probabilities are of label and sense alone: a filter on
     them is moved by Spark to the senses, before these meet texts.
     `settle`, which writes a DataFrame and reads it, tells how many senses are left: if few, no n-gram is shuffled. `thresholds`
-    (of filters.parse_filter) on columns of senses drop these; others are left to filters.filtered().
+    (of filters.parse_filter) on columns of senses drop these; others are left to filters.filtered(). `plain`: forms of n-grams as plain_form() has them, for a kb whose labels have such forms.
     """
     senses = probable_senses(kb, only_best, least_sense)
     of_sense = [t for t in thresholds or [] if t[0] in SENSE_NUMBERS]
     senses = senses.where(condition(of_sense)) if of_sense else senses
     senses, longest = counted(senses, settle) if settle and (only_best or of_sense) else (senses, None)
-    found = label_matches(requests, kb, senses, dash, accents, lower, max_ngram, head, exact, longest)
+    found = label_matches(requests, kb, senses, dash, accents, lower, max_ngram, head, exact, longest, plain)
     return found.select("request_id", "lang", "sentence_no", F.col("ngram").alias("text"), *[c for c in senses.columns if c not in ("lang", "norm_label")])
 
 

@@ -34,3 +34,20 @@ def test_oracle(spark, sf, name):
     names = want.columns
     rows = sorted((tuple(plain(dict(zip(names, r))[c]) for c in columns) for r in want.fetchall()), key=str)
     assert got == rows
+
+
+def test_web_links_of_odd_texts(spark, tmp_path):
+    """Dashes and blanks at the ends, runs of tokens, ligatures, links without a text or a target: as SQL has them."""
+    import duckdb
+
+    texts = ["by - the -( and", "BY -", "by-- -by - -- By ( x", "nº no No n° oﬃce office ½ 1⁄2", "Été ete, ÉTÉ. e.t.e A-B a b", "page 7 page7 한국", None, "", " \n\t", "́ bý éte"]
+    anchors = ["By", " by", "(", "-", " ", "", "no", "nº", "office", "été", "a b", "page 7", "한국", "by ", "--"]
+    html = "".join(f'<p><a href="/t{i}">{x}</a>' for i, x in enumerate(anchors)) + '<a href="/">by</a><a href="/t0">By</a>'
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'s' AS source").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, html), (2, '<a href="/t0">By</a>'), (3, None)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "pages"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = con.sql(SQL["link_candidates_web"])
+    got = QUERIES["link_candidates_web"](spark, str(tmp_path)).select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall()) != []
