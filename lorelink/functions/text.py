@@ -182,6 +182,16 @@ def ngrams(text: Column | str, longest: int, all_variants: bool = True) -> Colum
     return F.array_distinct(grams)
 
 
+def distinct_tokens(text: Column | str) -> Column:
+    """Distinct tokens of the text's variants. Each piece between blanks is met once, and only pieces with a dash or a full stop differ in variants; tokens have no blanks."""
+
+    def of_pieces(pieces: Column) -> Column:
+        marked = let(F.array_join(F.filter(pieces, lambda x: F.contains(x, F.lit("-")) | F.contains(x, F.lit("."))), " "), lambda t: F.array_join(F.slice(variants(t), 2, 3), " "))
+        return F.array_distinct(tokenize(F.concat(F.array_join(pieces, " "), F.lit(" "), marked)))
+
+    return let(F.array_distinct(F.split(col(text), r"\s+")), of_pieces)
+
+
 def normal_ngrams(text: Column | str, longest: int, exact: bool = True, plain: bool = False) -> Column:
     """Distinct n-grams of 1 to `longest` tokens of the text's variants, each behind its normal form and a line end.
 
@@ -195,8 +205,10 @@ def normal_ngrams(text: Column | str, longest: int, exact: bool = True, plain: b
     def of_variant(v: Column) -> Column:
         form = plain_form if plain else lambda x: folded(x, dash=False, exact=exact)
         forms = lambda t: let(F.replace(F.array_join(t, "\n"), F.lit("-"), F.lit(" ")), lambda x: F.split(form(x), "\n"))
-        return let(tokenize(v), lambda t: F.when(F.size(t) > 0, let(forms(t), lambda u: F.flatten(F.array(*[runs(t, u, n) for n in range(1, longest + 1)])))).otherwise(F.array().cast("array<string>")))
+        return let(distinct_tokens(v) if longest == 1 else tokenize(v), lambda t: F.when(F.size(t) > 0, let(forms(t), lambda u: F.flatten(F.array(*[runs(t, u, n) for n in range(1, longest + 1)])))).otherwise(F.array().cast("array<string>")))
 
+    if longest == 1:
+        return of_variant(col(text))
     return F.array_distinct(F.flatten(F.transform(F.array_distinct(variants(text)), of_variant)))
 
 

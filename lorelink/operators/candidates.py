@@ -134,7 +134,7 @@ def probable_senses(kb: KB, only_best: bool = False, least_sense: float = -1.0)
     )
 
 
-def candidates(requests: DataFrame, kb: KB, dash: bool = True, accents: bool = True, lower: bool = False, max_ngram: int | None = None, head: bool = True, least_sense: float = -1.0, only_best: bool = False, exact: bool = True, settle: Callable[[DataFrame], DataFrame] | None = None, thresholds: list[tuple[str, str, float]] | None = None, plain: bool = False) -> DataFrame:
+def candidates(requests: DataFrame, kb: KB, dash: bool = True, accents: bool = True, lower: bool = False, max_ngram: int | None = None, head: bool = True, least_sense: float = -1.0, only_best: bool = False, exact: bool = True, settle: Callable[[DataFrame], DataFrame] | None = None, thresholds: list[tuple[str, str, float]] | None = None, plain: bool = False, count_all: bool = False) -> DataFrame:
     """Links: a row for each n-gram of a request, label that it may be, and sense of that label.
 
     requests: request_id, lang, text and perhaps sentence_no. An n-gram finds labels by the full normal form and keeps
@@ -143,11 +143,12 @@ def candidates(requests: DataFrame, kb: KB, dash: bool = True, accents: bool = T
     them is moved by Spark to the senses, before these meet texts.
     `settle`, which writes a DataFrame and reads it, tells how many senses are left: if few, no n-gram is shuffled. `thresholds`
     (of filters.parse_filter) on columns of senses drop these; others are left to filters.filtered(). `plain`: forms of n-grams as plain_form() has them, for a kb whose labels have such forms.
+    `count_all`: senses are counted by `settle` though nothing drops any, for a kb that may have few.
     """
     senses = probable_senses(kb, only_best, least_sense)
     of_sense = [t for t in thresholds or [] if t[0] in SENSE_NUMBERS]
     senses = senses.where(condition(of_sense)) if of_sense else senses
-    senses, longest = counted(senses, settle) if settle and (only_best or of_sense) else (senses, None)
+    senses, longest = counted(senses, settle) if settle and (only_best or of_sense or count_all) else (senses, None)
     found = label_matches(requests, kb, senses, dash, accents, lower, max_ngram, head, exact, longest, plain)
     return found.select("request_id", "lang", "sentence_no", F.col("ngram").alias("text"), *[c for c in senses.columns if c not in ("lang", "norm_label")])
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -74,20 +76,31 @@ def star(spark: SparkSession, sf_dir: str) -> KB:
 ANCHOR = r"<a href=\"/([^\"]*)\">([^<]*)</a>"
 
 
-def web(spark: SparkSession, sf_dir: str, plain: bool = False) -> KB:
+#: Labels that are sent to all documents' words where they are counted to be no more.
+FEW_LABELS = 100_000
+
+
+def web(spark: SparkSession, sf_dir: str, plain: bool = False, settle: Callable[[DataFrame], DataFrame] | None = None) -> KB:
     """Labels are the texts of links in pages, senses their targets; words of documents are the texts' occurrences.
 
     `plain`: links without a text or a target count too, and labels have the forms of plain_form().
+    `settle` writes a DataFrame and reads it: pages are read once, and where labels are few, only words that are labels are counted document by document.
     """
-    html = read(spark, sf_dir, "pages").select("page_id", "html")
+    html = spread(read(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
     anchors = html.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(0))).alias("a")).select("page_id", F.regexp_extract("a", ANCHOR, 1).alias("target"), F.regexp_extract("a", ANCHOR, 2).alias("label"))
     anchors = anchors if plain else anchors.where("label <> '' AND target <> ''")
+    anchors = settle(anchors) if settle else anchors
     linked = anchors.groupBy("label").agg(F.count("*").alias("link_occ"), F.countDistinct("page_id").alias("link_doc"))
-    tokens = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(rf"[{W}]+"), F.lit(0))).alias("label"))
+    docs = spread(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")  # counts of a document stay where it is
+    tokens = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(rf"[{W}]+"), F.lit(0))).alias("label"))
+    if settle:
+        linked = settle(linked)
+        tokens = tokens.join(F.broadcast(linked.select("label")), "label", "left_semi") if linked.count() <= FEW_LABELS else tokens
     per_doc = tokens.groupBy("label", "doc_id").agg(F.count("*").alias("n"))
-    seen = per_doc.groupBy("label").agg(F.sum("n").alias("text_occ"), F.count("*").alias("text_doc"))
+    seen = per_doc.groupBy("label").agg(F.sum("n").alias("text_occ"), F.count("doc_id").alias("text_doc"))
     label = linked.join(seen, "label", "left").select(F.lit(LANG).alias("lang"), "label", (plain_form("label") if plain else normalize("label", exact=True)).alias("norm_label"), "link_occ", "link_doc", F.coalesce("text_occ", F.lit(0)).alias("text_occ"), F.coalesce("text_doc", F.lit(0)).alias("text_doc"))
     sense = anchors.groupBy("label", "target").agg(F.count("*").alias("occ"), F.countDistinct("page_id").alias("doc"))
+    label = settle(label) if settle else label
     rank = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("doc"), "target")) - 1
     sense = sense.select(F.lit(LANG).alias("lang"), "label", rank.cast("int").alias("sense_rank"), F.col("target").alias("sense_id"), "occ", "doc", F.lit("F").alias("from_title"), F.lit("F").alias("from_redirect"))
     page = sense.select("lang", F.col("sense_id").alias("page_id"), F.col("sense_id").alias("title")).distinct()

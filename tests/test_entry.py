@@ -51,3 +51,9 @@ def test_web_links_of_odd_texts(spark, tmp_path):
     want = con.sql(SQL["link_candidates_web"])
     got = QUERIES["link_candidates_web"](spark, str(tmp_path)).select(*want.columns)
     assert sorted(map(tuple, got.collect())) == sorted(want.fetchall()) != []
+
+
+def test_web_links_meet_pages_and_words_once(spark, sf):
+    """Few labels: pages are read before, n-grams meet the labels where they are made, without bitmaps."""
+    plan = QUERIES["link_candidates_web"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "bitmap" not in plan and "<a href" not in plan and plan.count("regexp_extract_all") == 1

@@ -1,4 +1,5 @@
 import math
+import random
 import unicodedata
 
 import pytest
@@ -149,3 +150,12 @@ def test_texts_are_held_against_a_short_class_first(spark):
     inside = re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: rf"\U{int(m[1], 16):08x}", text._MAY_EXPAND))
     assert all(inside.match(c) for c in (*text._KEYS, *text._SYLLABLES))
     assert not any(inside.match(c) for c in "azAZ09 .-äöüßéèñçÅøőαωжя\u6f22\u5b57")
+
+
+def test_distinct_tokens_are_those_of_all_variants(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(["a", "B", "é", "7", ".", "-", ",", "'", "!", " ", "\n", "\t", "\x0b", "\u00a0", "한", "_"]) for _ in range(rng.randint(0, 60))) for _ in range(300)] + [None, "", "  ", " -", "e.t.c. x-y.z -.- "]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    every = F.array_distinct(F.flatten(F.transform(text.variants("t"), text.tokenize)))
+    for r in df.select("t", F.array_sort(text.distinct_tokens("t")).alias("got"), F.array_sort(every).alias("want")).collect():
+        assert r.got == r.want, r.t
