@@ -10,6 +10,7 @@ is a table of the types found.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -92,18 +93,52 @@ def learn_sentences(docs: DataFrame, text: str = "text", settle=None) -> DataFra
     return whole
 
 
+def _pieces(text: Column | str) -> Column:
+    """A text's pieces up to . ! ? (and closing marks) and white space, behind each of which it may be cut."""
+    return F.regexp_extract_all(col(text), F.lit(r"(?s)\S.*?(?:[.!?][\"')\]]*\s+|\z)"), F.lit(0))
+
+
+def _word(x: Column) -> Column:
+    return F.regexp_replace(F.lower(_token(x)), r"\.$", "")
+
+
+def _around(piece: Column, following: Column) -> tuple[Column, Column, Column]:
+    """The word before a place and the one behind it, and whether a full stop parts them."""
+    last, first = F.regexp_extract(piece, r"(\S+)\s*\z", 1), F.regexp_extract(following, r"\A(\S+)", 1)
+    return _word(last), _word(first), F.endswith(_token(last), F.lit("."))
+
+
+def _may_end(following: Column) -> Column:
+    return ~F.rlike(following, F.lit(r"\A[\"'(\[]*\p{Ll}"))
+
+
+def _kept_together(last: Column, abbreviation: Column, starter: Column, collocation: Column) -> Column:
+    """Whether a text isn't cut between two words with a full stop, by what the model has of them."""
+    short = (F.length(last) == 1) | abbreviation
+    return collocation | (short & ~((F.length(last) > 1) & starter))
+
+
+def _joined(pieces: Column, ends: Callable[[Column, Column], Column]) -> Column:
+    """Sentences of pieces, cut where ends(piece, the following one) holds."""
+    def marked(p: Column) -> Column:
+        return F.transform(p, lambda x, i: F.when(i + 1 < F.size(p), F.when(ends(x, F.get(p, i + 1)), F.concat(x, F.lit("\x01"))).otherwise(x)).otherwise(x))
+
+    whole = F.split(F.array_join(let(pieces, marked), ""), "\x01")
+    return F.filter(F.transform(whole, lambda s: F.regexp_replace(s, r"\A\s+|\s+\z", "")), lambda s: s != "")
+
+
 @dataclass(frozen=True)
 class SentenceModel:
-    """What the splitter reads: types by kind, the best-scored first; `most` of each kind bound its size."""
+    """All types of a model by kind, the best-scored first, as constants of a plan: for models that fit there; with_sentences() reads a table of any size."""
 
     abbreviations: tuple[str, ...] = ()
     starters: tuple[str, ...] = ()
     collocations: tuple[str, ...] = ()
 
     @classmethod
-    def of(cls, table: DataFrame, most: int = 2000) -> SentenceModel:
+    def of(cls, table: DataFrame) -> SentenceModel:
         def best(kind: str) -> tuple[str, ...]:
-            return tuple(r[0] for r in table.where(F.col("kind") == kind).orderBy(F.desc("score"), "word").limit(most).select("word").collect())
+            return tuple(r[0] for r in table.where(F.col("kind") == kind).orderBy(F.desc("score"), "word").select("word").collect())
 
         return cls(best("abbreviation"), best("starter"), best("collocation"))
 
@@ -114,23 +149,51 @@ class SentenceModel:
         collocation; behind a single letter never, and behind an abbreviation only before a word that starts sentences.
         """
         known = lambda words, x: F.array_contains(F.array(*[F.lit(w) for w in words]), x) if words else F.lit(False)
-        pieces = F.regexp_extract_all(col(text), F.lit(r"(?s)\S.*?(?:[.!?][\"')\]]*\s+|\z)"), F.lit(0))
-        word = lambda x: F.regexp_replace(F.lower(_token(x)), r"\.$", "")
 
         def ends(piece: Column, following: Column) -> Column:
-            last = F.regexp_extract(piece, r"(\S+)\s*\z", 1)
-            first = F.regexp_extract(following, r"\A(\S+)", 1)
-            stop = F.endswith(_token(last), F.lit("."))
-            short = (F.length(word(last)) == 1) | known(self.abbreviations, word(last))
-            starter = (F.length(word(last)) > 1) & known(self.starters, word(first))
-            inside = stop & (known(self.collocations, F.concat_ws(" ", word(last), word(first))) | (short & ~starter))
-            return ~F.rlike(following, F.lit(r"\A[\"'(\[]*\p{Ll}")) & ~inside
-
-        def marked(p: Column) -> Column:
-            return F.transform(p, lambda x, i: F.when(i + 1 < F.size(p), F.when(ends(x, F.get(p, i + 1)), F.concat(x, F.lit("\x01"))).otherwise(x)).otherwise(x))
-
-        whole = F.split(F.array_join(let(pieces, marked), ""), "\x01")
-        return F.filter(F.transform(whole, lambda s: F.regexp_replace(s, r"\A\s+|\s+\z", "")), lambda s: s != "")
+            last, first, stop = _around(piece, following)
+            together = _kept_together(last, known(self.abbreviations, last), known(self.starters, first), known(self.collocations, F.concat_ws(" ", last, first)))
+            return _may_end(following) & ~(stop & together)
+
+        return _joined(_pieces(text), ends)
+
+
+#: Pairs of words kept together that are sent to all tasks, where a settled table has no more.
+FEW_PAIRS = 100_000
+
+
+def with_sentences(docs: DataFrame, model: DataFrame, text: str = "text", settle: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """docs with their sentences as SentenceModel has them, by a model's whole table (learn_sentences()), however large it is.
+
+    Of the pairs of words around texts' full stops the distinct ones meet the model; those it keeps together go back to their texts.
+    Texts are told apart by a hash: those that share one share their pairs, which changes nothing, as pairs are judged by themselves.
+    """
+    key = F.xxhash64(*docs.columns)
+    dealt = docs.withColumn("_key", key).repartition(4 * docs.sparkSession.sparkContext.defaultParallelism, "_key")
+
+    def pair(piece: Column, following: Column) -> Column:
+        last, first, stop = _around(piece, following)
+        return F.when(stop & _may_end(following), F.concat_ws(" ", last, first))  # words have no blanks
+
+    pairs = let(_pieces(text), lambda p: F.array_distinct(F.transform(p, lambda x, i: F.when(i + 1 < F.size(p), pair(x, F.get(p, i + 1))))))
+    asked = dealt.select("_key", F.explode(pairs).alias("_pair")).where("_pair IS NOT NULL")
+    asked = settle(asked) if settle else asked
+    together = asked.select("_pair").distinct().select("_pair", F.substring_index("_pair", " ", 1).alias("_last"), F.substring_index("_pair", " ", -1).alias("_first"))
+    for kind, word in (("abbreviation", "_last"), ("starter", "_first"), ("collocation", "_pair")):
+        together = together.join(model.where(F.col("kind") == kind).select(F.col("word").alias(word), F.lit(True).alias(kind)).distinct(), word, "left")
+    has = lambda kind: F.coalesce(kind, F.lit(False))
+    together = together.where(_kept_together(F.col("_last"), has("abbreviation"), has("starter"), has("collocation"))).select("_pair")
+    if settle:
+        together = settle(together)
+        together = together.hint("broadcast") if together.count() <= FEW_PAIRS else together
+    kept = asked.join(together, "_pair").groupBy("_key").agg(F.collect_set("_pair").alias("_kept"))
+
+    def ends(piece: Column, following: Column) -> Column:
+        last, first, stop = _around(piece, following)
+        return _may_end(following) & ~(stop & F.array_contains(F.col("_kept"), F.concat_ws(" ", last, first)))
+
+    found = dealt.join(kept, "_key", "left").withColumn("_kept", F.coalesce("_kept", F.array().cast("array<string>")))
+    return found.select(*docs.columns, _joined(_pieces(text), ends).alias("sentences"))
 
 
 def split_sentences(text: Column | str, model: SentenceModel | None = None) -> Column:

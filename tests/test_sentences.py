@@ -135,3 +135,32 @@ def test_edges(spark):
     assert empty == sentences.SentenceModel()
     asked = spark.createDataFrame([("r", "en", "See dr. Smith. Now.")], "request_id string, lang string, text string")
     assert [r.text for r in candidates.split_requests(asked, model).orderBy("sentence_no").collect()] == ["See dr. Smith.", "Now."]
+
+
+def test_whole_model_is_used(spark):
+    """Types beyond any number of better ones count too, in constants and in tables."""
+    name = lambda i: "".join(chr(97 + int(d)) for d in f"{i:05}")
+    rows = [("abbreviation", "x" + name(i), float(i)) for i in range(2100)] + [("starter", "s" + name(i), float(i)) for i in range(2100)] + [("collocation", f"c{name(i)} d{name(i)}", float(i)) for i in range(2100)]
+    table = spark.createDataFrame(rows, "kind string, word string, score double")
+    low = name(0)
+    cases = {
+        1: (f"See x{low}. Then go. End", [f"See x{low}. Then go.", "End"]),
+        2: (f"See x{low}. S{low} went. End", [f"See x{low}.", f"S{low} went.", "End"]),
+        3: (f"See C{low}. D{low} went. End", [f"See C{low}. D{low} went.", "End"]),
+        4: (None, None), 5: ("", []), 6: (f"(x{low}.) Then J. S{low} said \"no.\" Yes! x{low}. he", [f"(x{low}.) Then J. S{low} said \"no.\"", f"Yes! x{low}. he"]),
+    }
+    df = spark.createDataFrame([(i, t) for i, (t, _) in cases.items()] + [(None, cases[1][0]), (None, cases[2][0]), (1, cases[1][0])], "doc_id long, text string")
+    want = {t: s for t, s in cases.values()}
+    model = sentences.SentenceModel.of(table)
+    assert len(model.abbreviations) == len(model.starters) == len(model.collocations) == 2100
+    for settle in (None, lambda d: d.checkpoint()):
+        got = sentences.with_sentences(df, table, settle=settle).collect()
+        assert len(got) == 9 and all(r.sentences == want[r.text] for r in got)
+
+
+def test_table_and_constants_give_the_same(spark):
+    df = spark.createDataFrame([(i, " ".join(m)) for i, m in enumerate(corpus(4, 80))], "doc_id long, text string")
+    table = sentences.learn_sentences(df, settle=lambda d: d.checkpoint()).checkpoint()
+    want = df.select("doc_id", sentences.SentenceModel.of(table).sentences("text").alias("s")).collect()
+    got = sentences.with_sentences(df, table, settle=lambda d: d.checkpoint()).select("doc_id", "sentences").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
